@@ -29,7 +29,7 @@ END_ID = 0
 ITEMS_PER_TASK = 20_000
 FAN_IN = 8
 SLACK = 16  # a bin with at most this room is nearly full
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -63,7 +63,8 @@ class WordIds(dict):
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def part(self, piece: str) -> bytes:
-        if (found := self.parts.get(piece)) is None:
+        found = self.parts.get(piece)
+        if found is None:
             shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             if len(self.parts) >= CACHE_WORDS:
                 self.parts.clear()
@@ -72,7 +73,10 @@ class WordIds(dict):
 
     def __missing__(self, key: bytes) -> bytes:
         word = key.decode()
-        if b"<|" in key or not self.PLAIN.fullmatch(word):
+        if word.isascii() and (word.isalpha() or word[:-1].isalpha() and word[-1] in ".,;:!?"):
+            low = word.lower()  # most words: letters, or letters and one mark
+            found = self.part(low) if low.isalpha() else self.part(low[:-1]) + self.part(low[-1])
+        elif b"<|" in key or not self.PLAIN.fullmatch(word):
             found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         else:
             found = b"".join(map(self.part, self.split(word.lower())))
