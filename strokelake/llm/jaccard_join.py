@@ -7,7 +7,7 @@ A document's set holds its distinct word shingles (hashed to 64 bits). Two sets
    ranges at least one holds the same tokens in both. A class none of whose ranges recurs elsewhere has no link.
 3. Tokens are ordered rarest first. Linked sets share a token among their first n - ceil(p n / q) + 1. Tokens that occur
    once take their place in that prefix but are no keys. Classes with equal prefix and size form one group.
-4. Groups meet on prefix tokens, and the size and position filters drop pairs. First each group meets only the hub of
+4. Groups meet on prefix tokens, and the size, position and sketch filters drop pairs. First each group meets only the hub of
    the token it shares most with, and members their group's leader; pairs are verified on the whole sets and links
    joined to components. Then, for tokens whose groups still lie in several components, groups are expanded and all
    pairs across components are filtered and verified. Pairs inside a component are never made, so no group is expanded
@@ -32,6 +32,7 @@ from strokelake.llm.common import small_or_plain, written
 
 CACHE_WORDS = 300_000
 BROADCAST_DOCS = 200_000
+SKETCH_BITS = 1024
 U = np.uint64
 
 
@@ -118,17 +119,24 @@ def shingled(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(describe, f"doc_id {kind}, n int, sid bigint, sid2 bigint, sigs array<bigint>")
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Whether each of SKETCH_BITS buckets holds an odd number of tokens, as 64-bit words. Two sketches differ in at most
+    as many bits as the sets differ in tokens, since tokens of both cancel out."""
+    odd = np.bincount((tokens >> U(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (sid, n, tokens) of documents."""
+    """Rows (sid, n, tokens, sketch) of documents."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(text.as_py(), width) for text in batch.column(0)]
             sid = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")[0] for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                                             names=["sid", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                                              pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64()))], names=["sid", "n", "tokens", "sketch"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(describe, "sid bigint, n int, tokens array<bigint>")
+    return docs.select(F.col("text").cast("string")).mapInArrow(describe, "sid bigint, n int, tokens array<bigint>, sketch array<bigint>")
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -151,10 +159,15 @@ def _similar_sizes(p: int, q: int, a: str, b: str) -> Column:
     return (q * F.least(a, b)) >= (p * F.greatest(a, b))
 
 
-def _can_meet(p: int, q: int, a: str, at_a: str, b: str, at_b: str) -> Column:
-    """Size and position filters: from a pair's first common token on, enough tokens must be left in both."""
-    needed = F.ceil(p * (F.col(a) + F.col(b)) / (p + q))
-    return _similar_sizes(p, q, a, b) & (F.least(F.col(a) - F.col(at_a), F.col(b) - F.col(at_b)) >= needed)
+def _can_meet(p: int, q: int, a: str, at_a: str, sketch_a: str, b: str, at_b: str, sketch_b: str) -> Column:
+    """Size, position and sketch filters on a pair's first common token.
+
+    Linked sets differ in at most n_a + n_b - 2 * needed tokens, needed being the least overlap; all tokens before the
+    first common one are among those, and so is a token for every bit in which the sketches differ.
+    """
+    most = F.col(a) + F.col(b) - 2 * F.ceil(p * (F.col(a) + F.col(b)) / (p + q))
+    differ = F.aggregate(F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return _similar_sizes(p, q, a, b) & (F.col(at_a) + F.col(at_b) <= most) & (differ <= most)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -166,27 +179,29 @@ def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Rows (sid, n, once, keys): the prefix in order of rarity; `once` counts its tokens that no other set has."""
+    """Rows (sid, n, once, keys, sketch): the prefix in order of rarity; `once` counts its tokens that no other set has."""
     tokens = sets.select("sid", "n", F.explode("tokens").alias("t"))
     often = tokens.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
     ranked = tokens.join(often, "t").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("ft"))
     length = F.col("n") - F.ceil(p * F.col("n") / q).cast("int") + 1
     once = F.col("n") - F.size("ft")
     keys = F.slice("ft", F.lit(1), F.greatest(F.lit(0), length - once))
-    return ranked.select("sid", "n", once.alias("once"), F.transform(keys, lambda x: x["t"]).alias("keys")).where("size(keys) > 0")
+    out = ranked.select("sid", "n", once.alias("once"), F.transform(keys, lambda x: x["t"]).alias("keys")).where("size(keys) > 0")
+    return out.join(sets.select("sid", "sketch"), "sid")
 
 
 def linked(sets: DataFrame, p: int, q: int) -> DataFrame:
     """Links (a, b) whose components are the components of all links."""
     pre = prefixes(sets, p, q).withColumn("gid", F.xxhash64("n", "once", "keys"))
     pre = written(pre, "prefixes")
-    groups = pre.groupBy("gid").agg(F.min("sid").alias("leader"), F.first("n").alias("n"), F.first("once").alias("once"), F.first("keys").alias("keys"))
-    keyed = written(groups.select("gid", "leader", "n", "once", F.posexplode("keys").alias("i", "t")).withColumn("at", F.col("once") + F.col("i")), "group-keys")
+    groups = pre.groupBy("gid").agg(F.min_by(F.struct("sid", "sketch"), "sid").alias("lead"), F.first("n").alias("n"), F.first("once").alias("once"), F.first("keys").alias("keys"))
+    groups = groups.select("gid", "n", "once", "keys", F.col("lead.sid").alias("leader"), "lead.sketch")
+    keyed = written(groups.select("gid", "leader", "n", "once", "sketch", F.posexplode("keys").alias("i", "t")).withColumn("at", F.col("once") + F.col("i")), "group-keys")
 
     # each group with the hub of the key they share most of: the group with the fewest tokens of its own
-    hubs = keyed.groupBy("t").agg(F.min(F.struct("once", "leader", "gid", "n", "at")).alias("hub"), F.count("*").alias("n_groups")).where("n_groups > 1")
-    met = keyed.join(hubs.select("t", "hub"), "t").where("gid <> hub.gid").withColumns({"hn": F.col("hub.n"), "hat": F.col("hub.at")})
-    met = met.where(_can_meet(p, q, "n", "at", "hn", "hat")).groupBy("leader", F.col("hub.leader").alias("other")).agg(F.count("*").alias("shared"))
+    hubs = keyed.groupBy("t").agg(F.min(F.struct("once", "leader", "gid", "n", "at", "sketch")).alias("hub"), F.count("*").alias("n_groups")).where("n_groups > 1")
+    met = keyed.join(hubs.select("t", "hub"), "t").where("gid <> hub.gid").withColumns({"hn": F.col("hub.n"), "hat": F.col("hub.at"), "hs": F.col("hub.sketch")})
+    met = met.where(_can_meet(p, q, "n", "at", "sketch", "hn", "hat", "hs")).groupBy("leader", F.col("hub.leader").alias("other")).agg(F.count("*").alias("shared"))
     best = met.groupBy("leader").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
     members = pre.select("gid", "sid").join(groups.select("gid", "leader"), "gid").where("sid <> leader")
     pairs = best.select(F.col("leader").alias("a"), F.col("other").alias("b")).union(members.select("sid", "leader"))
@@ -194,15 +209,15 @@ def linked(sets: DataFrame, p: int, q: int) -> DataFrame:
 
     # what is left: pairs of members on keys whose groups lie in several components
     labels = components(links)
-    rows = pre.select("sid", "n", "once", F.posexplode("keys").alias("i", "t")).join(labels, F.col("sid") == F.col("v"), "left")
-    rows = written(rows.select("t", "sid", "n", (F.col("once") + F.col("i")).alias("at"), F.coalesce("c", "sid").alias("c")), "member-keys")
+    rows = pre.select("sid", "n", "once", "sketch", F.posexplode("keys").alias("i", "t")).join(labels, F.col("sid") == F.col("v"), "left")
+    rows = written(rows.select("t", "sid", "n", "sketch", (F.col("once") + F.col("i")).alias("at"), F.coalesce("c", "sid").alias("c")), "member-keys")
     sizes = rows.groupBy("t", "c").agg(F.count("*").alias("size"))
     main = sizes.groupBy("t").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("n_c")).where("n_c > 1").select("t", "main")
     rest = rows.join(main, "t")
-    small = rest.where("c <> main").select("t", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("c").alias("ca"), "main")
-    other = rest.select(F.col("t").alias("t2"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("c").alias("cb"))
+    small = rest.where("c <> main").select("t", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("sketch").alias("sa"), F.col("c").alias("ca"), "main")
+    other = rest.select(F.col("t").alias("t2"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("sketch").alias("sb"), F.col("c").alias("cb"))
     across = small.join(other, (F.col("t") == F.col("t2")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
-                        & _can_meet(p, q, "na", "pa", "nb", "pb"))
+                        & _can_meet(p, q, "na", "pa", "sa", "nb", "pb", "sb"))
     more = verified(across.select("a", "b").distinct(), sets, p, q)
     return links.union(written(more, "links"))
 
@@ -219,7 +234,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10)
     likely = written(classes.join(met, "sid", "left_semi").select(F.col("first").alias("likely"), F.col("sid").alias("likely_sid")), "likely")
     chosen = docs.select("doc_id", "text").join(small_or_plain(likely.select("likely").distinct(), BROADCAST_DOCS), F.col("doc_id") == F.col("likely"), "left_semi")
     sets = sets_of(chosen, width).join(small_or_plain(likely.select("likely_sid"), BROADCAST_DOCS), F.col("sid") == F.col("likely_sid"), "left_semi")
-    sets = written(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "likely-sets")
+    sets = written(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "likely-sets")
     labels = written(components(linked(sets, p, q)), "component-labels")
     named = classes.join(labels, F.col("sid") == F.col("v"), "left").withColumn("c", F.coalesce("c", "sid"))
     least = named.groupBy("c").agg(F.min("first").alias("component"))
