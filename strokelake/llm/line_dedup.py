@@ -10,8 +10,11 @@ emitted as a hashed key; lines with a common key are joined through the earliest
 
 Each joined pair is verified on its words. A line is dropped if an earlier line is equal to it or within the bound.
 Lines of fewer than `min_words` words are compared for equality only. Before variants are made, lines that cannot have a
-partner are set aside without loss: of two lines within the bound, the first or the last (t - 1) div 2 words are equal,
-t being the words of the shorter; lines with no such half in common with another line emit no variants.
+partner are set aside without loss: of two lines within the bound, the first or the last c = (t - 1) div 2 words are
+equal, t being the words of the shorter. A line with no such half in common with another line emits no variants, and
+one with a common first half emits those of words after it alone (likewise for a common last half).
+
+Lines are named by a 64-bit hash and their number of characters; texts are read again where words are needed.
 
 Defined cases: null texts and lines without words are left as they are; rows that share a doc_id share their places, so
 equal lines at the same place are all kept; null doc_ids come first; an empty table gives an empty result.
@@ -22,9 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strokelake.llm.common import let, words, written
+from strokelake.llm.common import SPACE, TRIM, let, small_or_plain, written
 
 MIN_WORDS = 8
+BROADCAST_ROWS = 200_000
+BROADCAST_LINES = 1_000_000
 
 
 def _lines(text: Column) -> Column:
@@ -35,22 +40,34 @@ def _place(doc_id: str = "doc_id", line: str = "line") -> Column:
     return F.struct(F.col(doc_id).alias("doc_id"), F.col(line).alias("line"))
 
 
+def line_words(t: Column) -> Column:
+    """Words of a line with a word in it. Plain spacing, the usual case, is split without a pattern."""
+    plain = t == F.btrim(t, F.lit(TRIM))
+    for odd in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        plain = plain & ~F.contains(t, F.lit(odd))
+    return F.when(plain, F.split(t, " ")).otherwise(F.split(F.btrim(t, F.lit(TRIM)), SPACE))
+
+
+def _named(w: Column) -> tuple[Column, Column]:
+    return F.xxhash64(w), F.octet_length(F.array_join(w, " "))
+
+
 def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, line, n, h1, h2, halves): one per line with a word; texts are not kept."""
+    """Rows (doc_id, line, n, h, size, keys): one per line with a word; texts are not kept.
 
-    def half_keys(w: Column) -> Column:
-        keys = []
-        for less in (0, 1):  # partners of the same length or one word more, and of one word less
-            t = F.size(w) - less
-            c = F.floor((t - 1) / 2).cast("int")
-            keys += [F.xxhash64(t, F.lit("p"), F.slice(w, F.lit(1), c)), F.xxhash64(t, F.lit("s"), F.slice(w, F.size(w) - c + 1, c))]
-        return F.when(F.size(w) >= min_words, F.array(*keys))
+    keys: (c, hash) of the first c words and (-c, hash) of the last c, for every c a partner may share.
+    """
+    each = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("line", "t")).where(F.btrim("t", F.lit(TRIM)) != "")
+    each = each.select("doc_id", "line", F.explode(F.array(line_words(F.col("t")))).alias("w"))  # a generator, so that words are split once
+    w, n = F.col("w"), F.size("w")
+    h, size = _named(w)
+    long, short = F.floor((n - 1) / 2).cast("int"), F.floor((n - 2) / 2).cast("int")
 
-    def described(w: Column) -> Column:
-        return F.struct(F.size(w).alias("n"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"), half_keys(w).alias("halves"))
+    def halves(c: Column) -> list[Column]:
+        return [F.struct(c.alias("c"), F.xxhash64(c, F.slice(w, F.lit(1), c)).alias("k")), F.struct((-c).alias("c"), F.xxhash64(-c, F.slice(w, n - c + 1, c)).alias("k"))]
 
-    exploded = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("line", "t"))
-    return exploded.select("doc_id", "line", let(words(F.col("t")), described).alias("d")).select("doc_id", "line", "d.*").where("n > 0")
+    keys = F.when(n >= min_words, F.when(long == short, F.array(*halves(long))).otherwise(F.array(*halves(long), *halves(short))))
+    return each.select("doc_id", "line", n.alias("n"), h.alias("h"), size.alias("size"), keys.alias("keys"))
 
 
 def one_word_apart(a: Column, b: Column) -> Column:
@@ -70,70 +87,86 @@ def one_word_apart(a: Column, b: Column) -> Column:
     return F.when(F.size(a) >= F.size(b), check(a, b)).otherwise(check(b, a))
 
 
-def near_lines(lines: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """From a line table: distinct lines (h1, h2, first, n, halves), and (h1, h2) of those with an earlier line in the bound."""
-    distinct = written(lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves")), "lines-distinct")
-    keyed = distinct.where("halves IS NOT NULL").select("h1", "h2", "first", F.explode("halves").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    likely = keyed.join(shared, "key", "left_semi").select("h1", "h2", "first").distinct()
-    # The words of each such line, from its first place.
-    wanted = likely.groupBy(F.col("first.doc_id").alias("wanted_doc")).agg(F.collect_list(F.struct("h1", "h2", F.col("first.line").alias("line"))).alias("wanted"))
+def likely_lines(lines: DataFrame) -> DataFrame:
+    """Rows (h, size, first, low, high): lines that share a half with another, and the places low .. high - 1 where they
+    may differ from a partner, counted in the longer of two lines."""
+    keyed = lines.where("keys IS NOT NULL").select("h", "size", "doc_id", "line", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy(F.col("key.k").alias("k")).agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
+    shared = small_or_plain(written(shared, "lines-halves"), BROADCAST_ROWS)
+    met = keyed.join(shared, F.col("key.k") == F.col("k"), "left_semi").withColumn("c", F.col("key.c"))
+    low = F.coalesce(F.min(F.when(F.col("c") >= 0, F.col("c"))), F.lit(1 << 30))
+    back = F.coalesce(F.min(F.when(F.col("c") <= 0, -F.col("c"))), F.lit(1 << 30))
+    found = met.groupBy("h", "size", "n").agg(F.min(_place()).alias("first"), low.alias("low"), back.alias("back"))
+    # a common first half alone: from its end on; a common last half alone: up to its start; both: anywhere
+    both = (F.col("low") < 1 << 30) & (F.col("back") < 1 << 30)
+    return found.select("h", "size", "first", F.when(both | (F.col("low") == 1 << 30), 0).otherwise(F.col("low")).alias("low"),
+                        F.when(both | (F.col("back") == 1 << 30), F.col("n")).otherwise(F.col("n") - F.col("back")).alias("high"))
+
+
+def lines_with_words(docs: DataFrame, likely: DataFrame) -> DataFrame:
+    """The likely lines with their words, from their first places."""
+    wanted = likely.groupBy(F.col("first.doc_id").alias("wanted_doc")).agg(F.collect_list(F.struct("h", "size", F.col("first.line").alias("line"), "low", "high")).alias("wanted"))
+    wanted = small_or_plain(written(wanted, "lines-wanted"), BROADCAST_ROWS) if likely.count() <= BROADCAST_LINES else wanted
     found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_doc")))
-    found = let_lines(found)
-    cand = written(found, "lines-candidates")
+    picked = let(_lines(F.col("text")), lambda t: F.transform("wanted", lambda x: F.struct(
+        x["h"].alias("h"), x["size"].alias("size"), F.struct(F.col("doc_id").alias("doc_id"), x["line"].alias("line")).alias("first"), x["low"].alias("low"), x["high"].alias("high"),
+        F.get(t, x["line"]).alias("t"))))
+    rows = found.select(F.inline(picked)).where("t IS NOT NULL").withColumn("words", line_words(F.col("t")))
+    # rows that share a doc_id may hold another line at that place
+    rows = rows.where(F.xxhash64("words") == F.col("h")).groupBy("h", "size").agg(F.first(F.struct("first", "low", "high", "words")).alias("r"))
+    return rows.select("h", "size", "r.*", F.size("r.words").alias("n"))
 
-    at = Window.partitionBy("h1", "h2")
+
+def near_lines(lines: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows (h, size) of the distinct lines with an earlier line within the bound."""
+    cand = written(lines_with_words(docs, written(likely_lines(lines), "lines-likely")), "lines-candidates")
+
+    at = Window.partitionBy("h", "size")
     before = at.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     upto = at.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = cand.select("h1", "h2", "first", "n", F.posexplode("words").alias("pos", "word"))
-    here, moved = F.xxhash64("word", "pos"), F.xxhash64("word", F.col("pos") - 1)
-    w = w.select("h1", "h2", "first", "n", "pos", here.alias("here"), moved.alias("moved"))
+    w = cand.select("h", "size", "first", "n", "low", "high", F.posexplode("words").alias("pos", "word"))
+    w = w.select("h", "size", "first", "n", "low", "high", "pos", F.xxhash64("word", "pos").alias("here"), F.xxhash64("word", F.col("pos") - 1).alias("moved"))
     zero = F.lit(0).cast("long")
     w = w.withColumns({"all": F.bit_xor("here").over(at), "head": F.coalesce(F.bit_xor("here").over(before), zero),
                        "tail": F.bit_xor("moved").over(at).bitwiseXOR(F.bit_xor("moved").over(upto))})
-    replaced = F.xxhash64(F.lit("r"), "n", "pos", F.col("all").bitwiseXOR(F.col("here")))
-    deleted = F.when(F.col("n") > min_words, F.xxhash64(F.lit("d"), F.col("n") - 1, F.col("head").bitwiseXOR(F.col("tail"))))
+    inside = F.col("pos").between(F.col("low"), F.col("high") - 1)
+    replaced = F.when(inside, F.xxhash64(F.lit("r"), "n", "pos", F.col("all").bitwiseXOR(F.col("here"))))
+    deleted = F.when(inside & (F.col("n") > min_words), F.xxhash64(F.lit("d"), F.col("n") - 1, F.col("head").bitwiseXOR(F.col("tail"))))
     full = F.when(F.col("pos") == 0, F.xxhash64(F.lit("d"), "n", F.col("all")))
     emitted = F.array(F.struct(replaced.alias("key"), F.lit("r").alias("role")), F.struct(deleted.alias("key"), F.lit("d").alias("role")),
                       F.struct(full.alias("key"), F.lit("f").alias("role")))
-    variants = w.select("h1", "h2", "first", F.inline(emitted)).where("key IS NOT NULL")
+    variants = w.select("h", "size", "first", F.inline(emitted)).where("key IS NOT NULL")
     variants = written(variants, "lines-variants")
-    line = F.struct("first", "h1", "h2")
-    met = variants.groupBy("key").agg(F.min(F.when(F.col("role") != "f", line)).alias("least"), F.min(F.when(F.col("role") == "f", line)).alias("whole"), F.count("*").alias("n"))
-    met = met.where("n > 1").select("key", "least", "whole")
+    met = written(variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "lines-met")
+    variants = written(variants.join(small_or_plain(met, BROADCAST_ROWS), "key", "left_semi"), "lines-joined")
+    line = F.struct("first", "h", "size")
+    least = variants.groupBy("key").agg(F.min(F.when(F.col("role") != "f", line)).alias("least"), F.min(F.when(F.col("role") == "f", line)).alias("whole"))
     partner = F.when(F.col("role") == "d", F.col("whole")).otherwise(F.col("least"))
-    pairs = variants.join(met, "key").withColumn("partner", partner).where("partner.first < first")
-    pairs = pairs.select("h1", "h2", F.col("partner.h1").alias("p1"), F.col("partner.h2").alias("p2")).distinct()
-    own = cand.select("h1", "h2", "words")
-    other = cand.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("words").alias("partner_words"))
-    near = pairs.join(own, ["h1", "h2"]).join(other, ["p1", "p2"]).where(one_word_apart(F.col("words"), F.col("partner_words")))
-    return distinct, near.select("h1", "h2").distinct()
-
-
-def let_lines(found: DataFrame) -> DataFrame:
-    """The wanted lines of each document as rows (h1, h2, first, n, words)."""
-    picked = let(_lines(F.col("text")), lambda t: F.transform("wanted", lambda x: F.struct(
-        x["h1"].alias("h1"), x["h2"].alias("h2"), F.struct(F.col("doc_id").alias("doc_id"), x["line"].alias("line")).alias("first"), F.get(t, x["line"]).alias("t"))))
-    rows = found.select(F.inline(picked)).withColumn("words", words(F.col("t")))
-    # rows that share a doc_id may hold another line at that place
-    return rows.where((F.xxhash64("words") == F.col("h1")) & (F.xxhash64(F.lit(1), "words") == F.col("h2"))).groupBy("h1", "h2").agg(
-        F.first("first").alias("first"), F.first("words").alias("words")).select("h1", "h2", "first", F.size("words").alias("n"), "words")
+    pairs = variants.join(least, "key").withColumn("partner", partner).where("partner.first < first")
+    pairs = pairs.select("h", "size", F.col("partner.h").alias("ph"), F.col("partner.size").alias("psize")).distinct()
+    other = cand.select(F.col("h").alias("ph"), F.col("size").alias("psize"), F.col("words").alias("partner_words"))
+    near = pairs.join(cand.select("h", "size", "words"), ["h", "size"]).join(other, ["ph", "psize"]).where(one_word_apart(F.col("words"), F.col("partner_words")))
+    return near.select("h", "size").distinct()
 
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (doc_id, lines, equal): per document the numbers of its dropped lines, and how many equal an earlier line."""
     lines = written(line_table(docs, min_words), "lines")
-    distinct, near = near_lines(lines, docs, min_words)
-    marked = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    placed = lines.select("doc_id", "line", "h1", "h2").join(marked, ["h1", "h2"])
-    equal = _place() != F.col("first")
-    return (placed.withColumn("equal", ~_place().eqNullSafe(F.col("first"))).where("near OR equal")
-            .groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.sum(F.col("equal").cast("long")).alias("equal")))
+    near = near_lines(lines, docs, min_words).select("h", "size", F.lit(None).cast(lines.select(_place().alias("p")).schema["p"].dataType).alias("first"), F.lit(True).alias("near"))
+    again = lines.groupBy("h", "size").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "size", "first", F.lit(False).alias("near"))
+    marked = again.unionByName(near).groupBy("h", "size").agg(F.max("first").alias("first"), F.max("near").alias("near"))
+    marked = small_or_plain(written(marked, "lines-marked"), BROADCAST_ROWS)
+    placed = lines.select("doc_id", "line", "h", "size").join(marked, ["h", "size"])
+    equal = F.col("first").isNotNull() & ~_place().eqNullSafe(F.col("first"))
+    return (placed.withColumn("equal", equal).where("near OR equal").groupBy("doc_id")
+            .agg(F.collect_set("line").alias("lines"), F.sum(F.col("equal").cast("long")).alias("equal")))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (row, kept_text, n_lines, n_dropped, n_equal): the input row, and its text without the dropped lines."""
-    gone = dropped_lines(docs, min_words).select(F.col("doc_id").alias("gone_doc"), F.col("lines").alias("gone"), "equal")
+    gone = written(dropped_lines(docs, min_words).select(F.col("doc_id").alias("gone_doc"), F.col("lines").alias("gone"), "equal"), "lines-gone")
+    if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES:
+        gone = small_or_plain(gone, BROADCAST_ROWS)
     rows = docs.select(F.struct(*docs.columns).alias("row")).join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_doc")), "left")
 
     def rest(t: Column) -> Column:
