@@ -1,6 +1,6 @@
 """Queries over the given tables, and their SQL twins."""
 
-from strokelake.plans import geometry, quality, tokens
+from strokelake.plans import geometry, quality, sampling, tokens
 from strokelake.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "geometry", "quality", "tokens"]
+__all__ = ["QUERIES", "SQL", "geometry", "quality", "sampling", "tokens"]
