@@ -1,6 +1,6 @@
 """Queries over the given tables, and their SQL twins."""
 
-from strokelake.plans import geometry, quality, sampling, tokens, vectors
+from strokelake.plans import files, geometry, quality, sampling, scoring, tokens, vectors
 from strokelake.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "geometry", "quality", "sampling", "tokens", "vectors"]
+__all__ = ["QUERIES", "SQL", "files", "geometry", "quality", "sampling", "scoring", "tokens", "vectors"]
