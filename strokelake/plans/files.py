@@ -101,7 +101,7 @@ def k01_batch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs.repartition(4, "key").write.parquet(slim)
     stream = spark.readStream.schema("shard bigint, key bigint, length int").option("maxFilesPerTrigger", 2).parquet(slim)
     out = scratch(spark)
-    running = streams.batch_stream(stream, 4096, 64, 768, pool=64).writeStream.format("parquet").option("checkpointLocation", scratch(spark)).option("path", out).trigger(availableNow=True).start()
+    running = streams.batch_stream(stream, 4096, 64, 768, pool=16).writeStream.format("parquet").option("checkpointLocation", scratch(spark)).option("path", out).trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema("shard bigint, batch bigint, key bigint, width int").parquet(out)
 
