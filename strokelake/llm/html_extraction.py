@@ -79,7 +79,8 @@ def never_content(tag: str, attributes: str, inside_content: bool) -> int:
 class Page:
     """Tokens in order: kinds (feature names), texts of words runs (else None), block numbers, and whether in a content element."""
 
-    def __init__(self, page: str) -> None:
+    def __init__(self, page: str, strict: bool = True) -> None:
+        """Without `strict`, marks that layout wrappers carry as well are not heeded."""
         self.kinds: list[str] = []
         self.texts: list[str | None] = []
         self.blocks: list[int] = []
@@ -121,6 +122,7 @@ class Page:
                 if tag in ("li", "option", "tr", "td", "th", "dd", "dt"):
                     self.close(stack, tag, {"ul", "ol", "table", "dl", "select", "menu", "nav"})
                 own = never_content(tag, attributes, content)
+                own = own if strict or own > 1 else 0
                 is_content = content or tag in ("article", "main")
                 self.labelled |= tag in ("article", "main") and marked < 2
                 if tag in ("article", "main") and marked == 1:
@@ -198,6 +200,11 @@ class Page:
         return " ".join(b for b in whole if b)
 
 
+def main_text(page: str, weights: dict[str, float]) -> str:
+    """The page's main text; if all of it lies in marked layout wrappers, they are looked into."""
+    return Page(page).main_text(weights) or Page(page, strict=False).main_text(weights)
+
+
 def fit(pages: DataFrame, limit: int = FIT_PAGES) -> dict[str, float]:
     """Weights: log odds of lying inside the labelled region, by kind of token, shrunk towards the prior weights."""
 
@@ -231,7 +238,7 @@ def extract(pages: DataFrame, limit: int = FIT_PAGES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(t.as_py() or "").main_text(weights) for t in batch.column(2)]
+            texts = [main_text(t.as_py() or "", weights) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
