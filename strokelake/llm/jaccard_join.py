@@ -3,10 +3,11 @@
 A document's set holds its distinct word shingles (hashed to 64 bits). Two sets link if `q * |A and B| >= p * |A or B|`.
 
 1. Equal sets collapse to one class.
-2. A lossless screen leaves classes that can have a partner: linked sets differ in at most k tokens, so of k + 1 hash
-   ranges at least one holds the same tokens in both. A class none of whose ranges recurs elsewhere has no link.
-3. Tokens are ordered rarest first. Linked sets share a token among their first n - ceil(p n / q) + 1. Tokens that occur
-   once take their place in that prefix but are no keys. Classes with equal prefix and size form one group.
+2. Tokens are ordered rarest first, and linked sets share a token among their first n - ceil(p n / q) + 1. It is enough to
+   order a part of the hash space, the same part for all: a set keeps that guarantee there as long as it has more tokens
+   in it than it may lose, n - ceil(p n / q). Sets that have fewer (small ones) are ordered a second time over all their
+   tokens, in a key space of their own, where any two of them meet.
+3. Tokens that occur once take their place in a prefix but are no keys. Classes with equal prefix and size form one group.
 4. Groups meet on prefix tokens, and the size, position and sketch filters drop pairs. First each group meets only the hub of
    the token it shares most with, and members their group's leader; pairs are verified on the whole sets and links
    joined to components. Then, for tokens whose groups still lie in several components, groups are expanded and all
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strokelake.llm.common import small_or_plain, written
@@ -68,55 +69,57 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def size_classes(p: int, q: int, most: int = 1 << 40) -> list[int]:
-    """First sizes of the size classes: sizes under 2 stand alone, then each class spans a factor of 1.5."""
-    out = [1]
-    while out[-1] < most:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+def universe(p: int, q: int) -> float:
+    """The share of the hash space that is ordered: it grows with what linked sets may lose."""
+    return min(1.0, 0.3 + (1 - p / q))
+
+
+def spaces(tokens: np.ndarray, p: int, q: int) -> list[np.ndarray]:
+    """The tokens to order: those in the common part of the hash space, and for sets with too few there all, told apart by a bit."""
+    some = tokens[: np.searchsorted(tokens, U(int(universe(p, q) * (2**64 - 1))), "right")]
+    out = [some & ~U(1)]
+    if len(some) <= len(tokens) - -(-p * len(tokens) // q):
+        out.append(tokens | U(1))
     return out
 
 
-def range_signatures(tokens: np.ndarray, p: int, q: int, bounds: np.ndarray) -> np.ndarray:
-    """A signature for each hash range of the set: for its own size class and, if a partner can be there, the one below."""
-    n = len(tokens)
-    c = int(np.searchsorted(bounds, n, "right")) - 1
-    out = []
-    for at in (c, c - 1):
-        if at < 0 or at < c and int(bounds[c]) - 1 < -(-p * n // q):
-            continue
-        top = int(bounds[at + 1]) - 1
-        parts = (top + top * q // p) * (q - p) // (q + p) + 1
-        if parts == 1:  # only equal sets can link
-            continue
-        where = ((tokens >> U(32)) * U(parts)) >> U(32)
-        sig = _stir(np.arange(parts, dtype=U) * U(0x9E3779B97F4A7C15) + U(at * 2 + 1))
-        starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-        np.bitwise_xor.at(sig, where[starts].astype(np.int64), np.bitwise_xor.reduceat(_stir(tokens + U(at)), starts))
-        out.append(_stir(sig))
-    return np.concatenate(out) if out else np.empty(0, U)
-
-
-def shingled(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """Rows (doc_id, n, sid, sid2, sigs): set size, 128-bit set id and range signatures."""
-    bounds = np.array(size_classes(p, q), U)
+def set_id(tokens: np.ndarray) -> tuple[int, int]:
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), "<i8").tolist()
+    return a, b
+
+
+def shingled(docs: DataFrame, width: int) -> DataFrame:
+    """Rows (doc_id, n, sid, sid2): set size and 128-bit set id."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sid, sid2, sigs, seen = [], [], [], [], set()
-            for text in batch.column(1):
+            sets = [shingle_set(text.as_py(), width) for text in batch.column(1)]
+            ids = [set_id(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([i for i, _ in ids], pa.int64()), pa.array([j for _, j in ids], pa.int64())],
+                                             names=["doc_id", "n", "sid", "sid2"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(describe, f"doc_id {kind}, n int, sid bigint, sid2 bigint")
+
+
+def ordered_tokens(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """Rows (doc_id, sid, n, tokens): the tokens to order, a second row for sets that need one; equal sets of a batch once."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, seen = [], set()
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = shingle_set(text.as_py(), width)
-                name = xxhash.xxh3_128_digest(tokens.tobytes())
-                a, b = np.frombuffer(name, "<i8").tolist()
-                n.append(len(tokens))
-                sid.append(a)
-                sid2.append(b)
-                sigs.append(None if name in seen or not len(tokens) else range_signatures(tokens, p, q, bounds).view(np.int64))
-                seen.add(name)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.array(sid2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
-                                             names=["doc_id", "n", "sid", "sid2", "sigs"])
+                sid = set_id(tokens)[0]
+                if len(tokens) and (doc_id, sid) not in seen:
+                    seen.add((doc_id, sid))
+                    rows += [(doc_id, sid, len(tokens), part.view(np.int64)) for part in spaces(tokens, p, q)]
+            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.list_(pa.int64()))],
+                                             names=["doc_id", "sid", "n", "tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(describe, f"doc_id {kind}, n int, sid bigint, sid2 bigint, sigs array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(describe, f"doc_id {kind}, sid bigint, n int, tokens array<bigint>")
 
 
 def parity_sketch(tokens: np.ndarray) -> np.ndarray:
@@ -132,7 +135,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(text.as_py(), width) for text in batch.column(0)]
-            sid = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")[0] for s in sets]
+            sid = [set_id(s)[0] for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                                               pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64()))], names=["sid", "n", "tokens", "sketch"])
 
@@ -178,21 +181,24 @@ def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(q * both >= p * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
-def prefixes(sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Rows (sid, n, once, keys, sketch): the prefix in order of rarity; `once` counts its tokens that no other set has."""
-    tokens = sets.select("sid", "n", F.explode("tokens").alias("t"))
-    often = tokens.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = tokens.join(often, "t").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("ft"))
+def prefixes(tokens: DataFrame, p: int, q: int) -> DataFrame:
+    """Rows (sid, n, once, keys): prefixes in order of rarity; `once` counts their tokens that no other set has.
+
+    From rows (sid, n, all), `all` the tokens of a set to order. Keys in no other prefix are left out at the end.
+    """
+    each = tokens.select("sid", "n", F.size("all").alias("m"), F.explode("all").alias("t"))
+    often = each.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
+    space = F.col("t").bitwiseAND(F.lit(1))
+    ranked = each.join(often, "t").groupBy("sid", "n", "m", space.alias("space")).agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("ft"))
     length = F.col("n") - F.ceil(p * F.col("n") / q).cast("int") + 1
-    once = F.col("n") - F.size("ft")
+    once = F.col("m") - F.size("ft")
     keys = F.slice("ft", F.lit(1), F.greatest(F.lit(0), length - once))
-    out = ranked.select("sid", "n", once.alias("once"), F.transform(keys, lambda x: x["t"]).alias("keys")).where("size(keys) > 0")
-    return out.join(sets.select("sid", "sketch"), "sid")
+    return ranked.select("sid", "n", once.alias("once"), F.transform(keys, lambda x: x["t"]).alias("keys")).where("size(keys) > 0")
 
 
-def linked(sets: DataFrame, p: int, q: int) -> DataFrame:
+def linked(pre: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """Links (a, b) whose components are the components of all links."""
-    pre = prefixes(sets, p, q).withColumn("gid", F.xxhash64("n", "once", "keys"))
+    pre = pre.join(sets.select("sid", "sketch"), "sid").withColumn("gid", F.xxhash64("n", "once", "keys"))
     pre = written(pre, "prefixes")
     groups = pre.groupBy("gid").agg(F.min_by(F.struct("sid", "sketch"), "sid").alias("lead"), F.first("n").alias("n"), F.first("once").alias("once"), F.first("keys").alias("keys"))
     groups = groups.select("gid", "n", "once", "keys", F.col("lead.sid").alias("leader"), "lead.sketch")
@@ -224,18 +230,26 @@ def linked(sets: DataFrame, p: int, q: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per input row."""
-    slim = written(shingled(docs, width, p, q), "sets")
-    classes = written(slim.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid", "sid2").agg(F.min("doc_id").alias("first")), "classes")
-    # one row per class in each batch has signatures: the rest of the screen sees distinct sets
-    signed = slim.where("sigs IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid").agg(F.first("sigs").alias("sigs"))
-    sigs = signed.select("sid", F.explode("sigs").alias("sig"))
-    both = Window.partitionBy("sig")
-    met = sigs.withColumns({"lo": F.min("sid").over(both), "hi": F.max("sid").over(both)}).where("lo <> hi").select("sid").distinct()
+    slim = written(shingled(docs, width), "sets")
+    classes = written(slim.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid", "sid2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
+    tokens = ordered_tokens(docs.where("doc_id IS NOT NULL"), width, p, q)
+    # of equal sets, those of other documents than the first go; a first document may still be there in several rows
+    copies = slim.where("n > 0").join(classes.where("copies > 1").select("sid", "sid2", "first"), ["sid", "sid2"]).where("doc_id <> first").select(F.col("doc_id").alias("d"), F.col("sid").alias("s")).distinct()
+    copies = small_or_plain(written(copies, "copies"), BROADCAST_DOCS)
+    tokens = tokens.join(copies, (F.col("doc_id") == F.col("d")) & (F.col("sid") == F.col("s")), "left_anti").select("sid", "n", F.col("tokens").alias("all"))
+    if slim.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
+        tokens = tokens.groupBy("sid", "n", F.get("all", F.lit(0)).bitwiseAND(F.lit(1)).alias("space")).agg(F.first("all").alias("all"))
+    pre = written(prefixes(tokens, p, q), "all-prefixes")
+    keys = pre.select("sid", F.explode("keys").alias("t"))
+    shared = keys.groupBy("t").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("t")
+    met = written(keys.join(shared, "t", "left_semi").select("sid").distinct(), "met")
     likely = written(classes.join(met, "sid", "left_semi").select(F.col("first").alias("likely"), F.col("sid").alias("likely_sid")), "likely")
     chosen = docs.select("doc_id", "text").join(small_or_plain(likely.select("likely").distinct(), BROADCAST_DOCS), F.col("doc_id") == F.col("likely"), "left_semi")
     sets = sets_of(chosen, width).join(small_or_plain(likely.select("likely_sid"), BROADCAST_DOCS), F.col("sid") == F.col("likely_sid"), "left_semi")
-    sets = written(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "likely-sets")
-    labels = written(components(linked(sets, p, q)), "component-labels")
+    sets = written(sets, "likely-sets")
+    if sets.count() > likely.count():  # rows that share a doc_id
+        sets = written(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "likely-sets")
+    labels = written(components(linked(pre, sets, p, q)), "component-labels")
     named = classes.join(labels, F.col("sid") == F.col("v"), "left").withColumn("c", F.coalesce("c", "sid"))
     least = named.groupBy("c").agg(F.min("first").alias("component"))
     named = named.select("sid", "sid2", "c").join(least, "c").select(F.col("sid").alias("s"), F.col("sid2").alias("s2"), "component")
