@@ -219,7 +219,8 @@ def fit(pages: DataFrame, limit: int = FIT_PAGES) -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64())],
                                          names=["kind", "inside", "n"])
 
-    sample = pages.where("html IS NOT NULL").select("html", "page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(limit).select("html")
+    chosen = pages.where("html IS NOT NULL").select(F.col("page_id").alias("chosen")).orderBy(F.xxhash64("chosen"), "chosen").limit(limit).distinct()
+    sample = pages.join(F.broadcast(chosen), F.col("page_id").eqNullSafe(F.col("chosen")), "left_semi").select("html")
     found = {(r.kind, r.inside): r.n for r in sample.mapInArrow(count, "kind string, inside boolean, n bigint").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()}
     weights = {}
     for kind, prior in PRIOR.items():
