@@ -123,6 +123,35 @@ SELECT page_id, file_id, row_number() OVER w - 1 AS place, coalesce(sum(length)
 FROM h WINDOW w AS (PARTITION BY file_id ORDER BY page_id, hash)
 """
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP5 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i : i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 90 * (x.n + y.n - i)),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+OP10 = rf"""
+WITH l AS (SELECT doc_id, i, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM
+  (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL)),
+d AS (SELECT w, min(struct_pack(d := doc_id, i := i)) AS first, len(w) AS n FROM l WHERE len(w) > 0 GROUP BY w),
+h AS (SELECT *, (m - 1) // 2 AS c FROM (SELECT *, unnest([n, n - 1]) AS m FROM d WHERE n >= {line_dedup.MIN_WORDS})),
+k AS (SELECT w, first, n, m, 'p' AS kind, w[:c] AS part FROM h UNION ALL SELECT w, first, n, m, 's', w[n - c + 1 :] FROM h),
+pairs AS (SELECT DISTINCT a.w AS v, b.w AS w FROM k a JOIN k b ON a.m = b.m AND a.kind = b.kind AND a.part = b.part AND a.first < b.first),
+sized AS (SELECT w, CASE WHEN len(v) >= len(w) THEN v ELSE w END AS x, CASE WHEN len(v) >= len(w) THEN w ELSE v END AS y FROM pairs),
+near AS (SELECT DISTINCT w FROM sized WHERE len(x) - len(y) <= 1 AND CASE WHEN len(x) = len(y) THEN list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] <> y[j])::INT)) <= 1
+  ELSE list_bool_or(list_transform(range(1, len(x) + 1), lambda j: list_concat(x[: j - 1], x[j + 1 :]) = y)) END),
+marked AS (SELECT l.*, d.first IS NOT NULL AND d.first <> struct_pack(d := doc_id, i := l.i) AS equal, near.w IS NOT NULL AS close FROM l LEFT JOIN d ON l.w = d.w LEFT JOIN near ON l.w = near.w),
+per AS (SELECT doc_id, count(*) AS n, sum((equal OR close)::INT) AS gone, sum(equal::INT) AS eq, coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (NOT (equal OR close)), '') AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_dropped, coalesce(eq, 0)::BIGINT AS n_equal, length(coalesce(kept, ''))::BIGINT AS kept_chars, md5(coalesce(kept, '')) AS kept_md5
+FROM documents LEFT JOIN per USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_fixity": OP7, "op8_host_rules": OP8, "op9_mixing": OP9}
+    return {"op5_jaccard_join": OP5, "op10_line_dedup": OP10, "op7_warc_fixity": OP7, "op8_host_rules": OP8, "op9_mixing": OP9}
