@@ -36,7 +36,7 @@ def sheet(ink: DataFrame, columns: int, gap: float) -> DataFrame:
     return moved.withColumn("strokes", g.map_points(F.col("strokes"), lambda p: F.struct((p["x"] + shift_x).alias("x"), (p["y"] + shift_y).alias("y")))).drop("number")
 
 
-def numbered(rows: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
+def numbered(rows: DataFrame, key: str) -> DataFrame:
     """Adds `number`, the place of each row in order of `key` (a unique string), without sorting all rows in one task.
 
     Rows are counted by the key's first bytes; a bucket starts where the counts before it end.

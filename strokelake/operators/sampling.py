@@ -48,7 +48,7 @@ def weighted_draws(rows: DataFrame, n_draws: int, group: str, weight: str, key:
     draws = draws.withColumn("cell", F.floor(F.col("u") * cells).cast("int"))
     hit = draws.join(spans, "cell").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
     limit = F.floor(uniform(seed, F.col("draw"), 1) * F.least(F.lit(most), F.col("n"))).cast("int") + 1
-    members = hit.select("draw", group, limit.alias("limit")).join(rows.select(group, key), group)
+    members = hit.select("draw", group, limit.alias("limit")).join(rows.select(group, key), group)  # a group is one writer's words
     place = F.row_number().over(Window.partitionBy("draw").orderBy(uniform(seed, F.concat_ws("/", F.col("draw").cast("string"), F.col(key).cast("string")), 2), key))
     return members.withColumn("place", place).where(F.col("place") <= F.col("limit")).select("draw", group, key, "place")
 

@@ -168,8 +168,3 @@ def b19_token_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each base token keeps the place of the token that drew it; with no merges that is its own."""
     owned = decode.owners(tokens(spark, sf_dir), [[t] for t in range(10)])
     return owned.select("id", F.col("owner").alias("point"), "token")
-
-
-def token_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.roles(tokens(spark, sf_dir))
-
