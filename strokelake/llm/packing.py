@@ -29,7 +29,7 @@ END_ID = 0
 ITEMS_PER_TASK = 20_000
 FAN_IN = 8
 SLACK = 16  # a bin with at most this room is nearly full
-CACHE_WORDS = 700_000
+CACHE_WORDS = 450_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
