@@ -20,7 +20,7 @@ from strokelake.llm.common import n_words, small_or_plain, written
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix"
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 5_000
 BROADCAST_SOURCES = 50_000
 
 
