@@ -142,7 +142,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(describe, "sid bigint, n int, tokens array<bigint>, sketch array<bigint>")
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Rows (v, c): c the least node reachable over edges (a, b). Least labels spread to neighbours and skip ahead to
     their label's label, so the rounds grow with the logarithm of the longest path."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
@@ -184,7 +184,7 @@ def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 def prefixes(tokens: DataFrame, p: int, q: int) -> DataFrame:
     """Rows (sid, n, once, keys): prefixes in order of rarity; `once` counts their tokens that no other set has.
 
-    From rows (sid, n, all), `all` the tokens of a set to order. Keys in no other prefix are left out at the end.
+    From rows (sid, n, all), `all` the tokens of a set to order.
     """
     each = tokens.select("sid", "n", F.size("all").alias("m"), F.explode("all").alias("t"))
     often = each.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
