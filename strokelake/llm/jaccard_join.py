@@ -71,12 +71,12 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 def universe(p: int, q: int) -> float:
     """The share of the hash space that is ordered: it grows with what linked sets may lose."""
-    return min(1.0, 0.3 + (1 - p / q))
+    return min(1.0, 0.05 + 2 * (1 - p / q))
 
 
 def spaces(tokens: np.ndarray, p: int, q: int) -> list[np.ndarray]:
     """The tokens to order: those in the common part of the hash space, and for sets with too few there all, told apart by a bit."""
-    some = tokens[: np.searchsorted(tokens, U(int(universe(p, q) * (2**64 - 1))), "right")]
+    some = tokens[: np.searchsorted(tokens, U(min(int(universe(p, q) * 2**64), 2**64 - 1)), "right")]
     out = [some & ~U(1)]
     if len(some) <= len(tokens) - -(-p * len(tokens) // q):
         out.append(tokens | U(1))
