@@ -78,7 +78,7 @@ def e08_core_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e08_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang <> 'en'")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", textops.plain(F.col("text")).alias("plain"))
 
 
