@@ -11,8 +11,9 @@ Lists are cut into blocks and dealt to shards of at most `SHARD` entries; querie
 their lists, and each shard returns every query's best, scored in double precision on the original vectors.
 
 Defined cases: vectors that are null, all zero, of another dimension than most, or with null or non-finite components
-take no part; rows that share a vec_id count as one vector with the best of their scores, and a query never meets its own
-vec_id; rows with null vec_id take no part; an empty table gives an empty result; other columns are not read.
+take no part; rows that share a vec_id count as one vector with the best of their scores, among the queries as well, and a
+query never meets its own vec_id; rows with null vec_id take no part; an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def fit(rows: DataFrame, lists: int = LISTS, sample: int = SAMPLE) -> Index | No
 
 
 def best_of_shard(queries: pa.Table, entries: pa.Table, k: int) -> pa.Table:
-    """The best k of a shard for each query, ties included."""
+    """The best k vec_ids of a shard for each query row, ties included, each with the best of its scores."""
     q, qid = matrix(queries.column("v")), queries.column("query_id").to_numpy()
     v, vid = matrix(entries.column("v")), entries.column("vec_id").to_numpy()
     unit = entries.column("unit").to_numpy()
@@ -175,16 +176,21 @@ def best_of_shard(queries: pa.Table, entries: pa.Table, k: int) -> pa.Table:
     kept: list[list[np.ndarray]] = [[] for _ in range(len(q))]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         members = order[a:b]
+        members = members[np.argsort(vid[members], kind="stable")]
         if (asking := wanted.get(int(unit[members[0]]))) is None:
             continue
         scores = q[asking] @ v[members].T
         scores[qid[asking][:, None] == vid[members][None]] = -np.inf
-        if len(members) > k:  # a little below the k-th best, since block products round differently
-            cut = np.partition(scores, -k, axis=1)[:, -k] - 1e-9 * np.maximum(1, np.abs(scores).max(1, where=np.isfinite(scores), initial=0))
-        else:
-            cut = np.full(len(asking), -np.inf)
-        for i, row, low in zip(asking, scores, cut, strict=True):
-            kept[i].append(members[(row >= low) & np.isfinite(row)])
+        slack = 1e-9 * np.maximum(1, np.abs(scores).max(1, where=np.isfinite(scores), initial=0))  # block products round differently
+        first = np.flatnonzero(np.r_[True, np.diff(vid[members]) != 0])
+        single = len(first) == len(members)
+        tops = scores if single else np.maximum.reduceat(scores, first, axis=1)  # the best of each vec_id
+        cut = np.partition(tops, -k, axis=1)[:, -k] - slack if len(first) > k else np.full(len(asking), -np.inf)
+        if not single:
+            copies = np.diff(np.r_[first, len(members)])
+        for n, (i, row, low) in enumerate(zip(asking, scores, cut, strict=True)):
+            near = row >= low if single else row >= np.maximum(low, np.repeat(tops[n] - slack[n], copies))
+            kept[i].append(members[near & np.isfinite(row)])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i, parts in enumerate(kept):
         if not parts:
@@ -200,9 +206,11 @@ def best_of_shard(queries: pa.Table, entries: pa.Table, k: int) -> pa.Table:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS, sample: int = SAMPLE) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): each query row's k nearest of the other rows of `vectors`."""
+    """Rows (query_id, rank, vec_id, score): each query vec_id's k nearest of the other vec_ids of `vectors`."""
     rows = written(usable(vectors), "vectors")
-    asked = usable(queries)
+    if rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        rows = written(rows.distinct(), "vectors")
+    asked = usable(queries).distinct()
     index = fit(rows, lists, sample)
     out = "query_id bigint, vec_id bigint, score double"
     if index is None:
@@ -224,7 +232,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LIST
 
     posted = written(rows.mapInArrow(post, "list int, vec_id bigint, v array<double>"), "postings")
     sizes = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list
-    index.sizes = np.array([float(sizes.get(i, 0)) for i in range(len(index.c))])
+    # A vec_id counts once a list, and COPIES over all lists at most, so a search that has held enough has met k others.
+    ids = posted.groupBy("vec_id").agg(F.collect_set("list").alias("lists")).select(F.least(F.lit(1.0), COPIES / F.size("lists")).alias("n"), F.explode("lists").alias("list"))
+    held = {r["list"]: r["n"] for r in ids.groupBy("list").agg(F.sum("n").alias("n")).collect()}
+    index.sizes = np.array([held.get(i, 0.0) for i in range(len(index.c))])
     # A list's blocks are units of at most SHARD entries; units fill shards in order.
     units, shard, room = [], 0, SHARD
     for name in sorted(sizes):
@@ -240,12 +251,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LIST
     def table() -> DataFrame:  # lists and their blocks: a row for each list and SHARD entries
         return F.broadcast(spark.createDataFrame(units, "l int, block int, blocks int, unit int, shard int"))
 
-    entries = posted.join(table(), (F.col("list") == F.col("l")) & (F.pmod(F.xxhash64("vec_id"), F.col("blocks")) == F.col("block")))
+    entries = posted.join(table(), (F.col("list") == F.col("l")) & (F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")) == F.col("block")))
     asked = written(asked.select("vec_id", "v").mapInArrow(probe, "query_id bigint, v array<double>, lists array<int>"), "queries")
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
+    part = F.pmod(F.xxhash64("query_id", "v"), F.lit(parts)).cast("int").alias("part")
     routed = asked.select("query_id", "v", part, F.explode("lists").alias("list")).join(table(), F.col("list") == F.col("l"))
-    routed = routed.groupBy("query_id", "part", "shard").agg(F.first("v").alias("v"), F.collect_list("unit").alias("units"))
+    routed = routed.groupBy("query_id", "v", "part", "shard").agg(F.collect_list("unit").alias("units"))
     entries = entries.select("unit", "shard", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     met = routed.groupBy("shard", "part").cogroup(entries.groupBy("shard", "part")).applyInArrow(lambda a, b: best_of_shard(a, b, k), out)
     best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

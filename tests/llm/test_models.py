@@ -118,6 +118,34 @@ def test_ann(spark, k):
     assert ann_search.search(df.where("false"), df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("hot", ["twice", "copies", "vectors"])
+def test_ann_repeated_vec_ids(spark, monkeypatch, hot):
+    """Repeated rows, one vec_id with many copies of a vector, one with many vectors: k distinct neighbours, as brute force finds them."""
+    monkeypatch.setattr(ann_search, "SHARD", 150)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 6))
+    rows = [(i, x[i]) for i in range(300)]
+    if hot == "twice":
+        rows *= 2
+    elif hot == "copies":
+        rows += [(7, 5 * x[7])] * 200
+    else:
+        rows += [(7, 5 * v) for v in rng.normal(size=(200, 6))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    got: dict[int, list] = {}
+    for r in ann_search.search(df, df.where("vec_id % 30 = 7"), lists=1).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    assert got.keys() == set(range(7, 300, 30))
+    for q, found in got.items():
+        best: dict[int, float] = {}
+        for mine in [v for i, v in rows if i == q]:
+            for i, v in rows:
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), round(float(mine @ v), 9))
+        order = sorted(best, key=lambda i: (-best[i], i))[:20]
+        assert sorted(found) == [(n, i, best[i]) for n, i in enumerate(order, 1)]
+
+
 def test_warc(spark, tmp_path):
     rows = [(i, f"http://h{i % 3}/p", f"<p>text {i} \xe9</p>" * (1 + i % 5), "c") for i in range(2300)] + [(None, None, None, "c"), (None, "u", "", "c"), (7, "http://h1/p", "<p>text 7 \xe9</p>" * 3, "c")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, hash string")
