@@ -2,9 +2,11 @@
 
 Documents become token ids plus an end id; what is longer than a sequence is cut, and full pieces are sequences of
 their own. The other pieces are dealt to partitions by hash. Each partition packs its pieces best-fit (longest first,
-into the open bin with the least room that holds it) and emits bins that are nearly full. The rest go on as items to
-the next round, where one task takes the underfull bins of `FAN_IN` tasks; the last round has one task and emits all.
-A bin holds at most `capacity` tokens, so at most that many pieces.
+into the open bin with the least room that holds it) and emits bins that are nearly full, or that no bin left can go into.
+The rest go on as items to the next round, dealt anew to as many tasks as they need; a round of one task emits all.
+Best-fit leaves a task at most one bin that is half full or less, and two others never fit together: so after the second
+round only such bins go on, and no task ever takes more than about `ITEMS_PER_TASK` items. A bin holds at most `capacity`
+tokens, so at most that many pieces.
 
 Defined cases: null and empty texts give one piece, the end id alone; repeated rows are packed one by one; an empty
 table gives no pieces; other columns of the input are not read.
@@ -27,7 +29,6 @@ from strokelake.llm.common import written
 CAPACITY = 2048
 END_ID = 0
 ITEMS_PER_TASK = 20_000
-FAN_IN = 8
 SLACK = 16  # a bin with at most this room is nearly full
 CACHE_WORDS = 450_000
 
@@ -181,15 +182,21 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, per_tas
     dealt = F.pmod(F.xxhash64(*[c for c, kind in items.dtypes if not kind.startswith("map")]), F.lit(tasks)).cast("int")
     todo = items.select(dealt.alias("task"), F.col("length").alias("fill"), F.array(member).alias("members"))
     out: DataFrame | None = None
-    for number in range(64):
+    number = 0
+    while True:
         packed = written(pack_round(todo, capacity, capacity - slack if tasks > 1 else 0), "pack-round")
+        left = packed.where("NOT done").agg(F.min("fill").alias("least")).first()
+        # what goes on: bins that some bin left fits into; after the second round, those that are half full or less
+        most = 0 if left["least"] is None else capacity - left["least"] if number == 0 else capacity // 2
+        on = ~F.col("done") & (F.col("fill") <= most)
         ids = F.shiftleft(F.lit(number).cast("long"), 56) + F.shiftleft(F.col("task").cast("long"), 32) + F.col("bin")
-        rows = packed.where("done").select(ids.alias("sequence_id"), F.explode("members").alias("m")).select("m.*", "sequence_id")
+        rows = packed.where(~on).select(ids.alias("sequence_id"), F.explode("members").alias("m")).select("m.*", "sequence_id")
         out = rows if out is None else out.unionByName(rows)
-        if tasks == 1:
+        if not (items_left := packed.where(on).count()):
             break
-        tasks = -(-tasks // FAN_IN)
-        todo = packed.where("NOT done").select(F.floor(F.col("task") / FAN_IN).cast("int").alias("task"), "fill", "members")
+        number += 1
+        tasks = -(-items_left // per_task)
+        todo = packed.where(on).select(F.pmod(F.xxhash64(F.lit(number), "task", "bin"), F.lit(tasks)).cast("int").alias("task"), "fill", "members")
     return out
 
 

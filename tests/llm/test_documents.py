@@ -143,6 +143,28 @@ def test_packing(spark, docs, none, monkeypatch):
     assert packing.pack_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("short", [0, 3, 40])
+def test_packing_bounds_every_task(spark, monkeypatch, short):
+    """Pieces over half a sequence, of which no two fit together, and a few short ones: no task gets them all."""
+    rng = random.Random(short)
+    lengths = [rng.randint(33, 47) for _ in range(600)] + [rng.randint(1, 20) for _ in range(short)]
+    items = packing.written(spark.createDataFrame(list(enumerate(lengths)), "item long, length long"), "t")
+    sizes, whole = [], packing.pack_round
+
+    def seen(todo, *rest):
+        sizes.append(todo.groupBy("task").count().agg({"count": "max"}).first()[0])
+        return whole(todo, *rest)
+
+    monkeypatch.setattr(packing, "pack_round", seen)
+    got = packing.pack(items, 64, per_task=50).collect()
+    assert max(sizes) <= 100, sizes
+    assert sorted((r.item, r.length) for r in got) == list(enumerate(lengths))
+    fills = collections.Counter()
+    for r in got:
+        fills[r.sequence_id] += r.length
+    assert max(fills.values()) <= 64 and 600 <= len(fills) <= 600 + short // 10
+
+
 @pytest.mark.parametrize("text", ["don't <|endoftext|> It's", "İstanbul ΑΣ a\x1cb", "\xbcx\xbd na\xefve CAF\xc9!", "é ẞ ﬁ", "3.14 \xdf", "'s 're ab'll x,", "你好 x y"])
 def test_token_bytes(text):
     from tokenizers import Tokenizer
