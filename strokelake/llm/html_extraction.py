@@ -2,8 +2,11 @@
 
 A page becomes a row of tokens: words and tags. Words score what words of their surroundings (link, list, heading,
 table, marked as boilerplate, other) scored on labelled pages, tags score below zero, and one linear scan finds the
-contiguous run of tokens with the largest sum. The run is widened to whole blocks, and elements inside it that are
-never content (menus, adverts, forms, comments and so on, by tag or by the words of class, id and role) are left out.
+contiguous run of tokens with the largest sum. Inside an article or main element words alone score, not tags and not
+what is left out, so a short last paragraph stays and a list of links at the end goes. The run is widened to whole blocks
+and no further, and elements inside it that are never content (menus, adverts, forms, comments and so on, by tag or by
+the words of class, id and role) are left out. Marks that layout wrappers carry as well are not heeded where the run gains
+more than twice the sum without them.
 
 Weights are log odds counted on a bounded sample: at most `FIT_PAGES` pages, those with the least hash of page_id, that
 mark their content with an article or main element. Where no page does, the prior weights below stand.
@@ -86,6 +89,7 @@ class Page:
         self.blocks: list[int] = []
         self.inside: list[bool] = []
         self.labelled = False
+        self.wrapped = False  # whether a mark that layout wrappers carry as well was heeded
         block, stack, at = 0, [], 0  # stack: (tag, marked, content)
         end = len(page)
         while at < end:
@@ -123,6 +127,7 @@ class Page:
                     self.close(stack, tag, {"ul", "ol", "table", "dl", "select", "menu", "nav"})
                 own = never_content(tag, attributes, content)
                 own = own if strict or own > 1 else 0
+                self.wrapped |= own == 1
                 is_content = content or tag in ("article", "main")
                 self.labelled |= tag in ("article", "main") and marked < 2
                 if tag in ("article", "main") and marked == 1:
@@ -175,10 +180,12 @@ class Page:
             out[kind, inside and not kind.endswith("marked")] += len(text.split()) if kind.startswith("word") and text else int(kind.startswith("tag"))
         return out
 
-    def main_text(self, weights: dict[str, float]) -> str:
-        """Kadane's scan over the tokens, widened to whole blocks; blocks joined by one space."""
+    def main_text(self, weights: dict[str, float]) -> tuple[float, str]:
+        """Kadane's scan over the tokens, widened to whole blocks: its sum, and the blocks joined by one space."""
         best, best_from, best_to, total, start = 0.0, 0, -1, 0.0, 0
-        for i, (kind, text) in enumerate(zip(self.kinds, self.texts, strict=True)):
+        for i, (kind, text, inside) in enumerate(zip(self.kinds, self.texts, self.inside, strict=True)):
+            if inside and (kind.startswith("tag") or kind == "word:marked"):
+                continue
             gain = weights[kind] * (len(text.split()) if kind.startswith("word") else 1)
             if total <= 0:
                 total, start = 0.0, i
@@ -186,23 +193,28 @@ class Page:
             if total > best:
                 best, best_from, best_to = total, start, i
         if best_to < 0:
-            return ""
-        # a heading right before the run belongs to it: what lies between is content by its element
-        while best_from > 0 and (self.blocks[best_from - 1] == self.blocks[best_from] or self.inside[best_from - 1]):
+            return 0.0, ""
+        while best_from > 0 and self.blocks[best_from - 1] == self.blocks[best_from]:
             best_from -= 1
-        while best_to + 1 < len(self.kinds) and (self.blocks[best_to + 1] == self.blocks[best_to] or self.inside[best_to + 1]):
+        while best_to + 1 < len(self.kinds) and self.blocks[best_to + 1] == self.blocks[best_to]:
             best_to += 1
         blocks: dict[int, list[str]] = {}
         for i in range(best_from, best_to + 1):
             if self.texts[i] and self.kinds[i] != "word:marked":
                 blocks.setdefault(self.blocks[i], []).append(self.texts[i])
         whole = (" ".join("".join(b).split()) for b in blocks.values())
-        return " ".join(b for b in whole if b)
+        return best, " ".join(b for b in whole if b)
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
-    """The page's main text; if all of it lies in marked layout wrappers, they are looked into."""
-    return Page(page).main_text(weights) or Page(page, strict=False).main_text(weights)
+    """The page's main text; if most of what scores lies in marked layout wrappers, they are looked into."""
+    strict = Page(page)
+    best, text = strict.main_text(weights)
+    if strict.wrapped:
+        more, wider = Page(page, strict=False).main_text(weights)
+        if not text or more > 2 * best:
+            return wider
+    return text
 
 
 def fit(pages: DataFrame, limit: int = FIT_PAGES) -> dict[str, float]:

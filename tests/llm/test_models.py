@@ -91,6 +91,26 @@ def test_html(spark):
     assert html_extraction.extract(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_html_scores_decide_inside_content(tag):
+    """Lists of links at either end of a content element are cut off; a heading, short paragraphs and what follows a marked element stay."""
+    links = "".join(f'<li><a href="/{i}">Read this other story number {i}</a></li>' for i in range(6))
+    body = "<h1>Title words</h1><p>" + "Many words of the text. " * 8 + "</p><form>" + "never shown " * 60 + "</form><ul><li>a point</li></ul><p>Short.</p>"
+    page = f"<body><{tag}><ul>{links}</ul>{body}<ul>{links}</ul></{tag}><p>Out</p></body>"
+    text = html_extraction.main_text(page, html_extraction.PRIOR)
+    assert "other story" not in text and "never" not in text and "Out" not in text
+    assert text.startswith("Title words Many") and text.endswith("text. a point Short.")
+
+
+def test_html_wrapper_beats_a_little_text():
+    """A few words outside a layout wrapper do not hide the text inside; a sidebar with less than the text stays out."""
+    long, aside = "Many words of the text. " * 20, "Words of a side. " * 5
+    wrapped = f'<body><p>Welcome to this site</p><div class="has-sidebar"><p>{long}</p></div></body>'
+    assert long.strip() in html_extraction.main_text(wrapped, html_extraction.PRIOR)
+    beside = f'<body><div><p>{long}</p></div><div class="sidebar"><p>{aside}</p></div></body>'
+    assert html_extraction.main_text(beside, html_extraction.PRIOR) == long.strip()
+
+
 @pytest.mark.parametrize("k", [1, 20])
 def test_ann(spark, k):
     rng = np.random.default_rng(4)
