@@ -95,7 +95,10 @@ def k03_running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def k01_batch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a stream of lengths, folded into token-budget batches with carried rows; written and read again."""
+    """Documents as a stream of lengths, folded into token-budget batches with carried rows; written and read again.
+
+    Rows that still wait when the stream ends have batch -1, as in f10.
+    """
     slim = scratch(spark)
     docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 8).alias("shard"), F.col("doc_id").alias("key"), F.least("n_chars", F.lit(768)).cast("int").alias("length"))
     docs.repartition(4, "key").write.parquet(slim)
@@ -103,7 +106,10 @@ def k01_batch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark)
     running = streams.batch_stream(stream, 4096, 64, 768, pool=16).writeStream.format("parquet").option("checkpointLocation", scratch(spark)).option("path", out).trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.read.schema("shard bigint, batch bigint, key bigint, width int").parquet(out)
+    made = spark.read.schema("shard bigint, batch bigint, key bigint, width int").parquet(out)
+    left = spark.read.schema("shard bigint, key bigint, length int").parquet(slim).join(made.select("shard", "key"), ["shard", "key"], "left_anti")
+    width = F.least(F.lit(768), F.ceil(F.col("length") / 64) * 64).cast("int").alias("width")
+    return made.union(left.select("shard", F.lit(-1).cast("bigint").alias("batch"), "key", width))
 
 
 @query(f"WITH {STK} SELECT id, count(DISTINCT stroke) AS n_paths, (count(*) - count(DISTINCT stroke) + sum((one)::INT))::BIGINT AS n_lines FROM (SELECT *, count(*) OVER (PARTITION BY id, stroke) = 1 AS one FROM stk) GROUP BY id")

@@ -17,3 +17,12 @@ def test_plain_text_of_every_document(spark, tmp_path):
     got = plans.QUERIES["e08_plain_text"](spark, documents(spark, tmp_path, [(i, t, lang, "s", 0) for i, t, lang in texts])).collect()
     slow = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower().replace("0", "o")
     assert sorted((r.doc_id, r.plain) for r in got) == [(i, None if t is None else slow(t)) for i, t, _ in texts]
+
+
+def test_batch_stream_keeps_every_document(spark, tmp_path):
+    """Rows that wait when the stream ends come out as batch -1."""
+    rows = [(i, "t", "en", "s", 40 * (1 + i % 30)) for i in range(203)]
+    got = plans.QUERIES["k01_batch_stream"](spark, documents(spark, tmp_path, rows)).collect()
+    assert sorted(r.key for r in got) == list(range(203))
+    assert all(r.shard == r.key % 8 and r.width == min(768, -(-40 * (1 + r.key % 30) // 64) * 64) for r in got if r.batch == -1)
+    assert 0 < sum(r.batch == -1 for r in got) < 8 * 16
