@@ -7,7 +7,11 @@ A document's set holds its distinct word shingles (hashed to 64 bits). Two sets
    order a part of the hash space, the same part for all: a set keeps that guarantee there as long as it has more tokens
    in it than it may lose, n - ceil(p n / q). Sets that have fewer (small ones) are ordered a second time over all their
    tokens, in a key space of their own, where any two of them meet.
-3. Tokens that occur once take their place in a prefix but are no keys. Classes with equal prefix and size form one group.
+3. Tokens that occur once take their place in a prefix but are no keys, nor in the part of the hash space are tokens of
+   more than `LIGHT` sets. If the first common token of two linked sets is so frequent, it lies in both their prefixes;
+   so all sets with such a token in their prefix are ordered anew over all their tokens, in a third key space, where
+   their own rare tokens fill the prefixes and a passage that thousands of texts share does not.
+   Classes with equal prefix and size form one group.
 4. Groups meet on prefix tokens, and the size, position and sketch filters drop pairs. First each group meets only the hub of
    the token it shares most with, and members their group's leader; pairs are verified on the whole sets and links
    joined to components. Then, for tokens whose groups still lie in several components, groups are expanded and all
@@ -24,9 +28,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strokelake.llm.common import small_or_plain, written
@@ -34,6 +39,7 @@ from strokelake.llm.common import small_or_plain, written
 CACHE_WORDS = 300_000
 BROADCAST_DOCS = 200_000
 SKETCH_BITS = 1024
+LIGHT = 500
 U = np.uint64
 
 
@@ -74,13 +80,12 @@ def universe(p: int, q: int) -> float:
     return min(1.0, 0.05 + 2 * (1 - p / q))
 
 
-def spaces(tokens: np.ndarray, p: int, q: int) -> list[np.ndarray]:
-    """The tokens to order: those in the common part of the hash space, and for sets with too few there all, told apart by a bit."""
+def spaces(tokens: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The tokens to order: those in the common part of the hash space, and for sets with too few there all. The last two
+    bits tell the key spaces apart."""
     some = tokens[: np.searchsorted(tokens, U(min(int(universe(p, q) * 2**64), 2**64 - 1)), "right")]
-    out = [some & ~U(1)]
-    if len(some) <= len(tokens) - -(-p * len(tokens) // q):
-        out.append(tokens | U(1))
-    return out
+    few = len(some) <= len(tokens) - -(-p * len(tokens) // q)
+    return some & ~U(3), tokens & ~U(3) | U(1) if few else None
 
 
 def set_id(tokens: np.ndarray) -> tuple[int, int]:
@@ -88,38 +93,20 @@ def set_id(tokens: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
-def shingled(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, n, sid, sid2): set size and 128-bit set id."""
+def shingled(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """Rows (doc_id, n, sid, sid2, some, whole): set size, 128-bit set id and the tokens to order (see `spaces`)."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(text.as_py(), width) for text in batch.column(1)]
             ids = [set_id(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([i for i, _ in ids], pa.int64()), pa.array([j for _, j in ids], pa.int64())],
-                                             names=["doc_id", "n", "sid", "sid2"])
+            parts = [spaces(s, p, q) for s in sets]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([i for i, _ in ids], pa.int64()), pa.array([j for _, j in ids], pa.int64()),
+                       pa.array([some.view(np.int64) for some, _ in parts], pa.list_(pa.int64())), pa.array([None if whole is None else whole.view(np.int64) for _, whole in parts], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sid", "sid2", "some", "whole"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(describe, f"doc_id {kind}, n int, sid bigint, sid2 bigint")
-
-
-def ordered_tokens(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """Rows (doc_id, sid, n, tokens): the tokens to order, a second row for sets that need one; equal sets of a batch once."""
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, seen = [], set()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = shingle_set(text.as_py(), width)
-                sid = set_id(tokens)[0]
-                if len(tokens) and (doc_id, sid) not in seen:
-                    seen.add((doc_id, sid))
-                    rows += [(doc_id, sid, len(tokens), part.view(np.int64)) for part in spaces(tokens, p, q)]
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.list_(pa.int64()))],
-                                             names=["doc_id", "sid", "n", "tokens"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(describe, f"doc_id {kind}, sid bigint, n int, tokens array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(describe, f"doc_id {kind}, n int, sid bigint, sid2 bigint, some array<bigint>, whole array<bigint>")
 
 
 def parity_sketch(tokens: np.ndarray) -> np.ndarray:
@@ -165,12 +152,13 @@ def _similar_sizes(p: int, q: int, a: str, b: str) -> Column:
 def _can_meet(p: int, q: int, a: str, at_a: str, sketch_a: str, b: str, at_b: str, sketch_b: str) -> Column:
     """Size, position and sketch filters on a pair's first common token.
 
-    Linked sets differ in at most n_a + n_b - 2 * needed tokens, needed being the least overlap; all tokens before the
-    first common one are among those, and so is a token for every bit in which the sketches differ.
+    Linked sets have at least `needed` tokens in common. All tokens before the first common one are in one set alone, so
+    neither set has more of them than it can lose; and the sketches differ in no more bits than the sets in tokens.
     """
-    most = F.col(a) + F.col(b) - 2 * F.ceil(p * (F.col(a) + F.col(b)) / (p + q))
+    needed = F.ceil(p * (F.col(a) + F.col(b)) / (p + q))
     differ = F.aggregate(F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return _similar_sizes(p, q, a, b) & (F.col(at_a) + F.col(at_b) <= most) & (differ <= most)
+    return (_similar_sizes(p, q, a, b) & (F.col(at_a) <= F.col(a) - needed) & (F.col(at_b) <= F.col(b) - needed)
+            & (differ <= F.col(a) + F.col(b) - 2 * needed))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -182,18 +170,19 @@ def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def prefixes(tokens: DataFrame, p: int, q: int) -> DataFrame:
-    """Rows (sid, n, once, keys): prefixes in order of rarity; `once` counts their tokens that no other set has.
+    """Rows (sid, n, once, keys): prefixes in order of rarity; `once` counts their tokens that no other set has, `keys`
+    are the others with their counts.
 
     From rows (sid, n, all), `all` the tokens of a set to order.
     """
     each = tokens.select("sid", "n", F.size("all").alias("m"), F.explode("all").alias("t"))
-    often = each.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
-    space = F.col("t").bitwiseAND(F.lit(1))
+    often = tokens.select(F.explode("all").alias("t")).groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
+    space = F.col("t").bitwiseAND(F.lit(3))
     ranked = each.join(often, "t").groupBy("sid", "n", "m", space.alias("space")).agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("ft"))
     length = F.col("n") - F.ceil(p * F.col("n") / q).cast("int") + 1
     once = F.col("m") - F.size("ft")
     keys = F.slice("ft", F.lit(1), F.greatest(F.lit(0), length - once))
-    return ranked.select("sid", "n", once.alias("once"), F.transform(keys, lambda x: x["t"]).alias("keys")).where("size(keys) > 0")
+    return ranked.select("sid", "n", once.alias("once"), keys.alias("keys")).where("size(keys) > 0")
 
 
 def linked(pre: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -228,39 +217,84 @@ def linked(pre: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return links.union(written(more, "links"))
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one per input row."""
-    slim = written(shingled(docs, width), "sets")
+def labelled(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """Rows (doc_id, n, sid, sid2, component_id), one per input row."""
+    made = written(shingled(docs, width, p, q), "sets")
+    slim = made.select("doc_id", "n", "sid", "sid2")
     classes = written(slim.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid", "sid2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
-    tokens = ordered_tokens(docs.where("doc_id IS NOT NULL"), width, p, q)
     # of equal sets, those of other documents than the first go; a first document may still be there in several rows
     copies = slim.where("n > 0").join(classes.where("copies > 1").select("sid", "sid2", "first"), ["sid", "sid2"]).where("doc_id <> first").select(F.col("doc_id").alias("d"), F.col("sid").alias("s")).distinct()
     copies = small_or_plain(written(copies, "copies"), BROADCAST_DOCS)
-    tokens = tokens.join(copies, (F.col("doc_id") == F.col("d")) & (F.col("sid") == F.col("s")), "left_anti").select("sid", "n", F.col("tokens").alias("all"))
-    if slim.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
-        tokens = tokens.groupBy("sid", "n", F.get("all", F.lit(0)).bitwiseAND(F.lit(1)).alias("space")).agg(F.first("all").alias("all"))
+    own = made.where("n > 0 AND doc_id IS NOT NULL").join(copies, (F.col("doc_id") == F.col("d")) & (F.col("sid") == F.col("s")), "left_anti")
+    if repeats_doc_ids(slim):
+        own = own.groupBy("sid", "n").agg(F.first("some").alias("some"), F.first("whole").alias("whole"))
+    tokens = own.select("sid", "n", F.explode(F.array("some", "whole")).alias("all")).where("size(all) > 0")
     pre = written(prefixes(tokens, p, q), "all-prefixes")
-    keys = pre.select("sid", F.explode("keys").alias("t"))
+
+    def chosen(some: DataFrame) -> DataFrame:
+        """Sets (sid, n, tokens, sketch) of the classes in `some` (sid), from their first documents' texts."""
+        wanted = written(classes.join(some, "sid", "left_semi").select(F.col("first").alias("wanted"), F.col("sid").alias("wanted_sid")), "wanted")
+        texts = docs.select("doc_id", "text").join(small_or_plain(wanted.select("wanted").distinct(), BROADCAST_DOCS), F.col("doc_id") == F.col("wanted"), "left_semi")
+        sets = sets_of(texts, width).join(small_or_plain(wanted.select("wanted_sid"), BROADCAST_DOCS), F.col("sid") == F.col("wanted_sid"), "left_semi")
+        sets = written(sets, "wanted-sets")
+        if sets.count() > wanted.count():  # rows that share a doc_id
+            sets = written(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "wanted-sets")
+        return sets
+
+    # sets whose prefix in the common part holds a frequent token
+    common = F.col("keys")[0]["t"].bitwiseAND(F.lit(3)) == 0
+    poor = written(pre.where(common & (F.element_at("keys", -1)["f"] > LIGHT)).select("sid"), "poor")
+    light = F.when(common, F.filter("keys", lambda k: k["f"] <= LIGHT)).otherwise(F.col("keys"))
+    plain = pre.select("sid", "n", "once", F.transform(light, lambda k: k["t"]).alias("keys")).where("size(keys) > 0")
+    if not poor.isEmpty():
+        third = F.transform("tokens", lambda t: t.bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(2)))
+        anew = written(prefixes(chosen(poor).select("sid", "n", third.alias("all")), p, q), "poor-prefixes")
+        plain = plain.union(anew.select("sid", "n", "once", F.transform("keys", lambda k: k["t"]).alias("keys")))
+    keys = plain.select("sid", F.explode("keys").alias("t"))
     shared = keys.groupBy("t").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("t")
     met = written(keys.join(shared, "t", "left_semi").select("sid").distinct(), "met")
-    likely = written(classes.join(met, "sid", "left_semi").select(F.col("first").alias("likely"), F.col("sid").alias("likely_sid")), "likely")
-    chosen = docs.select("doc_id", "text").join(small_or_plain(likely.select("likely").distinct(), BROADCAST_DOCS), F.col("doc_id") == F.col("likely"), "left_semi")
-    sets = sets_of(chosen, width).join(small_or_plain(likely.select("likely_sid"), BROADCAST_DOCS), F.col("sid") == F.col("likely_sid"), "left_semi")
-    sets = written(sets, "likely-sets")
-    if sets.count() > likely.count():  # rows that share a doc_id
-        sets = written(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "likely-sets")
-    labels = written(components(linked(pre, sets, p, q)), "component-labels")
+    labels = written(components(linked(plain, chosen(met), p, q)), "component-labels")
     named = classes.join(labels, F.col("sid") == F.col("v"), "left").withColumn("c", F.coalesce("c", "sid"))
     least = named.groupBy("c").agg(F.min("first").alias("component"))
     named = named.select("sid", "sid2", "c").join(least, "c").select(F.col("sid").alias("s"), F.col("sid2").alias("s2"), "component")
     named = written(named, "class-components")
-    out = slim.select("doc_id", "n", "sid", "sid2").join(named, (F.col("sid") == F.col("s")) & (F.col("sid2") == F.col("s2")), "left")
+    out = slim.join(named, (F.col("sid") == F.col("s")) & (F.col("sid2") == F.col("s2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id")))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "n", "sid", "sid2", component.alias("component_id"))
+
+
+def repeats_doc_ids(rows: DataFrame) -> bool:
+    return not rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
+
+
+def jaccard_components(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one per input row."""
+    return labelled(docs, width, p, q).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def one_per_group(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
-    """The input rows but those whose component has a smaller doc_id."""
-    gone = jaccard_components(docs, width, p, q).where("component_id < doc_id").select(F.col("doc_id").alias("gone"))
-    gone = small_or_plain(written(gone, "near-copies"), BROADCAST_DOCS)
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """The input rows without those that belong to a component of a smaller doc_id. Rows that share the least doc_id of
+    a component stay once. Rows without words or without a doc_id all stay."""
+    rows = labelled(docs, width, p, q)
+    if not repeats_doc_ids(docs):
+        gone = written(rows.where("component_id < doc_id").select(F.col("doc_id").alias("gone")), "near-copies")
+        return docs.join(small_or_plain(gone, BROADCAST_DOCS), F.col("doc_id") == F.col("gone"), "left_anti")
+    named = written(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "sid", "sid2", "component_id").distinct(), "set-components")
+    first = Window.partitionBy("component_id").orderBy("sid", "sid2")
+    stays = named.where("component_id = doc_id").withColumn("r", F.row_number().over(first)).where("r = 1").select(F.col("doc_id").alias("d"), F.col("sid").alias("s"), F.col("sid2").alias("s2"))
+    ids = with_set_ids(docs, width)
+    bare = ids.where("sid IS NULL OR row.doc_id IS NULL")
+    once = Window.partitionBy("d", "s", "s2").orderBy(F.xxhash64("row"))
+    kept = ids.join(stays, (F.col("row.doc_id") == F.col("d")) & (F.col("sid") == F.col("s")) & (F.col("sid2") == F.col("s2"))).withColumn("r", F.row_number().over(once)).where("r = 1")
+    return bare.select("row.*").unionByName(kept.select("row.*"))
+
+
+def with_set_ids(docs: DataFrame, width: int) -> DataFrame:
+    """Rows (row, sid, sid2): the input rows with their set ids, null for empty sets."""
+
+    @F.pandas_udf("sid bigint, sid2 bigint")
+    def ids(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, width) for t in texts]
+        return pd.DataFrame([set_id(s) if len(s) else (None, None) for s in sets], columns=["sid", "sid2"], dtype="Int64")
+
+    return docs.select(F.struct(*docs.columns).alias("row"), ids(F.col("text").cast("string")).alias("i")).select("row", "i.sid", "i.sid2")

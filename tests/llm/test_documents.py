@@ -193,8 +193,9 @@ def slow_components(rows, width, p, q):
     return {d: (len(s), find(d)) for d, s in sets}
 
 
-@pytest.mark.parametrize(("width", "p", "q"), [(3, 9, 10), (5, 8, 10), (1, 5, 10)])
-def test_jaccard(spark, docs, none, width, p, q):
+@pytest.mark.parametrize(("width", "p", "q", "light"), [(3, 9, 10, 500), (5, 8, 10, 2), (1, 5, 10, 4)])
+def test_jaccard(spark, docs, none, monkeypatch, width, p, q, light):
+    monkeypatch.setattr(jaccard_join, "LIGHT", light)
     rows = [(r[0], r[1]) for r in made() if r[0] is not None]
     truth = slow_components(rows, width, p, q)
     got = jaccard_join.jaccard_components(docs, width, p, q).collect()
@@ -207,6 +208,27 @@ def test_jaccard(spark, docs, none, width, p, q):
     assert {r.doc_id for r in kept.collect()} == {d for d, (_, c) in truth.items() if c == d} | {None}
 
 
+def test_one_of_rows_that_share_a_doc_id(spark):
+    """Identical rows stay once, and a near copy goes without a clean row of the same doc_id."""
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, long), (1, long), (2, long + " end"), (2, "another text of its own"), (3, None), (3, None), (None, long)]
+    kept = jaccard_join.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(map(tuple, kept)) == collections.Counter([(1, long), (2, "another text of its own"), (3, None), (3, None), (None, long)])
+
+
+def test_shared_passage_makes_no_pairs(spark):
+    """Texts that share most of their words but do not link stay apart; those that link among them are found."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    own = lambda k: " ".join(f"o{rng.randrange(10**9)}" for _ in range(k))
+    texts = [f"{own(12)} {passage} {own(12)}" for _ in range(900)]
+    texts += [f"{t} one more" for t in texts[::100]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    truth = slow_components(list(enumerate(texts)), 3, 9, 10)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()} == truth
+    assert sum(c != d for d, (_, c) in truth.items()) == 9
+
+
 def test_sketch_bounds_difference():
     rng = np.random.default_rng(0)
     for _ in range(50):
