@@ -111,6 +111,46 @@ def test_html_wrapper_beats_a_little_text():
     assert html_extraction.main_text(beside, html_extraction.PRIOR) == long.strip()
 
 
+TEXT = "Some words of a text that goes on. " * 12
+
+
+@pytest.mark.parametrize(("page", "first", "out"), [
+    (f'<article><header class="entry-header"><h1>The Title</h1></header><p>{TEXT}</p></article>', "The Title Some", None),
+    (f'<div class="post"><div class="post-header"><h1>The Title</h1></div><p>{TEXT}</p></div><div class="footer"><p>Copyright by us and many more</p></div>', "The Title Some", "Copyright"),
+    (f'<p>Short line here.</p><div class="layout sidebar-right"><div>{TEXT}</div></div>', "", None),
+    (f'<p>Short line here.</p><div class="content social-science"><p>{TEXT}</p></div>', "", None),
+    (f'<head><title>t</title><meta><body><ul><li><a>One</a><li><a>Two</a></ul><table><tr><td>{TEXT}<td>x</table>', "", None),
+])
+def test_html_pages_of_other_kinds(page, first, out):
+    counted = html_extraction.Page(PAGE.replace("{tag}", "article")).labels()
+    fitted = dict(html_extraction.PRIOR)
+    for side in ("word", "tag"):
+        fitted |= html_extraction.logistic({k: 50 * n for k, n in counted.items() if k[0][0] == side})
+    for weights in (fitted, html_extraction.PRIOR):
+        text = html_extraction.main_text(f"<html>{page}</html>", weights)
+        assert TEXT.strip() in text and text.startswith(first) and not (out and out in text)
+
+
+def test_html_weights_decide(spark):
+    """Flat weights give other texts than fitted ones."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    weights = html_extraction.fit(pages)
+    flat = {k: 1.0 if k == "word" else -0.1 if k == "tag" else 0.0 for k in weights}
+    rows = [r.html for r in pages.select("html").collect()]
+    assert sum(html_extraction.main_text(x, flat) != html_extraction.main_text(x, weights) for x in rows) > len(rows) / 2
+    page = html_extraction.Page(rows[0])
+    assert all(v <= -html_extraction.LEAST_TAG for v, tag in zip(page.scores(weights), page.tags, strict=True) if tag)
+
+
+@pytest.mark.parametrize("page", ["<div>word " * 100_000, "<b><i>word " * 60_000, "<h1><b>x" + "<b>word " * 100_000, "<p>" + "<b>" * 50_000 + "<h1>word" * 20_000, "</x>" * 200_000])
+def test_html_time_grows_with_length(page):
+    import time
+
+    began = time.process_time()
+    html_extraction.main_text(page, html_extraction.PRIOR)
+    assert time.process_time() - began < 6
+
+
 @pytest.mark.parametrize("k", [1, 20])
 def test_ann(spark, k):
     rng = np.random.default_rng(4)
