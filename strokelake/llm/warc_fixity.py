@@ -1,13 +1,15 @@
 """WARC records and a Merkle fixity audit of replicas.
 
 Rows become WARC response records; records are laid one after the other into files, so each has an ordered offset range.
-Every record is hashed over its bytes; a tree over each file hashes `FAN` children at a time, in order of offset, with
-the range they cover. Two replicas are compared from the roots down: only children of nodes that differ are read on, so
-intact files cost one comparison.
+Every record is hashed over its bytes, and a tree over each file hashes runs of children with their lengths, in order of
+offset. A run ends after a child whose hash says so, about every `FAN`-th, so a record that is lost or added changes the
+nodes above it alone and not those of all records behind it. Two replicas are compared from the roots down, matching nodes
+of a file by hash: only children of nodes without a match are read on, so intact files cost one comparison.
 
 Defined cases: null html is an empty payload and a null url an empty target; rows with null page_id are spread over files
-of their own by hash; repeated rows are separate records, ordered by their bytes; records missing from one replica shift
-the ranges after them and are reported at the first range that differs; an empty table gives no files.
+of their own by hash; repeated rows are separate records, ordered by their bytes, and as many of them match as both
+replicas have; a record that one replica lacks is reported alone; records that only changed places within a file are
+intact; very long records are hashed as they are; an empty table gives no files; other columns are not read.
 """
 
 from __future__ import annotations
@@ -71,46 +73,42 @@ def leaves(found: DataFrame) -> DataFrame:
 
 
 def tree(leaf: DataFrame, fan: int = FAN) -> list[DataFrame]:
-    """Levels from the leaves to the roots: rows (file_id, place, offset, length, hash). Each level is written, and a level
-    has a `fan`-th of the rows of the one below."""
-    levels = [leaf.select("file_id", "place", "offset", "length", "hash")]
+    """Levels from the leaves to the roots: rows (side, file_id, place, up, offset, length, hash), `up` the place of the
+    node above. Each level is written, and has about a `fan`-th of the rows of the one below."""
+    order = Window.partitionBy("side", "file_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") % fan == 0
+    levels, level = [], leaf.select("side", "file_id", "place", "offset", "length", "hash")
     while True:
-        below = levels[-1]
-        if below.where("place > 0").isEmpty():
+        levels.append(written(level.withColumn("up", F.coalesce(F.sum(ends.cast("long")).over(order), F.lit(0).cast("long"))), "merkle"))
+        if levels[-1].where("place > 0").isEmpty():
             return levels
-        child = F.sort_array(F.collect_list(F.struct("place", F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), "hash").alias("line"))))
-        up = below.groupBy("file_id", F.floor(F.col("place") / fan).cast("long").alias("place")).agg(
-            F.min("offset").alias("offset"), F.sum("length").alias("length"), child.alias("children"))
+        child = F.sort_array(F.collect_list(F.struct("place", F.concat_ws(":", F.col("length").cast("string"), "hash").alias("line"))))
+        above = levels[-1].groupBy("side", "file_id", F.col("up").alias("place")).agg(F.min("offset").alias("offset"), F.sum("length").alias("length"), child.alias("children"))
         text = F.array_join(F.transform("children", lambda c: c["line"]), "\n")
-        levels.append(written(up.select("file_id", "place", "offset", "length", F.sha2(text.cast("binary"), 256).alias("hash")), "merkle"))
-
-
-def audit(ours: list[DataFrame], theirs: list[DataFrame], fan: int = FAN) -> DataFrame:
-    """Rows (file_id, place, ours_offset, ours_length, theirs_offset, theirs_length): leaves that differ, found by descent.
-
-    Each level joins only children of nodes that differed one level up; files in one replica only differ as a whole.
-    """
-    depth = max(len(ours), len(theirs))
-    suspects = None
-    for level in range(depth - 1, -1, -1):
-        sides = []
-        for levels, name in ((ours, "ours"), (theirs, "theirs")):
-            rows = levels[min(level, len(levels) - 1)] if level >= len(levels) else levels[level]
-            if suspects is not None:
-                # a tree that ends lower has its root at place 0 on all levels above
-                rows = rows.withColumn("up", F.floor(F.col("place") / fan).cast("long")).join(suspects, ["file_id", "up"], "left_semi").drop("up")
-            sides.append(rows.select("file_id", "place", F.col("offset").alias(f"{name}_offset"), F.col("length").alias(f"{name}_length"), F.col("hash").alias(f"{name}_hash")))
-        joined = sides[0].join(sides[1], ["file_id", "place"], "full_outer")
-        differing = joined.where(~F.col("ours_hash").eqNullSafe(F.col("theirs_hash")) | (F.col("ours_offset") != F.col("theirs_offset")))
-        if level == 0:
-            return differing.select("file_id", "place", "ours_offset", "ours_length", "theirs_offset", "theirs_length")
-        suspects = written(differing.select("file_id", F.col("place").alias("up")).distinct(), "suspects")
-    raise AssertionError("a tree has at least one level")
+        level = above.select("side", "file_id", "place", "offset", "length", F.sha2(text.cast("binary"), 256).alias("hash"))
+
+
+def audit(levels: list[DataFrame]) -> DataFrame:
+    """Rows (side, file_id, place, offset, length): the leaves of either side without a match on the other, found by descent."""
+    again = Window.partitionBy("side", "file_id", "hash").orderBy("place")
+    odd = None
+    for level in reversed(levels):
+        if odd is not None:
+            level = level.join(odd.select("side", "file_id", F.col("place").alias("up")), ["side", "file_id", "up"], "left_semi")
+        numbered = level.withColumn("again", F.row_number().over(again))
+        met = numbered.groupBy("file_id", "hash", "again").agg(F.count("*").alias("sides"), F.first(F.struct("side", "place", "offset", "length")).alias("r"))
+        odd = written(met.where("sides = 1").select("r.side", "file_id", "r.place", "r.offset", "r.length"), "unmatched")
+    return odd
+
+
+def compared(ours: DataFrame, theirs: DataFrame, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """Our leaves, and the unmatched leaves of both sides (see `audit`), of two replicas' records."""
+    both = written(leaves(ours).withColumn("side", F.lit("ours")).unionByName(leaves(theirs).withColumn("side", F.lit("theirs"))), "leaves")
+    return both.where("side = 'ours'"), audit(tree(both, fan))
 
 
 def audited(ours: DataFrame, theirs: DataFrame, fan: int = FAN) -> DataFrame:
     """Rows (file_id, place, page_id, offset, length, hash, intact) for all our records, given both replicas' records."""
-    mine = written(leaves(ours), "leaves")
-    other = written(leaves(theirs), "leaves")
-    bad = written(audit(tree(mine, fan), tree(other, fan), fan), "corrupt").where("ours_offset IS NOT NULL").select("file_id", "place", F.lit(False).alias("ok"))
+    mine, odd = compared(ours, theirs, fan)
+    bad = odd.where("side = 'ours'").select("file_id", "place", F.lit(False).alias("ok"))
     return mine.join(bad, ["file_id", "place"], "left").select("file_id", "place", "page_id", "offset", "length", "hash", F.coalesce("ok", F.lit(True)).alias("intact"))
