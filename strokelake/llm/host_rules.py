@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strokelake.llm.common import NOT_SPACE, let, small_or_plain, words, written
+from strokelake.llm.common import TRIM, let, small_or_plain, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -21,8 +21,8 @@ MAX_HOST_RATE = 0.5
 BROADCAST_HOSTS = 50_000
 
 
-def repeated_words(text: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more in the text, the first included.
+def repeated_words() -> str:
+    """SQL for how many words of the bound array `w` lie in a 3-word window found twice or more, the first included.
 
     Windows are hashed, packed with their position into one long and sorted; neighbours with equal hashes are compared
     word by word, so a collision does not count.
@@ -43,30 +43,31 @@ def repeated_words(text: Column) -> Column:
               " i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), b) | bigint(i)))")
     body = (f"transform(array(int(ceil(log2(size(w) + 1)))), b -> transform(array({packed}), s ->"
             f" transform(array({positions}), p -> {covered})[0])[0])[0]")
-    # `w` is bound by a transform over a one-element array: see common.let
-    return F.expr(f"transform(array({_sql_words(text)}), w -> CASE WHEN size(w) < 3 THEN 0L ELSE {body} END)[0]")
+    return f"CASE WHEN size(w) < 3 THEN 0L ELSE {body} END"
 
 
-def _sql_words(text: Column) -> str:
-    name = text._jc.toString()  # a plain column name
-    t = rf"btrim(coalesce(`{name}`, ''), ' \t\n\u000b\f\r')"
-    return rf"CASE WHEN {t} = '' THEN cast(array() AS array<string>) ELSE split({t}, '[\\x20\\x09-\\x0D]+') END"
+def counts(text: str = "text") -> Column:
+    """A struct (n_words, word_chars, n_repeat_words) of a text column, whose words are split once."""
+    t = rf"btrim(coalesce(`{text}`, ''), ' \t\n\u000b\f\r')"
+    split = rf"CASE WHEN {t} = '' THEN cast(array() AS array<string>) ELSE split({t}, '[\\x20\\x09-\\x0D]+') END"
+    # `w` is bound by a transform over a one-element array: see common.let
+    return F.expr(f"transform(array({split}), w -> named_struct('n_words', bigint(size(w)), 'word_chars', bigint(length(array_join(w, ''))),"
+                  f" 'n_repeat_words', {repeated_words()}))[0]")
 
 
 def base_counts(docs: DataFrame, host: str = "source") -> DataFrame:
     """Rows (doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE)),
+    lines = let(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(TRIM)) != ""),
                 lambda a: F.size(a) - F.size(F.array_distinct(a)))
     out = docs.select(
         "doc_id",
         F.col(host).cast("string").alias("host"),
-        F.size(words(F.col("text"))).cast("long").alias("n_words"),
-        F.regexp_count(text, F.lit(NOT_SPACE)).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("text")).alias("n_repeat_words"),
+        counts().alias("counts"),
     )
+    out = out.select("doc_id", "host", "counts.n_words", "counts.word_chars", "n_symbols", "n_dup_lines", "counts.n_repeat_words")
     return out.withColumn("base_failed", failed())
 
 
@@ -106,11 +107,11 @@ def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_H
 
 
 def keep_good(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The input rows that `quality_rules` keeps, all columns as they are. Texts are not shuffled."""
-    count, repeats = F.size(words(F.col("text"))), repeated_words(F.col("text"))
-    judged = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("host"),
-                         count.cast("long").alias("n_words"), repeats.alias("n_repeat_words"))
-    judged = judged.withColumn("base_failed", failed())
+    """The input rows that `quality_rules` keeps, all columns as they are. Texts are judged once and not shuffled: rows that
+    pass the base rules are written with their hosts, rows that fail as their hosts alone."""
+    judged = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("host"), counts().alias("counts")).select("row", "host", "counts.*")
+    judged = judged.withColumn("base_failed", failed()).select(F.when(~F.col("base_failed"), F.col("row")).alias("row"), "host", "base_failed")
+    judged = written(judged, "judged")
     bad = written(host_verdicts(judged.select("host", "base_failed"), max_rate).where("rejected").select(F.col("host").alias("h")), "bad-hosts")
     kept = judged.where(~F.col("base_failed"))
     return kept.join(small_or_plain(bad, BROADCAST_HOSTS), kept["host"].eqNullSafe(F.col("h")), "left_anti").select("row.*")
