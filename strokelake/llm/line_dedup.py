@@ -9,12 +9,14 @@ emitted as a hashed key; lines with a common key are joined through the earliest
 * a key of the hash of the rest joins a line to the lines that have one word more.
 
 Each joined pair is verified on its words. A line is dropped if an earlier line is equal to it or within the bound.
-Lines of fewer than `min_words` words are compared for equality only. Before variants are made, lines that cannot have a
+The edit bound is a function of a line's length, the words of the shorter line div `min_words`, one at most: short lines
+("Part one", "Part two") differ in a word because they say something else, so below `min_words` words the bound is zero,
+and equal lines alone are joined. Before variants are made, lines that cannot have a
 partner are set aside without loss: of two lines within the bound, the first or the last c = (t - 1) div 2 words are
 equal, t being the words of the shorter. A line with no such half in common with another line emits no variants, and
 one with a common first half emits those of words after it alone (likewise for a common last half).
 
-Lines are named by a 64-bit hash and their number of characters; texts are read again where words are needed.
+Lines are named by two 64-bit hashes; texts are read again where words are needed.
 
 Defined cases: null texts and lines without words are left as they are; rows that share a doc_id share their places, so
 equal lines at the same place are all kept; null doc_ids come first; an empty table gives an empty result.
@@ -49,25 +51,25 @@ def line_words(t: Column) -> Column:
 
 
 def _named(w: Column) -> tuple[Column, Column]:
-    return F.xxhash64(w), F.octet_length(F.array_join(w, " "))
+    return F.xxhash64(w), F.xxhash64(F.lit("line"), w)
 
 
 def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, line, n, h, size, keys): one per line with a word; texts are not kept.
+    """Rows (doc_id, line, n, h, h2, keys): one per line with a word; texts are not kept.
 
     keys: (c, hash) of the first c words and (-c, hash) of the last c, for every c a partner may share.
     """
     each = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("line", "t")).where(F.btrim("t", F.lit(TRIM)) != "")
     each = each.select("doc_id", "line", F.explode(F.array(line_words(F.col("t")))).alias("w"))  # a generator, so that words are split once
     w, n = F.col("w"), F.size("w")
-    h, size = _named(w)
+    h, h2 = _named(w)
     long, short = F.floor((n - 1) / 2).cast("int"), F.floor((n - 2) / 2).cast("int")
 
     def halves(c: Column) -> list[Column]:
         return [F.struct(c.alias("c"), F.xxhash64(c, F.slice(w, F.lit(1), c)).alias("k")), F.struct((-c).alias("c"), F.xxhash64(-c, F.slice(w, n - c + 1, c)).alias("k"))]
 
     keys = F.when(n >= min_words, F.when(long == short, F.array(*halves(long))).otherwise(F.array(*halves(long), *halves(short))))
-    return each.select("doc_id", "line", n.alias("n"), h.alias("h"), size.alias("size"), keys.alias("keys"))
+    return each.select("doc_id", "line", n.alias("n"), h.alias("h"), h2.alias("h2"), keys.alias("keys"))
 
 
 def one_word_apart(a: Column, b: Column) -> Column:
@@ -88,44 +90,44 @@ def one_word_apart(a: Column, b: Column) -> Column:
 
 
 def likely_lines(lines: DataFrame) -> DataFrame:
-    """Rows (h, size, first, low, high): lines that share a half with another, and the places low .. high - 1 where they
+    """Rows (h, h2, first, low, high): lines that share a half with another, and the places low .. high - 1 where they
     may differ from a partner, counted in the longer of two lines."""
-    keyed = lines.where("keys IS NOT NULL").select("h", "size", "doc_id", "line", "n", F.explode("keys").alias("key"))
+    keyed = lines.where("keys IS NOT NULL").select("h", "h2", "doc_id", "line", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy(F.col("key.k").alias("k")).agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
     shared = small_or_plain(written(shared, "lines-halves"), BROADCAST_ROWS)
     met = keyed.join(shared, F.col("key.k") == F.col("k"), "left_semi").withColumn("c", F.col("key.c"))
     low = F.coalesce(F.min(F.when(F.col("c") >= 0, F.col("c"))), F.lit(1 << 30))
     back = F.coalesce(F.min(F.when(F.col("c") <= 0, -F.col("c"))), F.lit(1 << 30))
-    found = met.groupBy("h", "size", "n").agg(F.min(_place()).alias("first"), low.alias("low"), back.alias("back"))
+    found = met.groupBy("h", "h2", "n").agg(F.min(_place()).alias("first"), low.alias("low"), back.alias("back"))
     # a common first half alone: from its end on; a common last half alone: up to its start; both: anywhere
     both = (F.col("low") < 1 << 30) & (F.col("back") < 1 << 30)
-    return found.select("h", "size", "first", F.when(both | (F.col("low") == 1 << 30), 0).otherwise(F.col("low")).alias("low"),
+    return found.select("h", "h2", "first", F.when(both | (F.col("low") == 1 << 30), 0).otherwise(F.col("low")).alias("low"),
                         F.when(both | (F.col("back") == 1 << 30), F.col("n")).otherwise(F.col("n") - F.col("back")).alias("high"))
 
 
 def lines_with_words(docs: DataFrame, likely: DataFrame) -> DataFrame:
     """The likely lines with their words, from their first places."""
-    wanted = likely.groupBy(F.col("first.doc_id").alias("wanted_doc")).agg(F.collect_list(F.struct("h", "size", F.col("first.line").alias("line"), "low", "high")).alias("wanted"))
+    wanted = likely.groupBy(F.col("first.doc_id").alias("wanted_doc")).agg(F.collect_list(F.struct("h", "h2", F.col("first.line").alias("line"), "low", "high")).alias("wanted"))
     wanted = small_or_plain(written(wanted, "lines-wanted"), BROADCAST_ROWS) if likely.count() <= BROADCAST_LINES else wanted
     found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_doc")))
     picked = let(_lines(F.col("text")), lambda t: F.transform("wanted", lambda x: F.struct(
-        x["h"].alias("h"), x["size"].alias("size"), F.struct(F.col("doc_id").alias("doc_id"), x["line"].alias("line")).alias("first"), x["low"].alias("low"), x["high"].alias("high"),
+        x["h"].alias("h"), x["h2"].alias("h2"), F.struct(F.col("doc_id").alias("doc_id"), x["line"].alias("line")).alias("first"), x["low"].alias("low"), x["high"].alias("high"),
         F.get(t, x["line"]).alias("t"))))
     rows = found.select(F.inline(picked)).where("t IS NOT NULL").withColumn("words", line_words(F.col("t")))
     # rows that share a doc_id may hold another line at that place
-    rows = rows.where(F.xxhash64("words") == F.col("h")).groupBy("h", "size").agg(F.first(F.struct("first", "low", "high", "words")).alias("r"))
-    return rows.select("h", "size", "r.*", F.size("r.words").alias("n"))
+    rows = rows.where((F.xxhash64("words") == F.col("h")) & (F.xxhash64(F.lit("line"), "words") == F.col("h2"))).groupBy("h", "h2").agg(F.first(F.struct("first", "low", "high", "words")).alias("r"))
+    return rows.select("h", "h2", "r.*", F.size("r.words").alias("n"))
 
 
 def near_lines(lines: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (h, size) of the distinct lines with an earlier line within the bound."""
+    """Rows (h, h2) of the distinct lines with an earlier line within the bound."""
     cand = written(lines_with_words(docs, written(likely_lines(lines), "lines-likely")), "lines-candidates")
 
-    at = Window.partitionBy("h", "size")
+    at = Window.partitionBy("h", "h2")
     before = at.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     upto = at.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = cand.select("h", "size", "first", "n", "low", "high", F.posexplode("words").alias("pos", "word"))
-    w = w.select("h", "size", "first", "n", "low", "high", "pos", F.xxhash64("word", "pos").alias("here"), F.xxhash64("word", F.col("pos") - 1).alias("moved"))
+    w = cand.select("h", "h2", "first", "n", "low", "high", F.posexplode("words").alias("pos", "word"))
+    w = w.select("h", "h2", "first", "n", "low", "high", "pos", F.xxhash64("word", "pos").alias("here"), F.xxhash64("word", F.col("pos") - 1).alias("moved"))
     zero = F.lit(0).cast("long")
     w = w.withColumns({"all": F.bit_xor("here").over(at), "head": F.coalesce(F.bit_xor("here").over(before), zero),
                        "tail": F.bit_xor("moved").over(at).bitwiseXOR(F.bit_xor("moved").over(upto))})
@@ -135,28 +137,28 @@ def near_lines(lines: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) ->
     full = F.when(F.col("pos") == 0, F.xxhash64(F.lit("d"), "n", F.col("all")))
     emitted = F.array(F.struct(replaced.alias("key"), F.lit("r").alias("role")), F.struct(deleted.alias("key"), F.lit("d").alias("role")),
                       F.struct(full.alias("key"), F.lit("f").alias("role")))
-    variants = w.select("h", "size", "first", F.inline(emitted)).where("key IS NOT NULL")
+    variants = w.select("h", "h2", "first", F.inline(emitted)).where("key IS NOT NULL")
     variants = written(variants, "lines-variants")
     met = written(variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "lines-met")
     variants = written(variants.join(small_or_plain(met, BROADCAST_ROWS), "key", "left_semi"), "lines-joined")
-    line = F.struct("first", "h", "size")
+    line = F.struct("first", "h", "h2")
     least = variants.groupBy("key").agg(F.min(F.when(F.col("role") != "f", line)).alias("least"), F.min(F.when(F.col("role") == "f", line)).alias("whole"))
     partner = F.when(F.col("role") == "d", F.col("whole")).otherwise(F.col("least"))
     pairs = variants.join(least, "key").withColumn("partner", partner).where("partner.first < first")
-    pairs = pairs.select("h", "size", F.col("partner.h").alias("ph"), F.col("partner.size").alias("psize")).distinct()
-    other = cand.select(F.col("h").alias("ph"), F.col("size").alias("psize"), F.col("words").alias("partner_words"))
-    near = pairs.join(cand.select("h", "size", "words"), ["h", "size"]).join(other, ["ph", "psize"]).where(one_word_apart(F.col("words"), F.col("partner_words")))
-    return near.select("h", "size").distinct()
+    pairs = pairs.select("h", "h2", F.col("partner.h").alias("ph"), F.col("partner.h2").alias("ph2")).distinct()
+    other = cand.select(F.col("h").alias("ph"), F.col("h2").alias("ph2"), F.col("words").alias("partner_words"))
+    near = pairs.join(cand.select("h", "h2", "words"), ["h", "h2"]).join(other, ["ph", "ph2"]).where(one_word_apart(F.col("words"), F.col("partner_words")))
+    return near.select("h", "h2").distinct()
 
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (doc_id, lines, equal): per document the numbers of its dropped lines, and how many equal an earlier line."""
     lines = written(line_table(docs, min_words), "lines")
-    near = near_lines(lines, docs, min_words).select("h", "size", F.lit(None).cast(lines.select(_place().alias("p")).schema["p"].dataType).alias("first"), F.lit(True).alias("near"))
-    again = lines.groupBy("h", "size").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "size", "first", F.lit(False).alias("near"))
-    marked = again.unionByName(near).groupBy("h", "size").agg(F.max("first").alias("first"), F.max("near").alias("near"))
+    near = near_lines(lines, docs, min_words).select("h", "h2", F.lit(None).cast(lines.select(_place().alias("p")).schema["p"].dataType).alias("first"), F.lit(True).alias("near"))
+    again = lines.groupBy("h", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "h2", "first", F.lit(False).alias("near"))
+    marked = again.unionByName(near).groupBy("h", "h2").agg(F.max("first").alias("first"), F.max("near").alias("near"))
     marked = small_or_plain(written(marked, "lines-marked"), BROADCAST_ROWS)
-    placed = lines.select("doc_id", "line", "h", "size").join(marked, ["h", "size"])
+    placed = lines.select("doc_id", "line", "h", "h2").join(marked, ["h", "h2"])
     equal = F.col("first").isNotNull() & ~_place().eqNullSafe(F.col("first"))
     return (placed.withColumn("equal", equal).where("near OR equal").groupBy("doc_id")
             .agg(F.collect_set("line").alias("lines"), F.sum(F.col("equal").cast("long")).alias("equal")))
