@@ -14,6 +14,7 @@ table gives no pieces; other columns of the input are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -33,6 +34,13 @@ SLACK = 16  # a bin with at most this room is nearly full
 CACHE_WORDS = 450_000
 
 
+# How the word-level byte-pair file cleans and splits a text.
+CLEANS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLITS = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+                                                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -42,7 +50,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordIds(dict):
     """Ids of white-space separated words, as little-endian 32-bit bytes; found once per word and worker.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in a row. Words of
+    For a file that cleans and splits as `CLEANS` and `SPLITS` say; `whole` tells other files, whose texts go through the
+    tokenizer as they are. Such a tokenizer drops white space and never joins across it, so a text's ids are its words' ids in a row. Words of
     plain Latin letters, digits and marks are split here as the tokenizer splits and go to its model; others go through
     the whole tokenizer.
     """
@@ -53,11 +62,13 @@ class WordIds(dict):
         import regex
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        self.whole = (said.get("normalizer"), said.get("pre_tokenizer")) != (CLEANS, SPLITS)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
-        # The tokenizer file's own split pattern.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.split = regex.compile(SPLIT).findall
         # A byte's stand-in letter: itself where it is a printable Latin-1 character, else the next letter from 256.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -92,7 +103,10 @@ _words: dict[str, WordIds] = {}
 
 def token_bytes(text: str | None, path: str) -> bytes:
     """The ids of a text and the end id, 4 bytes each."""
-    ids = _words.get(path) or _words.setdefault(path, WordIds(path))
+    if (ids := _words.get(path)) is None:
+        ids = _words[path] = WordIds(path)
+    if ids.whole:
+        return array("I", [*ids.tokenizer.encode(text or "", add_special_tokens=False).ids, END_ID]).tobytes()
     return b"".join(map(ids.__getitem__, (text or "").encode().split())) + END_ID.to_bytes(4, "little")
 
 
@@ -179,7 +193,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, per_tas
     """
     tasks = max(1, -(-items.count() // per_task))
     member = F.struct(*[F.col(c) for c in items.columns], F.lit(0).cast("long").alias("offset"))
-    dealt = F.pmod(F.xxhash64(*[c for c, kind in items.dtypes if not kind.startswith("map")]), F.lit(tasks)).cast("int")
+    # the number of a row in the written table deals out rows that are equal in every column
+    dealt = F.pmod(F.xxhash64("length", F.monotonically_increasing_id()), F.lit(tasks)).cast("int")
     todo = items.select(dealt.alias("task"), F.col("length").alias("fill"), F.array(member).alias("members"))
     out: DataFrame | None = None
     number = 0
