@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Centroids are fitted to a bounded sample (at most `SAMPLE` vectors, those with the least hash of vec_id) by k-means that
-charges for crowded lists. Every vector goes to its nearest centroid's list, and vectors near a boundary to further lists
+There are about as many lists as the square root of the number of vectors, `MOST_LISTS` at most. Centroids are fitted to a
+bounded sample (`LEAST_LIST` vectors a list and `LEAST_SAMPLE` at least, those with the least hash of vec_id) by k-means
+that charges for crowded lists. Every vector goes to its nearest centroid's list, and vectors near a boundary to further lists
 as well: those almost as near, unless a list chosen before is much nearer to them than the vector is. A query walks an
 in-memory graph of centroids best-first and takes the lists whose distance is within a ratio of the nearest one. That
 ratio is measured on the sample, so that its lists hold `TARGET` of the sample's own true neighbours. Inner product
 becomes distance by one more coordinate that gives all vectors the same length.
 
-Lists are cut into blocks and dealt to shards of at most `SHARD` entries; queries go in blocks to the shards that hold
-their lists, and each shard returns every query's best, scored in double precision on the original vectors.
+Lists are cut into blocks and dealt to shards of at most `SHARD` entries. Queries go to the shards that hold their lists; a
+shard that more than `QUERY_BYTES` of them ask for is copied for each such block of queries, other shards are not copied.
+Each shard returns every query's best, scored in double precision on the original vectors.
 
 Defined cases: vectors that are null, all zero, of another dimension than most, or with null or non-finite components
 take no part; rows that share a vec_id count as one vector with the best of their scores, among the queries as well, and a
@@ -19,6 +21,7 @@ not read.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strokelake.llm.common import written
+from strokelake.llm.common import small_or_plain, written
 
-SAMPLE = 20_000
-LISTS = 128
+LEAST_SAMPLE = 20_000
+MOST_LISTS = 1024
 SHARD = 20_000
-QUERY_BLOCK = 1024
+QUERY_BYTES = 32 << 20
+QUERIES_AT_ONCE = 512
+BROADCAST_SHARDS = 200_000
+ROWS_AT_ONCE = 8192
 BOUNDARY = 0.05  # a list this much farther than the nearest is almost as near
 COPIES = 4
 TARGET = 0.97
@@ -62,10 +68,12 @@ class Index:
         c = x[rng.choice(len(x), k, replace=False)]
         charge = np.zeros(k)
         for _ in range(12):
-            d = squared(x, c)
-            near = (d + charge).argmin(1)
+            near, least = np.empty(len(x), np.int64), np.empty(len(x))
+            for a in range(0, len(x), ROWS_AT_ONCE):
+                d = squared(x[a : a + ROWS_AT_ONCE], c)
+                near[a : a + ROWS_AT_ONCE], least[a : a + ROWS_AT_ONCE] = (d + charge).argmin(1), d.min(1)
             size = np.bincount(near, minlength=k)
-            charge += 0.02 * d.min(1).mean() * (size / (len(x) / k) - 1)
+            charge += 0.02 * least.mean() * (size / (len(x) / k) - 1)
             for j in range(k):
                 c[j] = x[near == j].mean(0) if size[j] else x[rng.integers(len(x))]
         self.c = c
@@ -154,16 +162,36 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def fit(rows: DataFrame, lists: int = LISTS, sample: int = SAMPLE) -> Index | None:
-    top = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("m")).first()["m"]
+def fit(rows: DataFrame, lists: int | None = None) -> Index | None:
+    found = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("top"), F.count("*").alias("n")).first()
+    top = found["top"]
     if top is None:
         return None
+    lists = lists or min(MOST_LISTS, max(1, round(math.sqrt(found["n"]))))
+    sample = max(LEAST_SAMPLE, LEAST_LIST * lists)
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").toArrow()
     return Index(matrix(chosen.column("v")), float(top), lists)
 
 
+def best_of_unit(q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each query the places of a unit's entries, in order of vec_id, whose vec_id may be among the best k: ties included."""
+    scores = q @ v.T
+    scores[qid[:, None] == vid[None]] = -np.inf
+    slack = 1e-9 * np.maximum(1, np.abs(scores).max(1, where=np.isfinite(scores), initial=0))  # block products round differently
+    first = np.flatnonzero(np.r_[True, np.diff(vid) != 0])
+    single = len(first) == len(vid)
+    tops = scores if single else np.maximum.reduceat(scores, first, axis=1)  # the best of each vec_id
+    cut = np.partition(tops, -k, axis=1)[:, -k] - slack if len(first) > k else np.full(len(q), -np.inf)
+    copies = np.diff(np.r_[first, len(vid)])
+    out = []
+    for n, (row, low) in enumerate(zip(scores, cut, strict=True)):
+        near = row >= low if single else row >= np.maximum(low, np.repeat(tops[n] - slack[n], copies))
+        out.append(np.flatnonzero(near & np.isfinite(row)))
+    return out
+
+
 def best_of_shard(queries: pa.Table, entries: pa.Table, k: int) -> pa.Table:
-    """The best k vec_ids of a shard for each query row, ties included, each with the best of its scores."""
+    """The best k vec_ids of a shard for each query row, each with the best of its scores."""
     q, qid = matrix(queries.column("v")), queries.column("query_id").to_numpy()
     v, vid = matrix(entries.column("v")), entries.column("vec_id").to_numpy()
     unit = entries.column("unit").to_numpy()
@@ -171,26 +199,15 @@ def best_of_shard(queries: pa.Table, entries: pa.Table, k: int) -> pa.Table:
     for i, units in enumerate(queries.column("units").to_pylist()):
         for u in units:
             wanted.setdefault(u, []).append(i)
-    order = np.argsort(unit, kind="stable")
+    order = np.lexsort((vid, unit))
     edges = np.flatnonzero(np.r_[True, np.diff(unit[order]) != 0, True]) if len(unit) else np.array([0])
     kept: list[list[np.ndarray]] = [[] for _ in range(len(q))]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         members = order[a:b]
-        members = members[np.argsort(vid[members], kind="stable")]
-        if (asking := wanted.get(int(unit[members[0]]))) is None:
-            continue
-        scores = q[asking] @ v[members].T
-        scores[qid[asking][:, None] == vid[members][None]] = -np.inf
-        slack = 1e-9 * np.maximum(1, np.abs(scores).max(1, where=np.isfinite(scores), initial=0))  # block products round differently
-        first = np.flatnonzero(np.r_[True, np.diff(vid[members]) != 0])
-        single = len(first) == len(members)
-        tops = scores if single else np.maximum.reduceat(scores, first, axis=1)  # the best of each vec_id
-        cut = np.partition(tops, -k, axis=1)[:, -k] - slack if len(first) > k else np.full(len(asking), -np.inf)
-        if not single:
-            copies = np.diff(np.r_[first, len(members)])
-        for n, (i, row, low) in enumerate(zip(asking, scores, cut, strict=True)):
-            near = row >= low if single else row >= np.maximum(low, np.repeat(tops[n] - slack[n], copies))
-            kept[i].append(members[near & np.isfinite(row)])
+        asking = np.array(wanted.get(int(unit[members[0]]), []), np.int64)
+        for some in (asking[i : i + QUERIES_AT_ONCE] for i in range(0, len(asking), QUERIES_AT_ONCE)):
+            for i, places in zip(some, best_of_unit(q[some], qid[some], v[members], vid[members], k), strict=True):
+                kept[i].append(members[places])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i, parts in enumerate(kept):
         if not parts:
@@ -205,13 +222,13 @@ def best_of_shard(queries: pa.Table, entries: pa.Table, k: int) -> pa.Table:
     return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int | None = None) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): each query vec_id's k nearest of the other vec_ids of `vectors`."""
     rows = written(usable(vectors), "vectors")
     if rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         rows = written(rows.distinct(), "vectors")
     asked = usable(queries).distinct()
-    index = fit(rows, lists, sample)
+    index = fit(rows, lists)
     out = "query_id bigint, vec_id bigint, score double"
     if index is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -253,11 +270,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LIST
 
     entries = posted.join(table(), (F.col("list") == F.col("l")) & (F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")) == F.col("block")))
     asked = written(asked.select("vec_id", "v").mapInArrow(probe, "query_id bigint, v array<double>, lists array<int>"), "queries")
-    parts = max(1, -(-asked.count() // QUERY_BLOCK))
-    part = F.pmod(F.xxhash64("query_id", "v"), F.lit(parts)).cast("int").alias("part")
-    routed = asked.select("query_id", "v", part, F.explode("lists").alias("list")).join(table(), F.col("list") == F.col("l"))
-    routed = routed.groupBy("query_id", "v", "part", "shard").agg(F.collect_list("unit").alias("units"))
-    entries = entries.select("unit", "shard", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    routed = asked.select("query_id", "v", F.explode("lists").alias("list")).join(table(), F.col("list") == F.col("l"))
+    routed = written(routed.groupBy("query_id", "v", "shard").agg(F.collect_list("unit").alias("units")), "routed")
+    # blocks of queries by shard: one row a shard
+    block = max(1, QUERY_BYTES // (8 * (index.c.shape[1] - 1)))
+    parts = small_or_plain(written(routed.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "shard-parts"), BROADCAST_SHARDS)
+    routed = routed.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("query_id", "v"), F.col("parts")).cast("int"))
+    entries = entries.join(parts, "shard").select("unit", "shard", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     met = routed.groupBy("shard", "part").cogroup(entries.groupBy("shard", "part")).applyInArrow(lambda a, b: best_of_shard(a, b, k), out)
     best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
