@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 TRIM = " \t\n\x0b\x0c\r"
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or (where it is unset, as in tests) one of our own."""
+    """The folder all executors share: `spark.checkpoint.dir`, or (where it is unset and Spark is local, as in tests) one of our own."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -50,6 +53,9 @@ def crc_mod(column: str, k: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % k
 
 
-def small_or_plain(df: DataFrame, limit: int) -> DataFrame:
-    """Marked for broadcast if it has at most `limit` rows (counted here), else as it is."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small_or_plain(df: DataFrame, limit: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if it has at most `limit` rows, of `most_bytes` bytes as text (both counted here), else as it is."""
+    if df.count() > limit:
+        return df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()["b"]
+    return F.broadcast(df) if (size or 0) <= most_bytes else df

@@ -173,6 +173,15 @@ def test_token_bytes(text):
     assert packing.token_bytes(text, packing.tokenizer_path()) == np.array([*ids, 0], "<u4").tobytes()
 
 
+def test_other_tokenizer_files():
+    """A file that splits otherwise goes through its own tokenizer whole."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    ids = Tokenizer.from_file(path).encode("Two  words, and\nmore.", add_special_tokens=False).ids
+    assert packing.token_bytes("Two  words, and\nmore.", path) == np.array([*ids, 0], "<u4").tobytes()
+
+
 def slow_components(rows, width, p, q):
     sets = []
     for doc_id, text in rows:
@@ -271,11 +280,48 @@ def test_line_dedup(spark, docs, none):
     assert all(r.text is None or WORD.search(r.text) or r.doc_id not in truth for r in clean.collect())
 
 
+def test_repeated_items_are_dealt_out(spark, monkeypatch):
+    """Rows equal in every column go to many tasks."""
+    items = packing.written(spark.createDataFrame([(1, 40)] * 400, "item long, length long"), "t")
+    sizes, whole = [], packing.pack_round
+    monkeypatch.setattr(packing, "pack_round", lambda todo, *rest: (sizes.append(todo.groupBy("task").count().agg({"count": "max"}).first()[0]), whole(todo, *rest))[1])
+    assert packing.pack(items, 64, per_task=50).select("sequence_id").distinct().count() == 400 and max(sizes) <= 120
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_joins_beyond_broadcast(spark, docs, monkeypatch, limit):
+    """The same rows whether small sides are broadcast or shuffled."""
+    for module, names in ((line_dedup, ("BROADCAST_ROWS", "BROADCAST_LINES")), (mixing, ("BROADCAST_SOURCES",)), (host_rules, ("BROADCAST_HOSTS",)), (jaccard_join, ("BROADCAST_DOCS",))):
+        for name in names:
+            monkeypatch.setattr(module, name, limit)
+    truth = slow_dropped([(r[0], r[1]) for r in made()], 8)
+    assert all(r.n_dropped == truth[r.doc_id] for r in line_dedup.dedup_lines(docs).select("row.doc_id", "n_dropped").collect())
+    components = slow_components([(r[0], r[1]) for r in made() if r[0] is not None], 3, 9, 10)
+    assert all((r.n_shingles, r.component_id) == components[r.doc_id] for r in jaccard_join.jaccard_components(docs.where("doc_id IS NOT NULL")).collect())
+    assert sum(r.taken for r in mixing.mix(docs).collect()) > 0 and host_rules.keep_good(docs).count() <= docs.count()
+
+
+def test_very_long_texts(spark):
+    """A text of 200,000 words and a line of 50,000: nothing is cut."""
+    long = "\n".join(" ".join(f"v{i}x{j}" for j in range(1000)) for i in range(200))
+    wide = " ".join(f"u{i}" for i in range(50_000))
+    rows = [(0, long, "a"), (1, long + " end", "a"), (2, wide, "b"), (3, wide + " end", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    judged = {r.doc_id: r for r in host_rules.quality_rules(df).collect()}
+    assert [judged[i].n_words for i in range(4)] == [200_000, 200_001, 50_000, 50_001] and not any(r.n_repeat_words for r in judged.values())
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()} == {0: (199_998, 0), 1: (199_999, 0), 2: (49_998, 2), 3: (49_999, 2)}
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(df).select("row.doc_id", "n_dropped").collect()} == {0: 0, 1: 200, 2: 0, 3: 1}
+    got = packing.pack_documents(df.where("doc_id < 1")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("length").alias("most")).first()
+    assert got.most <= 2048 and got.n == len(packing.token_bytes(long, packing.tokenizer_path())) // 4
+
+
 def test_many_lines_one_word_apart(spark):
     """A counter line in many documents: all but the first go, without pairs of all with all."""
     text = "page number {} of the long report about many small things"
     df = spark.createDataFrame([(i, text.format(i)) for i in range(400)], "doc_id long, text string")
     assert {r.doc_id for r in line_dedup.deduplicated(df).collect()} == {0}
+    short = spark.createDataFrame([(0, "a b c d e f g"), (1, "a b c d e f x"), (2, "a b c d e f g"), (3, "a b c d e f g h"), (4, "a b c d e f x h")], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.deduplicated(short).collect()} == {0, 1, 3}  # the bound is 0 below 8 words of the shorter line
     longer = spark.createDataFrame([(0, "a b c d e f g h i"), (1, "a b c d e f g h"), (2, "a b c d x e f g h"), (3, "a b c y d z e f g h")], "doc_id long, text string")
     assert {r.doc_id for r in line_dedup.deduplicated(longer).collect()} == {0, 3}
 

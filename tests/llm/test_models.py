@@ -218,8 +218,15 @@ def test_warc(spark, tmp_path):
     for f in {r.file_id for r in got}:
         ranges = sorted((r.place, r.offset, r.length) for r in got if r.file_id == f)
         assert [o for _, o, _ in ranges] == [sum(n for _, _, n in ranges[:i]) for i in range(len(ranges))]
-    missing = warc_fixity.audited(ours, warc_fixity.records(pages.where("page_id <> 2000")))
-    assert {r.page_id for r in missing.where("NOT intact").collect()} >= {2000}
+    missing = warc_fixity.audited(ours, warc_fixity.records(pages.where("NOT page_id <=> 2000")))
+    assert [r.page_id for r in missing.where("NOT intact").collect()] == [2000]
+    mine, odd = warc_fixity.compared(warc_fixity.records(pages.where("NOT page_id <=> 1500")), ours)
+    gone = odd.collect()
+    assert [(r.side, r.file_id) for r in gone] == [("theirs", 1)]
+    at = {r.place: r for r in warc_fixity.leaves(ours).where("file_id = 1").collect()}[gone[0].place]
+    assert (at.page_id, at.offset, at.length) == (1500, gone[0].offset, gone[0].length)
+    twice = warc_fixity.records(pages.where("page_id = 3").union(pages.where("page_id = 3")).union(pages.where("page_id = 4")))
+    assert [r.page_id for r in warc_fixity.audited(twice, warc_fixity.records(pages.where("page_id IN (3, 4)"))).where("NOT intact").collect()] == [3]
     raw = b"".join(bytes(r.record) for r in ours.where("file_id = 0").orderBy("page_id").collect())
     (tmp_path / "a.warc").write_bytes(raw)
     parsed = warc_fixity.parse_records(spark.read.format("binaryFile").load(str(tmp_path))).orderBy("offset").collect()
