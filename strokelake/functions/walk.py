@@ -28,22 +28,22 @@ def direction(sx: Column, sy: Column) -> Column:
 
 
 def line_steps(dx: Column, dy: Column) -> Column:
-    """Moves of a straight hop of (dx, dy) cells: n = max(|dx|, |dy|) of them, the shorter axis advanced by an integer rule."""
-    n = F.greatest(F.abs(dx), F.abs(dy))
+    """Moves of a straight hop of (dx, dy) cells, one for each cell of the longer axis.
 
-    def moves(long: Column) -> Column:
-        short = F.least(F.abs(dx), F.abs(dy))
-        minor = lambda k: -F.floor((long - 2 * k * short) / (2 * long))
+    After k of n moves an axis that goes a cells has passed the whole number nearest to k a / n, halves rounded down.
+    """
 
-        def at(i: Column) -> Column:
-            step = minor(i + 1) - minor(i)
-            sx = F.signum(dx) * F.when(F.abs(dx) == long, 1).otherwise(step)
-            sy = F.signum(dy) * F.when(F.abs(dy) == long, 1).otherwise(step)
-            return direction(sx, sy)
+    def moves(n: Column) -> Column:
+        def passed(cells: Column, k: Column) -> Column:
+            return F.floor((2 * k * cells + n - 1) / (2 * n))
 
-        return F.when(long > 0, F.transform(F.sequence(F.lit(0), long - 1), at)).otherwise(F.array().cast("array<int>"))
+        def gone(cells: Column, k: Column) -> Column:
+            return F.signum(cells) * (passed(F.abs(cells), k) - passed(F.abs(cells), k - 1))
 
-    return let(n.cast("int"), moves)
+        none = F.array().cast("array<int>")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: direction(gone(dx, k), gone(dy, k)))).otherwise(none)
+
+    return let(F.greatest(F.abs(dx), F.abs(dy)).cast("int"), moves)
 
 
 def encode(points: Column, grid: float) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,6 +55,62 @@ def restarted(s: Column, at: Column) -> Column:
     return F.when(closed, F.concat(F.slice(s, inside + 1, F.size(s) - inside), F.slice(s, F.lit(2), inside))).otherwise(s)
 
 
+def redrawn(strokes: Column, key: Column, restart: float, reverse: float, seed: str = "redraw") -> Column:
+    """Closed strokes begun at another point and strokes drawn backwards, each with its probability."""
+
+    def one(s: Column, i: Column) -> Column:
+        at = 1 + F.floor(uniform(f"{seed}-at", key, i) * (F.size(s) - 2)).cast("int")
+        begun = F.when(uniform(f"{seed}-restart", key, i) < restart, restarted(s, at)).otherwise(s)
+        return let(begun, lambda b: F.when(uniform(f"{seed}-reverse", key, i) < reverse, F.reverse(b)).otherwise(b))
+
+    return F.transform(strokes, one)
+
+
+WAVES = 3
+
+
+def bend_parameters(key: Column, grid: float, warp: float, perspective: float, rotate: float, shear: float, stretch: float, shift: float, seed: str = "bend") -> Column:
+    """A struct of the numbers of one bend, drawn by hash of key: for each wave its direction and length (wx, wy), phase and
+    push (px, py); tilt (tx, ty), the matrix a b c d of turning, shear and size, and the shift (sx, sy) with a nudge inside a cell."""
+    u = lambda name, k=0: uniform(f"{seed}-{name}", key, k)
+    around = lambda name, most: (2 * u(name) - 1) * most
+    normal = lambda name, k, f: F.sqrt(-2 * F.ln(F.greatest(u(name, k), F.lit(1e-12)))) * f(2 * math.pi * u(f"{name}-turn", k))
+    waves = []
+    for k in range(WAVES):
+        angle, size = 2 * math.pi * u("angle", k), 0.4 + 0.6 * u("length", k)
+        waves.append(F.struct((F.cos(angle) * size).alias("wx"), (F.sin(angle) * size).alias("wy"), (2 * math.pi * u("phase", k)).alias("phase"),
+                              (normal("push", k, F.cos) * (warp / math.sqrt(WAVES))).alias("px"), (normal("push", k, F.sin) * (warp / math.sqrt(WAVES))).alias("py")))
+    turn, lean = around("rotate", math.radians(rotate)), around("shear", shear)
+    wide, high = F.exp(around("wide", stretch)), F.exp(around("high", stretch))
+    c, s = F.cos(turn), F.sin(turn)
+    return F.struct(F.array(*waves).alias("waves"), around("tilt-x", perspective).alias("tx"), around("tilt-y", perspective).alias("ty"),
+                    (c * wide).alias("a"), (s * high).alias("b"), ((lean * c - s) * wide).alias("c"), ((lean * s + c) * high).alias("d"),
+                    (around("shift-x", shift) + (u("nudge-x") - 0.5) * grid).alias("sx"), (around("shift-y", shift) + (u("nudge-y") - 0.5) * grid).alias("sy"))
+
+
+def bent(strokes: Column, how: Column) -> Column:
+    """Strokes moved by a bend: waves, perspective, matrix, then centred and shifted. Long steps are made short before (densify)."""
+
+    def middle(s: Column, body) -> Column:
+        x, y = F.transform(F.flatten(s), lambda p: p["x"]), F.transform(F.flatten(s), lambda p: p["y"])
+        return let(F.struct(((F.array_min(x) + F.array_max(x)) / 2).alias("x"), ((F.array_min(y) + F.array_max(y)) / 2).alias("y")), body)
+
+    def moved(h: Column, m: Column) -> Column:
+        def point(p: Column) -> Column:
+            x, y = p["x"] - m["x"], p["y"] - m["y"]
+            pushed = lambda c: F.aggregate(h["waves"], F.lit(0.0), lambda t, w: t + F.sin(2 * math.pi * (x * w["wx"] + y * w["wy"]) + w["phase"]) * w[c])
+
+            def tilted(q: Column) -> Column:
+                return let(1 + q["x"] * h["tx"] + q["y"] * h["ty"], lambda d: F.struct(
+                    ((q["x"] * h["a"] + q["y"] * h["c"]) / d).alias("x"), ((q["x"] * h["b"] + q["y"] * h["d"]) / d).alias("y")))
+
+            return let(F.struct((x + pushed("px")).alias("x"), (y + pushed("py")).alias("y")), tilted)
+
+        return let(g.map_points(strokes, point), lambda s: middle(s, lambda n: g.map_points(s, lambda p: F.struct((p["x"] - n["x"] + h["sx"]).alias("x"), (p["y"] - n["y"] + h["sy"]).alias("y")))))
+
+    return let(how, lambda h: middle(strokes, lambda m: moved(h, m)))
+
+
 def standardised(ink: DataFrame, frames: DataFrame, by: str = "writer") -> DataFrame:
     """Ink scaled to the standard x-height, or ink height where a writer has none; first point at x 0, baseline at 0.
 
@@ -73,19 +130,47 @@ def pair_differences(rows: DataFrame, by: str, key: str, quality: str, features:
     return rows.withColumns(nxt).where(F.col(quality) > F.col(f"_{quality}")).select(by, key, *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in features])
 
 
-def style_trials(words: DataFrame, source: str, writer: str, key: str, n: int, k: int, seed: str = "trial") -> DataFrame:
-    """Rows (source, trial, candidate, primes): for each writer as the true one, itself and n - 1 others of its source, each
-    with k words. Sources with under n writers that have more than k words give none.
+def ridge_of_pairs(differences: DataFrame, features: list[str], alpha: float) -> list[float]:
+    """Weights w that make w . difference near 1 for better-minus-worse rows: ridge without an intercept, from summed products."""
+    import numpy as np
+
+    d = len(features)
+    sums = [F.sum(F.col(a) * F.col(b)).alias(f"_{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features)] + [F.sum(a).alias(f"_{i}") for i, a in enumerate(features)]
+    r = differences.agg(*sums).first()
+    m = np.array([[r[f"_{i}_{j}"] or 0.0 for j in range(d)] for i in range(d)]) + alpha * np.eye(d)
+    return np.linalg.solve(m, np.array([r[f"_{i}"] or 0.0 for i in range(d)])).tolist()
+
+
+def rank_correlation(rows: DataFrame, by: str, a: Column, b: Column, key: str) -> DataFrame:
+    """Rows (by, n, correlation): correlation of the ranks of two measures in each group, ties in order of key."""
+    w = Window.partitionBy(by)
+    ranked = rows.select(by, F.row_number().over(w.orderBy(a, key)).alias("_a"), F.row_number().over(w.orderBy(b, key)).alias("_b"))
+    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("correlation"))
+
+
+def style_trials(words: DataFrame, source: str, writer: str, key: str, n: int, k: int, seed: str = "trial", fits: tuple[str, str, int, int] | None = None) -> DataFrame:
+    """Rows (source, trial, place, candidate, primes, target): for each writer as the true one, itself and n - 1 others of its
+    source, each with k words, and the true writer's next word as the target. Sources with under n writers that have more
+    than k words give none.
 
+    `fits` names a column of tokens counted and of bytes, with the block and the bytes they must fit into: a trial of which
+    one candidate's words overflow with the target goes as a whole.
     Writers stand in a ring by hash; a writer's rivals are the next ones, so trials are n rows a writer.
     """
     order = Window.partitionBy(source, writer).orderBy(uniform(seed, F.col(key)), key)
-    primes = words.withColumn("_r", F.row_number().over(order)).groupBy(source, writer).agg(
-        F.count("*").alias("_n"), F.sort_array(F.collect_list(F.when(F.col("_r") <= k, F.struct("_r", F.col(key).alias("k"))))).alias("p")).where(F.col("_n") > k)
-    ring = primes.select(source, writer, F.transform("p", lambda x: x["k"]).alias("primes"), (F.row_number().over(Window.partitionBy(source).orderBy(uniform(seed, F.col(writer)), writer)) - 1).alias("at"),
+    tokens, size = (F.col(c) for c in fits[:2]) if fits else (F.lit(0), F.lit(0))
+    ranked = words.select(source, writer, key, tokens.alias("_t"), size.alias("_b"), F.row_number().over(order).alias("_r")).where(F.col("_r") <= k + 1)
+    primes = ranked.groupBy(source, writer).agg(F.sort_array(F.collect_list(F.struct("_r", F.col(key).alias("k"), F.col("_t").alias("t"), F.col("_b").alias("b")))).alias("p")).where(F.size("p") > k)
+    summed = lambda c: F.aggregate(F.slice("p", 1, k), F.lit(0), lambda a, x: a + x[c].cast("int"))
+    last = F.get("p", F.lit(k))
+    ring = primes.select(source, writer, F.transform(F.slice("p", 1, k), lambda x: x["k"]).alias("primes"), last.alias("last"), summed("t").alias("t"), summed("b").alias("b"), (F.row_number().over(Window.partitionBy(source).orderBy(uniform(seed, F.col(writer)), writer)) - 1).alias("at"),
                          F.count("*").over(Window.partitionBy(source)).alias("writers")).where(F.col("writers") >= n)
-    trials = ring.select(source, F.col(writer).alias("trial"), "writers", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.col("at") + i) % F.col("writers"))).alias("place", "at"))
-    return trials.join(ring.select(source, "at", F.col(writer).alias("candidate"), "primes"), [source, "at"]).select(source, "trial", "place", "candidate", "primes")
+    trials = ring.select(source, F.col(writer).alias("trial"), "last", "writers", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.col("at") + i) % F.col("writers"))).alias("place", "at"))
+    met = trials.join(ring.select(source, "at", F.col(writer).alias("candidate"), "primes", "t", "b"), [source, "at"])
+    if fits:
+        over = (F.col("t") + F.col("last.t") + 2 * k > fits[2] - 2) | (F.col("b") + F.col("last.b") + k > fits[3])
+        met = met.withColumn("_over", F.max(over).over(Window.partitionBy(source, "trial"))).where("NOT _over")
+    return met.select(source, "trial", "place", "candidate", "primes", F.col("last.k").alias("target"))
 
 
 def transfer_tasks(words: DataFrame, writer: str, key: str, text: str, targets: int, primers: int, seed: str = "transfer") -> DataFrame:

@@ -42,10 +42,10 @@ def token_deltas(rules: DataFrame) -> DataFrame:
 
 
 def owners(tokens: DataFrame, expansions: list[list[int]]) -> DataFrame:
-    """Rows (id, owner, token): base tokens with the place of the token they come from."""
+    """Rows (id, owner, point, token): base tokens in order, with the place of the token they come from."""
     table = F.array(*[F.array(*[F.lit(t) for t in e]) for e in expansions])
-    rows = tokens.select("id", F.posexplode("tokens").alias("owner", "t"))
-    return rows.select("id", "owner", F.explode(F.get(table, F.col("t"))).alias("token"))
+    each = F.flatten(F.transform("tokens", lambda t, i: F.transform(F.get(table, t), lambda b: F.struct(i.alias("owner"), b.alias("token")))))
+    return tokens.select("id", F.posexplode(each).alias("point", "e")).select("id", "e.owner", "point", "e.token")
 
 
 def roles(tokens: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strokelake.functions.arrays import uniform
+
 # Thresholds of the trace gate.
 RULES = {"coverage": 0.80, "coverage_read": 0.70, "read_error_strict": 0.15, "min_mark": 0.5, "precision": 0.90, "read_error": 0.34,
          "length_ratio": 1.6, "retrace": 0.35, "max_mark_length": 1.95}
@@ -30,6 +32,12 @@ def held_out_writers(rows: DataFrame, k: int, source: str = "source", writer: st
     return writers.where(held_out(F.col(writer), k)).join(enough, source, "left_semi")
 
 
+def held_out_words(rows: DataFrame, k: int, most: int, key: str = "id", source: str = "source", writer: str = "writer", seed: str = "held") -> DataFrame:
+    """Rows of held-out writers, at most `most` a source, in hash order of key."""
+    words = rows.join(held_out_writers(rows, k, source, writer), [source, writer], "left_semi")
+    return capped(words, source, [uniform(seed, F.col(key)), F.col(key)], most)
+
+
 def trace_gate(rows: DataFrame) -> DataFrame:
     """Adds read_error, reasons (failed rules) and passed to rows (read, label, measures)."""
     error = F.levenshtein("read", "label") / F.greatest(F.length("label"), F.lit(1))
@@ -103,8 +111,13 @@ def funnel(rows: DataFrame, stages: dict[str, Column]) -> DataFrame:
 
 
 def distinct_by(rows: DataFrame, content: list[str], key: str) -> DataFrame:
-    """One row for each content, the one with the least key."""
-    first = rows.groupBy(F.xxhash64(*content).alias("_h"), F.sha2(F.concat_ws("\x1f", *content).cast("binary"), 256).alias("_s")).agg(F.min(key).alias(key))
+    """One row for each content, the one with the least key (a unique column). Nulls are contents of their own.
+
+    Contents are grouped by SHA-256 of their JSON, which tells nulls, columns and any character apart, so long ones are
+    not shuffled.
+    """
+    line = F.to_json(F.struct(*content), {"ignoreNullFields": "false"})
+    first = rows.groupBy(F.sha2(line.cast("binary"), 256).alias("_s")).agg(F.min(key).alias(key))
     return rows.join(first.select(key), key, "left_semi")
 
 
@@ -123,6 +136,21 @@ def frame_check(words: DataFrame, by: str = "writer") -> DataFrame:
     return out.withColumn("errors", errors)
 
 
+def frame_warnings(points: DataFrame, words: DataFrame, grid: float, by: str = "writer", most_long: float = 0.05) -> DataFrame:
+    """Rows (by, spacing, long_steps, tokens_per_char, warnings) of rows (by, id, seq, x, y, pen) and (id, tokens, chars).
+
+    Steps lie between neighbouring points with the pen down; words with under three such points do not count.
+    """
+    at = Window.partitionBy("id").orderBy("seq")
+    step = F.when((F.col("pen") == 1) & (F.lag("pen").over(at) == 1), F.hypot(F.col("x") - F.lag("x").over(at), F.col("y") - F.lag("y").over(at)))
+    stepped = points.withColumn("_step", step)
+    enough = stepped.groupBy(by, "id").agg(F.sum("pen").alias("n")).where("n >= 3")
+    steps = stepped.where("_step IS NOT NULL").join(enough.select("id"), "id", "left_semi").groupBy(by).agg(
+        F.median("_step").alias("spacing"), F.avg((F.col("_step") > grid).cast("int")).alias("long_steps"))
+    chars = enough.select(by, "id").join(words, "id").groupBy(by).agg((F.sum("tokens") / F.greatest(F.sum("chars"), F.lit(1))).alias("tokens_per_char"))
+    return chars.join(steps, by, "left").withColumn("warnings", F.array_compact(F.array(F.when(F.col("long_steps") > most_long, F.lit("long steps")))))
+
+
 def x_height_ladder(rows: DataFrame, by: str = "writer") -> DataFrame:
     """Rows (by, method, height): the first of words, letters and bands that has enough values (5, 5, 3), from rows (by, kind, height)."""
     ladder = (("words", 5), ("letters", 5), ("bands", 3))

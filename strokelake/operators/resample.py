@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strokelake.functions import geometry as g
 from strokelake.functions.arrays import indices, let, total
+from strokelake.operators.sampling import numbered
 
 
 def densify(ink: DataFrame, step: float) -> DataFrame:
@@ -25,29 +26,14 @@ def densify(ink: DataFrame, step: float) -> DataFrame:
 
 
 def sheet(ink: DataFrame, columns: int, gap: float) -> DataFrame:
-    """Drawings in order of id on a grid of unit cells.
-
-    The number of a drawing is its rank in a range-sorted table: rows before its range, and rows before it inside.
-    """
-    ids = numbered(ink.select("id"), "id")
+    """Drawings in order of id on a grid of unit cells."""
+    ids = numbered(ink.select("id"), [F.col("id")])
     moved = ink.join(ids, "id")
     pitch = 1 + gap
     shift_x, shift_y = (F.col("number") % columns) * pitch, F.floor(F.col("number") / columns) * pitch
     return moved.withColumn("strokes", g.map_points(F.col("strokes"), lambda p: F.struct((p["x"] + shift_x).alias("x"), (p["y"] + shift_y).alias("y")))).drop("number")
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Adds `number`, the place of each row in order of `key` (a unique string), without sorting all rows in one task.
-
-    Rows are counted by the key's first bytes; a bucket starts where the counts before it end.
-    """
-    head = F.substring(F.col(key), 1, 4)
-    counted = rows.groupBy(head.alias("head")).agg(F.count("*").alias("n"))
-    starts = counted.select("head", (F.sum("n").over(Window.orderBy("head")) - F.col("n")).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("head").orderBy(key)) - 1
-    return rows.withColumn("head", head).withColumn("inside", inside).join(starts, "head").select(*rows.columns, (F.col("start") + F.col("inside")).cast("long").alias("number"))
-
-
 def bend(ink: DataFrame) -> DataFrame:
     """Rows (id, jerk): mean absolute change of turning along the strokes, turns brought to [-pi, pi)."""
     p = ink.select("id", F.posexplode("strokes").alias("stroke", "s")).select("id", "stroke", F.posexplode("s").alias("pos", "p"))

@@ -6,14 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strokelake.functions.arrays import uniform
+from strokelake.sources.scratch import written
 
 
 def split(rows: DataFrame, key: str, source: str, most_test: int = 1000, share: int = 20, seed: str = "split") -> DataFrame:
     """Adds `part`: of each source the last min(most_test, n div share) rows in hash order are test."""
-    w = Window.partitionBy(source)
-    ranked = rows.withColumns({"_r": F.row_number().over(w.orderBy(F.desc(uniform(seed, F.col(key))), key)), "_n": F.count("*").over(w)})
-    test = F.col("_r") <= F.least(F.lit(most_test), F.floor(F.col("_n") / share))
-    return ranked.withColumn("part", F.when(test, "test").otherwise("train")).drop("_r", "_n")
+    order = Window.partitionBy(source).orderBy(F.desc(uniform(seed, F.col(key))), key)
+    # only rows that can be test are ranked: each task hands on `most_test` a source, however large the source
+    last = rows.select(F.col(source).alias("_s"), F.col(key).alias("_k"), F.row_number().over(order).alias("_r")).where(F.col("_r") <= most_test)
+    sizes = rows.groupBy(F.col(source).alias("_t")).agg(F.count("*").alias("_n"))
+    test = last.join(sizes, F.col("_s").eqNullSafe(F.col("_t"))).where(F.col("_r") <= F.floor(F.col("_n") / share)).select("_k", F.lit("test").alias("_p"))
+    return rows.join(test, F.col(key) == F.col("_k"), "left").withColumn("part", F.coalesce("_p", F.lit("train"))).drop("_k", "_p")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """Adds `name`, the place of each row in the order, from 0. Rows are range-sorted and written once; a range starts where
+    the counts before it end, so no task sorts all rows, and a key of many rows is no group."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = written(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_c"))  # a row for each range
+    starts = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_start"))
+    return ranged.join(F.broadcast(starts), "_part").select(*rows.columns, (F.col("_start") + F.col("_at")).cast("long").alias(name))
 
 
 def first_by_hash(rows: DataFrame, key: str, by: str, limit: int, seed: str) -> DataFrame:
@@ -25,16 +38,17 @@ def first_by_hash(rows: DataFrame, key: str, by: str, limit: int, seed: str) ->
 def dimension(rows: DataFrame, name: str) -> DataFrame:
     """Rows (id, name): sorted distinct names from 1; 0 means unknown."""
     names = rows.where(F.coalesce(F.col(name).cast("string"), F.lit("")) != "").select(name).distinct()
-    return names.select(F.row_number().over(Window.orderBy(name)).alias("id"), name)
+    return numbered(names, [F.col(name)], "_i").select((F.col("_i") + 1).cast("int").alias("id"), name)
 
 
 def with_dimension(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return rows.join(ids, name, "left").withColumn("id", F.coalesce("id", F.lit(0)))
 
 
-def weighted_draws(rows: DataFrame, n_draws: int, group: str, weight: str, key: str, most: int, seed: str = "draw") -> DataFrame:
+def weighted_draws(rows: DataFrame, draws: DataFrame | int, group: str, weight: str, key: str, most: int, seed: str = "draw") -> DataFrame:
     """Rows (draw, group, key, place): a group by the sum of its weights, then uniform 1..min(most, size) distinct members.
 
+    `draws` are numbers, or rows (draw): a draw depends on its own number alone, so any shard can make its own.
     Groups cover [0, 1) by cumulated weight, and a draw's number falls into one of them. Groups are cut into cells of
     the unit interval, so the interval join is an equi-join on cells.
     """
@@ -44,7 +58,8 @@ def weighted_draws(rows: DataFrame, n_draws: int, group: str, weight: str, key:
     total = F.sum("w").over(Window.partitionBy())
     spans = groups.select(group, "n", ((F.sum("w").over(order) - F.col("w")) / total).alias("low"), (F.sum("w").over(order) / total).alias("high"))
     spans = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells).cast("int"), F.least(F.lit(cells - 1), F.floor(F.col("high") * cells).cast("int")))))
-    draws = rows.sparkSession.range(n_draws).withColumnRenamed("id", "draw").withColumn("u", uniform(seed, F.col("draw")))
+    draws = rows.sparkSession.range(draws).withColumnRenamed("id", "draw") if isinstance(draws, int) else draws.select("draw")
+    draws = draws.withColumn("u", uniform(seed, F.col("draw")))
     draws = draws.withColumn("cell", F.floor(F.col("u") * cells).cast("int"))
     hit = draws.join(spans, "cell").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
     limit = F.floor(uniform(seed, F.col("draw"), 1) * F.least(F.lit(most), F.col("n"))).cast("int") + 1
@@ -80,12 +95,9 @@ def make_example(tokens: Column, block: int, bos: int, end: int, pad: int) -> Co
     return F.struct(x.alias("x"), y.alias("y"))
 
 
-def sorted_batches(rows: DataFrame, key: str, length: str, size: int, ranges: int = 256) -> DataFrame:
-    """Adds `batch`: rows in order of length, `size` a batch. Places come from counts by length, so no task sorts all rows."""
-    counts = rows.groupBy(length).agg(F.count("*").alias("_c"))
-    starts = counts.select(length, (F.sum("_c").over(Window.orderBy(length)) - F.col("_c")).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(length).orderBy(key)) - 1
-    return rows.withColumn("_i", inside).join(starts, length).withColumn("batch", F.floor((F.col("_start") + F.col("_i")) / size)).drop("_i", "_start")
+def sorted_batches(rows: DataFrame, key: str, length: str, size: int) -> DataFrame:
+    """Adds `batch`: rows in order of length and key, `size` a batch."""
+    return numbered(rows, [F.col(length), F.col(key)], "_i").withColumn("batch", F.floor(F.col("_i") / size)).drop("_i")
 
 
 def budget_batches(pool: list[tuple[int, int]], budget: int, step: int, block: int) -> tuple[list[tuple[int, int, list[int]]], list[tuple[int, int]]]:
@@ -124,25 +136,66 @@ def length_report(rows: DataFrame, length: str, block: int, by: str | None = Non
     return grouped.agg(F.count("*").alias("n"), F.median(length).alias("median"), F.percentile(length, 0.99).alias("p99"), F.avg((F.col(length) > block - 2).cast("double")).alias("cut"))
 
 
-def contexts(words: DataFrame, writer: str, key: str, counts: tuple[int, ...], seed: str = "context") -> DataFrame:
+def drawn_examples(words: DataFrame, draws: DataFrame | int, group: str, weight: str, key: str, tokens: str, size: str, most: int, block: int, limit: int, marks: dict[str, int], seed: str = "draw") -> DataFrame:
+    """Rows (draw, x, y): words drawn, joined up to the first that overflows (two WORD tokens between), made an example."""
+    chosen = weighted_draws(words, draws, group, weight, key, most, seed).join(words.select(key, tokens, F.size(tokens).alias("_n"), F.col(size).alias("_size")), key)
+    kept = join_words(chosen, "draw", "place", "_n", "_size", block, limit)
+    whole = kept.groupBy("draw").agg(F.sort_array(F.collect_list(F.struct("place", F.col(tokens).alias("t")))).alias("_w"))
+    gap = F.array(F.lit(marks["WORD"]), F.lit(marks["WORD"]))
+    joined = F.flatten(F.transform("_w", lambda w, i: F.when(i > 0, F.concat(gap, w["t"])).otherwise(w["t"])))
+    return whole.select("draw", make_example(joined, block, marks["BOS"], marks["END"], marks["PAD"]).alias("e")).select("draw", "e.x", "e.y")
+
+
+def evaluation_parts(rows: DataFrame, key: str, source: str, held: Column, most_held: int = 1000, most_seen: int = 300, most_train: int | None = None, seed: str = "eval") -> DataFrame:
+    """The rows of each part with `part`: of each source at most so many held-out and seen ones, and for training those not
+    held out, at most `most_train` over all sources; each in hash order."""
+    inside, outside = rows.where(held), rows.where(~held)
+    train = outside if most_train is None else outside.orderBy(uniform(f"{seed}-train", F.col(key)), key).limit(most_train)
+    parts = {"held": first_by_hash(inside, key, source, most_held, seed), "seen": first_by_hash(outside, key, source, most_seen, seed), "train": train}
+    named = [df.withColumn("part", F.lit(name)) for name, df in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def prompt_list(rows: DataFrame, label: str, phrase: str, key: str, source: str, held: Column, n: int, most: int, seed: str = "prompt") -> DataFrame:
+    """Rows (kind, text, place): n distinct labels in hash order, and phrases of held-out rows, at most `most` a source, each
+    text once at its first place."""
+    labels = rows.select(F.col(label).alias("text")).where("text <> ''").distinct().orderBy(uniform(seed, F.col("text")), "text").limit(n)
+    order = Window.partitionBy(source).orderBy(uniform(f"{seed}-held", F.col(key)), key)
+    some = rows.where(held & (F.col(phrase) != "")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    phrases = some.groupBy(F.col(phrase).alias("text")).agg(F.min(F.struct(F.col(source).cast("string").alias("s"), F.col("_r").alias("r"))).alias("_f"))
+    first = Window.orderBy(uniform(seed, F.col("text")), "text")  # over n rows
+    return labels.select(F.lit("label").alias("kind"), "text", F.row_number().over(first).cast("string").alias("place")).unionByName(
+        phrases.select(F.lit("phrase").alias("kind"), "text", F.concat_ws("/", F.col("_f.s"), F.col("_f.r").cast("string")).alias("place")))
+
+
+def contexts(words: DataFrame, writer: str, key: str, counts: tuple[int, ...], seed: str = "context", fits: tuple[str, str, int, int] | None = None) -> DataFrame:
     """Rows (k, target, context): for each word the first k other words of its writer in the writer's hash order.
 
+    `fits` names a column of tokens counted and of bytes, with the block and the bytes they must fit into: targets stay
+    whose largest context fits with them, two tokens and a space between words.
+
     A writer's order is the same for all targets, so the k + 1 first words of a writer serve every target: those joined
     are bounded, and no writer's words are joined with each other.
     """
     most = max(counts)
     order = Window.partitionBy(writer).orderBy(uniform(seed, F.col(key)), key)
-    ranked = words.select(writer, key, F.row_number().over(order).alias("_r"))
-    first = ranked.where(F.col("_r") <= most + 1).groupBy(writer).agg(F.sort_array(F.collect_list(F.struct("_r", F.col(key).alias("k")))).alias("_f"))
-    others = F.transform(F.filter("_f", lambda x: x["k"] != F.col("target")), lambda x: x["k"])
-    got = words.select(writer, F.col(key).alias("target")).join(first, writer).where(F.size(others) >= most)
+    tokens, size = (F.col(c) for c in fits[:2]) if fits else (F.lit(0), F.lit(0))
+    sized = words.select(writer, key, tokens.alias("_t"), size.alias("_b"))
+    ranked = sized.withColumn("_r", F.row_number().over(order))
+    first = ranked.where(F.col("_r") <= most + 1).groupBy(writer).agg(F.sort_array(F.collect_list(F.struct("_r", F.col(key).alias("k"), F.col("_t").alias("t"), F.col("_b").alias("b")))).alias("_f"))
+    known = F.filter("_f", lambda x: x["k"] != F.col("target"))
+    others = F.transform(known, lambda x: x["k"])
+    got = sized.withColumnRenamed(key, "target").join(first, writer).where(F.size(others) >= most)
+    if fits:
+        summed = lambda c: F.aggregate(F.slice(known, 1, most), F.lit(0), lambda a, x: a + x[c].cast("int"))
+        got = got.where((F.col("_t") + summed("t") + 2 * most <= fits[2] - 2) & (F.col("_b") + summed("b") + most <= fits[3]))
     return got.select("target", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.slice(others, F.lit(1), F.lit(k)).alias("context")) for k in counts])).alias("c")).select("target", "c.*")
 
 
 def anonymised(rows: DataFrame, key: str, seed: str = "anonymous") -> DataFrame:
-    """Rows (key, new): fresh numbers in hash order. The number of keys is that of a dimension."""
-    keys = rows.select(key).distinct()
-    return keys.select(key, F.row_number().over(Window.orderBy(uniform(seed, F.col(key)), key)).alias("new"))
+    """Rows (key, new): fresh numbers in hash order."""
+    keys = rows.select(key).distinct().withColumn("_u", uniform(seed, F.col(key)))
+    return numbered(keys, [F.col("_u"), F.col(key)], "_i").select(key, (F.col("_i") + 1).cast("int").alias("new"))
 
 
 def greedy_within(items: Column, budget: int, most: int) -> Column:
@@ -154,3 +207,10 @@ def greedy_within(items: Column, budget: int, most: int) -> Column:
         return F.struct(F.when(fits, a["used"] + x["size"]).otherwise(a["used"]).alias("used"), F.when(fits, F.concat(a["keys"], F.array(x["key"]))).otherwise(a["keys"]).alias("keys"))
 
     return F.aggregate(items, start, put, lambda a: a["keys"])
+
+
+def all_prompts(examples: DataFrame, prompts: DataFrame, most: int = 20_000) -> DataFrame:
+    """Each example under every prompt of a list. A list is counted and broadcast; longer ones are an error."""
+    if prompts.count() > most:
+        raise ValueError(f"over {most} prompts: block them, or search them by an index")
+    return examples.crossJoin(F.broadcast(prompts))

@@ -17,6 +17,7 @@ def bigram_scores(tokens: DataFrame, vocabulary: int) -> DataFrame:
     pair = rows.groupBy("before", "token").agg(F.count("*").alias("c"))
     first = pair.groupBy("before").agg(F.sum("c").alias("n"))
     cost = pair.join(first, "before").select("before", "token", (-F.ln((F.col("c") + 1) / (F.col("n") + vocabulary))).alias("nats"))
+    cost = F.broadcast(cost) if (vocabulary + 1) ** 2 <= 1_000_000 else cost  # there are no more pairs than that
     return rows.join(cost, ["before", "token"]).select("id", "pos", "token", "nats")
 
 
@@ -31,10 +32,25 @@ def scored_by(examples: DataFrame, score: Callable[[list[list[int]]], list[list[
     return examples.mapInArrow(run, examples.withColumn("nats", F.lit(None).cast("array<double>")).schema)
 
 
-def losses(scored: DataFrame, moves: DataFrame, key: str = "id", source: str = "source") -> DataFrame:
-    """Rows (source, loss, word_score): nats a target, and nats a base move."""
-    each = scored.groupBy(key, source).agg(F.sum("nats").alias("nats"), F.count("*").alias("targets"))
-    return each.join(moves, key).groupBy(source).agg((F.sum("nats") / F.sum("targets")).alias("loss"), (F.sum("nats") / F.sum("moves")).alias("word_score"))
+def primed_costs(trials: DataFrame, tokens: DataFrame, by: list[str], vocabulary: int) -> DataFrame:
+    """Rows (by, nats, moves) of trials (by, target, context): what a target's tokens cost after those of its context words, by
+    add-one smoothed bigrams of the context alone, and its base moves. `tokens` are rows (id, pos, token).
+
+    Words are counted as bigrams once, and only counts are joined with trials.
+    """
+    w = Window.partitionBy("id").orderBy("pos")
+    pairs = tokens.withColumn("before", F.coalesce(F.lag("token").over(w), F.lit(-1))).groupBy("id", "before", "token").agg(F.count("*").alias("c"))
+    seen = trials.select(*by, F.explode("context").alias("id")).join(pairs, "id").groupBy(*by, "before", "token").agg(F.sum("c").alias("_k"))
+    own = trials.select(*by, F.col("target").alias("id")).join(pairs, "id")
+    met = own.join(seen, [*by, "before", "token"], "left").join(seen.groupBy(*by, "before").agg(F.sum("_k").alias("_n")), [*by, "before"], "left")
+    cost = -F.ln((F.coalesce("_k", F.lit(0)) + 1) / (F.coalesce("_n", F.lit(0)) + vocabulary))
+    return met.groupBy(*by).agg(F.sum(F.col("c") * cost).alias("nats"), F.sum(F.when(F.col("token") < 8, F.col("c")).otherwise(0)).alias("moves"))
+
+
+def losses(scored: DataFrame, moves: Column, source: str = "source") -> DataFrame:
+    """Rows (source, loss, word_score): nats a target, and nats a base move. `moves` says how many base moves a token stands for."""
+    total = F.sum("nats")
+    return scored.groupBy(source).agg((total / F.count("*")).alias("loss"), (total / F.sum(moves)).alias("word_score"))
 
 
 def gap(held: DataFrame, seen: DataFrame, source: str, score: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strokelake.functions.arrays import dot, let, norm
+from strokelake.functions.arrays import dot, let, norm, uniform
 
 FLOOR = 1e-12
 
@@ -63,6 +67,43 @@ def told(rows: DataFrame, key: str, kinds: list[str], prefer: list[str]) -> Data
     return rows.withColumns({"kind": first, "told": value})
 
 
+def picked(rows: DataFrame, key: str, single: list[str], paired: list[str], pair: float, two: float, named: float, seed: str = "told") -> DataFrame:
+    """Adds told, kinds and flags, by hash of key: with probability `pair`, or where there is no single kind, one of the pair
+    kinds (arrays of two vectors), else one single kind or with probability `two` two of them. `told` is the vector, or the
+    unit mean of two that are there; `flags` holds a 1 for each kind told, or zeros with probability 1 - `named`.
+    """
+    u = lambda name: uniform(f"{seed}-{name}", F.col(key))
+    there = lambda names: F.filter(F.array(*[F.struct(uniform(f"{seed}-{n}", F.col(key)).alias("u"), F.lit(n).alias("kind"), F.col(n).alias("v")) for n in names]), lambda s: s["v"].isNotNull())
+    rows = rows.withColumns({"_one": F.sort_array(F.transform(there(single), lambda s: F.struct(s["u"], s["kind"], F.array(s["v"]).alias("v")))), "_two": F.sort_array(there(paired))})
+    use_pair = (F.size("_two") > 0) & ((F.size("_one") == 0) | (u("pair") < pair))
+    rows = rows.withColumn("_p", F.when(use_pair, F.slice("_two", 1, 1)).otherwise(F.slice("_one", F.lit(1), F.when(u("two") < two, 2).otherwise(1))))
+    vectors = F.filter(F.flatten(F.transform("_p", lambda s: s["v"])), lambda v: F.exists(v, lambda x: x != 0))
+    told_ = let(vectors, lambda v: F.when(F.size(v) > 1, mixed(F.get(v, F.lit(0)), F.get(v, F.lit(1)))).otherwise(F.get(v, F.lit(0))))
+    kinds = F.transform("_p", lambda s: s["kind"])
+    flags = F.array(*[F.when(F.array_contains("kinds", n) & (u("named") < named) & F.col("told").isNotNull(), 1).otherwise(0) for n in [*single, *paired]])
+    return rows.withColumns({"kinds": kinds, "told": told_}).withColumn("flags", flags).drop("_one", "_two", "_p")
+
+
+def nearest_own(matched: DataFrame) -> DataFrame:
+    """One row (nearest): the share of items whose own prompt matches best, from rows (item, own, prompt, match)."""
+    best = matched.groupBy("item", "own").agg(F.max_by("prompt", F.struct("match", "prompt")).alias("b"))
+    return best.agg(F.avg((F.col("b") == F.col("own")).cast("int")).alias("nearest"))
+
+
+def centred_own(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """One row (centred): the mean cosine of pairs after each side's mean is taken off."""
+    one = pairs.select(F.lit(1).alias("_o"), F.col(a).alias("a"), F.col(b).alias("b"))
+    means = mean_by(one, ["_o"], "a").withColumnRenamed("mean", "ma").join(mean_by(one, ["_o"], "b").withColumnRenamed("mean", "mb"), "_o")  # one row
+    level = one.join(F.broadcast(means), "_o").select(plus(F.col("a"), F.col("ma"), -1.0).alias("a"), plus(F.col("b"), F.col("mb"), -1.0).alias("b"))
+    return level.agg(F.avg(dot(F.col("a"), F.col("b")) / F.greatest(norm(F.col("a")) * norm(F.col("b")), F.lit(FLOOR))).alias("centred"))
+
+
+def masked_mean(vectors: Column, mask: Column) -> Column:
+    """The mean of the vectors whose mask is true; null without any."""
+    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda z: z["m"]), lambda z: z["v"])
+    return let(kept, lambda k: F.when(F.size(k) > 0, F.transform(F.aggregate(F.slice(k, F.lit(2), F.size(k)), F.transform(F.get(k, F.lit(0)), lambda x: x.cast("double")), lambda a, b: plus(a, b)), lambda x: x / F.size(k))))
+
+
 def mixed(a: Column, b: Column) -> Column:
     """The unit mean of two vectors."""
     return unit(F.zip_with(a, b, lambda x, y: (x + y) / 2))
@@ -92,13 +133,20 @@ def shift(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def ridge_r2(rows: DataFrame, features: str, target: str, fold: Column, folds: int, alpha: float) -> list[float]:
     """R squared on each fold, fitted on the others: normal equations summed by fold, then systems of fixed size."""
-    import numpy as np
-
     size = rows.select(F.size(features)).first()[0] + 1
-    z = rows.select(fold.alias("f"), F.concat(features, F.array(F.lit(1.0))).alias("z"), F.col(target).cast("double").alias("y")).withColumn("z", F.concat("z", F.array("y")))
-    pairs = z.select("f", F.posexplode("z").alias("i", "a"), "z").select("f", "i", "a", F.posexplode("z").alias("j", "b")).groupBy("f", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+    z = rows.select(fold.cast("int").alias("f"), F.concat(F.col(features).cast("array<double>"), F.array(F.lit(1.0), F.col(target).cast("double"))).alias("z"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((folds, size + 1, size + 1))  # a partition's products, by fold
+        for batch in batches:
+            f, own = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for k in np.unique(f):
+                total[k] += own[f == k].T @ own[f == k]
+        at = np.argwhere(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at[:, c], pa.int32()) for c in range(3)] + [pa.array(total[tuple(at.T)])], names=["f", "i", "j", "s"])
+
     m = np.zeros((folds, size + 1, size + 1))
-    for r in pairs.collect():  # folds times (features + 2) squared entries
+    for r in z.mapInArrow(sums, "f int, i int, j int, s double").groupBy("f", "i", "j").agg(F.sum("s").alias("s")).collect():  # folds times (features + 2) squared entries
         m[r.f, r.i, r.j] = r.s
     out = []
     for k in range(folds):
@@ -114,3 +162,14 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row (n, mark): an order-free mark of a table's content for freshness checks."""
     line = F.crc32(F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary"))
     return rows.agg(F.count("*").alias("n"), F.bit_xor(line).alias("mark"))
+
+
+def column_marks(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows (column, mark): an order-free mark of each column's texts with their keys, in one pass."""
+    marks = [F.bit_xor(F.crc32(F.concat_ws("\n", F.col(key).cast("string"), F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("binary"))).alias(c) for c in columns]
+    return rows.agg(*marks).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("mark")) for c in columns])))
+
+
+def fresh_columns(recorded: DataFrame, now: DataFrame) -> DataFrame:
+    """Rows (column): those made from what the table holds now; a column whose texts have changed since is dropped."""
+    return recorded.select("column", "mark").join(now.select("column", "mark"), ["column", "mark"], "left_semi").select("column")

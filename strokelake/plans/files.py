@@ -12,17 +12,10 @@ from strokelake.plans.adapters import STK, ink_strokes
 from strokelake.plans.geometry import QUANTIZED, UNIT
 from strokelake.plans.registry import query, table
 from strokelake.sources import ink
+from strokelake.sources.scratch import scratch
 from strokelake.streaming import streams
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-files-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query(f"WITH {STK}, {QUANTIZED} SELECT id, stroke, pos, round(x * {UNIT}::DOUBLE, 6) AS x, round(y * {UNIT}::DOUBLE, 6) AS y FROM quant")
 def a02_stroke_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed, written, read and unpacked."""
@@ -38,12 +31,11 @@ def a05_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ink.pool(tables, {"supplier": 3.0}).groupBy("source", "weight").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 
-CAPTIONS = "cp AS (SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS source FROM documents WHERE doc_id % 3 <> 0)"
+CAPTIONS = "cp AS (SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS source FROM documents)"
 
 
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0")
-    return docs.select("doc_id", "lang", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("source")).alias("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("source")).alias("source"))
 
 
 @query(f"WITH {CAPTIONS} SELECT vec_id AS doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM embeddings LEFT JOIN cp ON vec_id = doc_id")

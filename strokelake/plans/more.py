@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strokelake.functions.arrays import uniform
 from strokelake.operators import augment, resample, spline
+from strokelake.operators import sampling as s
 from strokelake.plans.adapters import PTS, STK, exploded, ink_events, ink_points, ink_strokes
 from strokelake.plans.registry import query, table
 from strokelake.plans.sampling import u
@@ -76,15 +77,13 @@ g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {u('trial', 'wri
 SELECT g.source, g.writer AS trial, i::INT AS place, h.writer AS candidate, h.primes FROM g, range(4) t(i), g h WHERE g.n >= 4 AND h.source = g.source AND h.at = (g.at + i) % g.n""")
 def f14_style_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = ink_events(spark, sf_dir).select("id", "writer", (F.col("writer") % 3).alias("source"))
-    return augment.style_trials(words, "source", "writer", "id", n=4, k=2)
+    return augment.style_trials(words, "source", "writer", "id", n=4, k=2).select("source", "trial", "place", "candidate", "primes")
 
 
 @query("SELECT vec_id, p.label AS prompt, e.label = p.label AS own FROM embeddings e, (SELECT DISTINCT label FROM embeddings) p")
 def f15_all_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each example under every prompt: the prompts are a list of labels."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    prompts = rows.select(F.col("label").alias("prompt")).distinct().agg(F.sort_array(F.collect_set("prompt")).alias("prompts"))
-    each = rows.join(F.broadcast(prompts)).select("vec_id", "label", F.explode("prompts").alias("prompt"))
+    each = s.all_prompts(rows, rows.select(F.col("label").alias("prompt")).distinct())
     return each.select("vec_id", "prompt", (F.col("prompt") == F.col("label")).alias("own"))
 
 

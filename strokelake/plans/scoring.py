@@ -9,14 +9,21 @@ from strokelake.operators import decode, reports, scoring
 from strokelake.plans.quality import READS, reads
 from strokelake.plans.registry import query, table
 from strokelake.plans.tokens import STEPS, WALK, tokens
+from strokelake.sources.scratch import written
 
 SCORED = f"""{WALK}, bf AS (SELECT id, pos, token, coalesce(lag(token) OVER (PARTITION BY id ORDER BY pos), -1) AS before FROM tok),
 pr AS (SELECT before, token, count(*) AS c FROM bf GROUP BY before, token), fr AS (SELECT before, sum(c) AS n FROM pr GROUP BY before),
 sc AS (SELECT bf.id, pos, bf.token, -ln((c + 1) / (n + 10)::DOUBLE) AS nats, split_part(bf.id, '/', 2)::INT % 7 AS source FROM bf JOIN pr ON bf.before = pr.before AND bf.token = pr.token JOIN fr ON bf.before = fr.before)"""
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scoring.bigram_scores(tokens(spark, sf_dir).select("id", F.posexplode("tokens").alias("pos", "token")), 10)
+def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk's tokens, written: they are read for the counts, the costs and the roles."""
+    return written(tokens(spark, sf_dir).select("id", "tokens"))
+
+
+def scored(spark: SparkSession, sf_dir: str, walk: DataFrame | None = None) -> DataFrame:
+    walk = walked(spark, sf_dir) if walk is None else walk
+    rows = scoring.bigram_scores(walk.select("id", F.posexplode("tokens").alias("pos", "token")), 10)
     return rows.withColumn("source", F.split("id", "/")[1].cast("int") % 7)
 
 
@@ -29,8 +36,7 @@ LOSS = f"{SCORED}, ls AS (SELECT source, sum(nats) / count(*) AS loss, sum(nats)
 
 
 def loss_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir)
-    return scoring.losses(rows, rows.groupBy("id").agg(F.sum((F.col("token") < 8).cast("int")).alias("moves")))
+    return scoring.losses(scored(spark, sf_dir), (F.col("token") < 8).cast("int"))
 
 
 @query(f"WITH {LOSS} SELECT source, round(loss, 6) AS loss, round(word_score, 6) AS word_score FROM ls")
@@ -148,7 +154,8 @@ def g12_token_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ROLES}, {SCORED[len(WALK) + 2:]}, g AS (SELECT role, sum(nats) AS nats, count(*) AS n FROM rl JOIN sc USING (id, pos) GROUP BY role) "
        "SELECT role, round(nats / n, 6) AS mean, round(nats / sum(nats) OVER (), 6) AS nats_share, round(n / sum(n) OVER (), 6) AS token_share FROM g")
 def g13_nats_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decode.roles(tokens(spark, sf_dir)).select("id", "pos", "role").join(scored(spark, sf_dir).select("id", "pos", "nats"), ["id", "pos"])
+    walk = walked(spark, sf_dir)
+    rows = decode.roles(walk).select("id", "pos", "role").join(scored(spark, sf_dir, walk).select("id", "pos", "nats"), ["id", "pos"])
     return scoring.by_role(rows).select("role", *[F.round(c, 6).alias(c) for c in ("mean", "nats_share", "token_share")])
 
 

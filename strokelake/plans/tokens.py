@@ -132,14 +132,14 @@ def c11_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", walk.hint_digits(F.col("n_chars") / 300.0, lines).alias("hints"))
 
 
-@query("""WITH d AS (SELECT doc_id, regexp_extract_all(substr(coalesce(text, ''), 1, 200), '[A-Za-z]') AS l FROM documents),
+@query("""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]') AS l FROM documents),
 t AS (SELECT doc_id, i, CASE WHEN lower(l[i]) = 'e' THEN 522 ELSE ascii(lower(l[i])) - 97 END AS token FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
 k AS (SELECT *, sum((token = 522)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS w FROM t),
 p AS (SELECT doc_id, w, list(token ORDER BY i) AS tokens FROM k WHERE token < 520 GROUP BY doc_id, w)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY w) - 1)::INT AS word, tokens FROM p""")
 def c13_split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters as tokens, each e as the WORD token."""
-    letters = F.regexp_extract_all(F.substring(F.coalesce("text", F.lit("")), 1, 200), F.lit("[A-Za-z]"), F.lit(0))
+    letters = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]"), F.lit(0))
     coded = F.transform(letters, lambda c: F.when(F.lower(c) == "e", 522).otherwise(F.ascii(F.lower(c)) - 97))
     words = table(spark, sf_dir, "documents").select("doc_id", walk.split_words(coded, 522, 520).alias("w"))
     return words.select("doc_id", F.posexplode("w").alias("word", "tokens"))
@@ -167,4 +167,4 @@ def c12_detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b19_token_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each base token keeps the place of the token that drew it; with no merges that is its own."""
     owned = decode.owners(tokens(spark, sf_dir), [[t] for t in range(10)])
-    return owned.select("id", F.col("owner").alias("point"), "token")
+    return owned.select("id", "point", "token")
