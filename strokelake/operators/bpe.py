@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strokelake.functions.arrays import indices, let, pairs
 from strokelake.functions.walk import DOWN, FIRST_MERGE, UP
+from strokelake.sources.scratch import written
 
 CUT_EVERY = 4  # rounds between writes of the rewritten runs
 
@@ -79,6 +80,30 @@ def learn_merges(runs: DataFrame, n_merges: int, min_count: int = 20, folder: st
     return rules
 
 
+def apply_in_order(tokens: DataFrame, rules: list[tuple[int, int, int]], column: str = "tokens") -> DataFrame:
+    """Replaces the token column by its merged form, one rule after the other over distinct runs, as expressions.
+
+    Each run of moves is merged once and joined back; the rewritten runs are written every `CUT_EVERY` rules.
+    """
+    runs = written(move_runs(tokens, column).select("run"))
+    done = runs.select(F.col("run").alias("_run"), "run")
+    for k, (a, b, new) in enumerate(rules):
+        done = done.select("_run", merged(F.col("run"), a, b, new).alias("run"))
+        if (k + 1) % CUT_EVERY == 0:
+            done = written(done)
+    t = F.col(column)
+    places = let(t, lambda x: F.concat(F.array(F.lit(-1)), F.filter(indices(x), lambda i: F.get(x, i).isin(DOWN, UP)), F.array(F.size(x))))
+    none = F.array().cast("array<int>")
+    parts = let(places, lambda m: F.transform(F.slice(m, F.lit(1), F.size(m) - 1), lambda a, i: F.struct(
+        F.slice(t, a + 2, F.get(m, i + 1) - a - 1).alias("run"), F.when(F.get(m, i + 1) < F.size(t), F.slice(t, F.get(m, i + 1) + 1, F.lit(1))).otherwise(none).alias("pen"))))
+    rest = [c for c in tokens.columns if c != column]
+    each = tokens.withColumn("_row", F.monotonically_increasing_id()).select("_row", *rest, F.posexplode(parts).alias("_place", "_p"))
+    each = each.select("_row", *rest, "_place", F.col("_p.run").alias("_run"), F.col("_p.pen").alias("_pen")).join(done.select("_run", F.col("run").alias("_done")), "_run", "left")
+    whole = F.sort_array(F.collect_list(F.struct("_place", F.concat(F.coalesce("_done", "_run"), F.col("_pen")).alias("t"))))
+    out = each.groupBy("_row").agg(*[F.first(c).alias(c) for c in rest], whole.alias("_w"))
+    return out.select(*[F.flatten(F.transform("_w", lambda w: w["t"])).alias(c) if c == column else F.col(c) for c in tokens.columns])
+
+
 def apply_rules(tokens: list[int], rules: dict[tuple[int, int], int]) -> list[int]:
     """Rules in learned order: always the earliest rule present, over the whole sequence, left to right."""
     out = list(tokens)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strokelake.functions.arrays import indices, let
 
 N_ANGLES = 220
-# Bins by rule: evenly spaced angles; radii 0, 30 linear ones, 120 geometric ones.
+# Fixed values, by rule: evenly spaced angles; radii 0, 30 linear ones, 120 geometric ones.
 ANGLES = [-math.pi + 2 * math.pi * i / (N_ANGLES - 1) for i in range(N_ANGLES)]
 RADII = [0.0, *np.linspace(1e-4, 0.060, 30).tolist(), *np.geomspace(0.06001, 0.90, 120).tolist()]
 

@@ -9,6 +9,8 @@ from strokelake.functions import walk
 from strokelake.operators import bpe, decode, polar, textops
 from strokelake.plans.adapters import PTS, ink_events
 from strokelake.plans.registry import query, table
+from strokelake.sources import ink
+from strokelake.sources.scratch import scratch
 
 GRID = 0.02
 N_MERGES = 6
@@ -64,22 +66,26 @@ def b18_pen_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUNS = f"""{WALK},
 isl AS (SELECT id, pos, token, sum((token >= 8)::INT) OVER (PARTITION BY id ORDER BY pos) AS k FROM tok),
 run AS (SELECT id, k, list(token ORDER BY pos) AS r FROM isl WHERE token < 8 GROUP BY id, k HAVING count(*) > 1),
-d0 AS (SELECT r, count(*) AS f FROM run GROUP BY r)"""
+d0 AS (SELECT r, count(*) AS f, r AS src FROM run GROUP BY r)"""
 
 
-def _merge_rounds(n: int, min_count: int) -> str:
-    """SQL of n learning rounds, each over the last one's runs."""
+def _merge_rounds(n: int, min_count: int, merged: bool = False) -> str:
+    """SQL of n learning rounds, each over the last one's runs: the rules, or each word's merged tokens."""
     parts, vocabulary = [RUNS], 10 + n
     for k in range(n):
         parts.append(f"""q{k} AS (SELECT a, b, sum(f) AS n FROM (SELECT unnest(list_zip(r[:-2], r[2:])) AS z, f, z[1] AS a, z[2] AS b FROM d{k} WHERE len(r) > 1) GROUP BY a, b),
 m{k} AS (SELECT a, b, n FROM q{k} WHERE n >= {min_count} ORDER BY n DESC, a * {vocabulary} + b LIMIT 1),
-e{k} AS (SELECT row_number() OVER () AS w, r, f FROM d{k}),
-x{k} AS (SELECT w, f, unnest(range(1, len(r) + 1)) AS i, unnest(r) AS t FROM e{k}),
+e{k} AS (SELECT row_number() OVER () AS w, r, f, src FROM d{k}),
+x{k} AS (SELECT w, f, src, unnest(range(1, len(r) + 1)) AS i, unnest(r) AS t FROM e{k}),
 h{k} AS (SELECT x{k}.*, a, b, t = a AND lead(t) OVER (PARTITION BY w ORDER BY i) = b AS hit FROM x{k} LEFT JOIN m{k} ON true),
 g{k} AS (SELECT *, i - row_number() OVER (PARTITION BY w, hit ORDER BY i) AS island FROM h{k}),
 o{k} AS (SELECT *, hit AND (row_number() OVER (PARTITION BY w, hit, island ORDER BY i)) % 2 = 1 AS take FROM g{k}),
-y{k} AS (SELECT w, f, i, CASE WHEN take THEN {10 + k} ELSE t END AS t, coalesce(lag(take) OVER (PARTITION BY w ORDER BY i), false) AS gone FROM o{k}),
-d{k + 1} AS (SELECT list(t ORDER BY i) FILTER (WHERE NOT gone) AS r, any_value(f) AS f FROM y{k} GROUP BY w)""")
+y{k} AS (SELECT w, f, src, i, CASE WHEN take THEN {10 + k} ELSE t END AS t, coalesce(lag(take) OVER (PARTITION BY w ORDER BY i), false) AS gone FROM o{k}),
+d{k + 1} AS (SELECT list(t ORDER BY i) FILTER (WHERE NOT gone) AS r, any_value(f) AS f, any_value(src) AS src FROM y{k} GROUP BY w)""")
+    if merged:
+        return f"""WITH {', '.join(parts)}, al AS (SELECT id, min(pos) AS p, list(token ORDER BY pos) AS r FROM isl WHERE token < 8 GROUP BY id, k UNION ALL SELECT id, pos, [token] FROM isl WHERE token >= 8),
+mg AS (SELECT id, p, al.r, coalesce(d{n}.r, al.r) AS m FROM al LEFT JOIN d{n} ON d{n}.src = al.r)
+SELECT id, sum(len(r))::INT AS base, sum(len(m))::INT AS merged, flatten(list(m ORDER BY p)) AS tokens FROM mg GROUP BY id"""
     rules = " UNION ALL ".join(f"SELECT {k} AS rank, a, b, {10 + k} AS new, n FROM m{k}" for k in range(n))
     return f"WITH {', '.join(parts)} SELECT rank::INT AS rank, a::INT AS a, b::INT AS b, new::INT AS new FROM ({rules})"
 
@@ -90,12 +96,20 @@ def c05_learn_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.vocabulary(spark, rules)
 
 
-@query()
+@query(_merge_rounds(12, MIN_COUNT, merged=True))
+def c06_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lowest-ranked pair first gives the same tokens as the rules in learned order."""
+    words = tokens(spark, sf_dir)
+    rules = bpe.learn_merges(bpe.move_runs(words), 12, MIN_COUNT)
+    return bpe.apply_merges(words.select("id", F.size("tokens").alias("base"), "tokens"), rules).select("id", "base", F.size("tokens").alias("merged"), "tokens")
+
+
+@query(_merge_rounds(12, MIN_COUNT, merged=True))
 def c04_apply_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths before and after 12 learned merges; tests compare with a sequential version."""
+    """Lengths before and after 12 learned merges, applied rule by rule."""
     words = tokens(spark, sf_dir)
     rules = bpe.learn_merges(bpe.move_runs(words), 12, MIN_COUNT)
-    return bpe.apply_merges(words.withColumn("base", F.size("tokens")), rules).select("id", "base", F.size("tokens").alias("merged"), "tokens")
+    return bpe.apply_in_order(words.select("id", F.size("tokens").alias("base"), "tokens"), rules).select("id", "base", F.size("tokens").alias("merged"), "tokens")
 
 
 @query(f"WITH {WALK}, w AS (SELECT id, list(token ORDER BY pos) AS t FROM tok GROUP BY id) SELECT id, len(t)::INT AS n, t AS tokens FROM w")
@@ -145,7 +159,14 @@ def c13_split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", F.posexplode("w").alias("word", "tokens"))
 
 
-@query()
+MIDDLES = {name: [(a + b) / 2 for a, b in zip(bins, bins[1:], strict=False)] for name, bins in (("angle", polar.ANGLES), ("radius", polar.RADII))}
+
+
+@query(f"""WITH {PTS}, o AS (SELECT id, seq, x, y, pen, lag(pen) OVER w AS bp, lead(pen) OVER w AS np FROM pts WINDOW w AS (PARTITION BY id ORDER BY seq)),
+st AS (SELECT *, max(CASE WHEN bp IS NULL OR bp <> 1 THEN seq END) OVER (PARTITION BY id ORDER BY seq) AS start FROM o), k AS (SELECT * FROM st WHERE pen <> 1 OR (seq - start) % 2 = 0 OR np IS NULL OR np <> 1),
+d AS (SELECT id, row_number() OVER w - 1 AS pos, x - coalesce(lag(x) OVER w, 0) AS dx, y - coalesce(lag(y) OVER w, 0) AS dy, pen FROM k WINDOW w AS (PARTITION BY id ORDER BY seq))
+SELECT id, pos::INT AS pos, len(list_filter({MIDDLES['angle']}::DOUBLE[], lambda m: m <= atan2(dy, dx)))::INT AS angle,
+(220 + len(list_filter({MIDDLES['radius']}::DOUBLE[], lambda m: m <= sqrt(dx * dx + dy * dy))) + 151 * (pen <> 1)::INT)::INT AS radius FROM d""")
 def c09_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Angle and radius tokens; tests hold the round trip's error."""
     return polar.encode(ink_events(spark, sf_dir), k=2)
@@ -168,3 +189,24 @@ def b19_token_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each base token keeps the place of the token that drew it; with no merges that is its own."""
     owned = decode.owners(tokens(spark, sf_dir), [[t] for t in range(10)])
     return owned.select("id", "point", "token")
+
+
+@query(_merge_rounds(N_MERGES, MIN_COUNT))
+def a12_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned rules written as a vocabulary and read back with its grid and size checked."""
+    rules = bpe.learn_merges(bpe.move_runs(tokens(spark, sf_dir)), N_MERGES, MIN_COUNT)
+    path = scratch(spark)
+    ink.write_vocabulary(rules, GRID, ["events"], spark, path)
+    return bpe.vocabulary(spark, ink.read_vocabulary(spark, path, GRID, len(rules)))
+
+
+@query("""WITH l AS (SELECT DISTINCT p_name AS n, string_split(p_name, ' ') AS w FROM part), g AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS i FROM (SELECT DISTINCT unnest(w) AS w FROM l)),
+r AS (SELECT n, w, row_number() OVER (ORDER BY n) - 1 AS k FROM l WHERE len(w) = 2)
+SELECT k::INT AS rank, a.i::INT AS a, b.i::INT AS b, ((SELECT count(*) FROM g) + k)::INT AS new FROM r JOIN g a ON a.w = r.w[1] JOIN g b ON b.w = r.w[2] WHERE k < 50""")
+def a13_glyph_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of glyph pairs, here the words of part names, read as rules up to fifty."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    glyphs = [r.w for r in names.select(F.explode(F.split("p_name", " ")).alias("w")).distinct().orderBy("w").collect()]  # the words that names are made of
+    path = scratch(spark)
+    names.orderBy("p_name").coalesce(1).write.text(path)
+    return bpe.vocabulary(spark, ink.read_arrow_merges(spark, path, glyphs, 50))
