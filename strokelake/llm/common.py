@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +27,39 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_noted: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for tables in _noted:
+        tables.append(spark.read.schema(df.schema).parquet(path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def noted() -> Iterator[list[DataFrame]]:
+    """A list that gathers the tables written inside."""
+    tables: list[DataFrame] = []
+    _noted.append(tables)
+    try:
+        yield tables
+    finally:
+        _noted.remove(tables)
+
+
+def emptied(table: DataFrame) -> None:
+    """Gives back the disk of a written table that nothing reads any more: its folder is overwritten with no rows."""
+    base = shared_dir(table.sparkSession)
+    plain = lambda p: p.split(":", 1)[-1].replace("///", "/", 1) if ":" in p.split("/", 1)[0] else p
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if plain(folder).startswith(plain(base) + "/"):
+            table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(folder)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text (null: none)."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(TRIM))

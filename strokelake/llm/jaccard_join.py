@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strokelake.llm.common import small_or_plain, written
+from strokelake.llm.common import emptied, small_or_plain, written
 
 CACHE_WORDS = 300_000
 BROADCAST_DOCS = 200_000
@@ -175,10 +175,12 @@ def prefixes(tokens: DataFrame, p: int, q: int) -> DataFrame:
 
     From rows (sid, n, all), `all` the tokens of a set to order.
     """
-    each = tokens.select("sid", "n", F.size("all").alias("m"), F.explode("all").alias("t"))
+    each = tokens.select("sid", F.explode("all").alias("t"))
     often = tokens.select(F.explode("all").alias("t")).groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
     space = F.col("t").bitwiseAND(F.lit(3))
-    ranked = each.join(often, "t").groupBy("sid", "n", "m", space.alias("space")).agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("ft"))
+    ranked = each.join(often, "t").groupBy("sid", space.alias("space")).agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("ft"))
+    sizes = tokens.select("sid", F.get("all", F.lit(0)).bitwiseAND(F.lit(3)).alias("space"), "n", F.size("all").alias("m"))
+    ranked = ranked.join(sizes, ["sid", "space"])
     length = F.col("n") - F.ceil(p * F.col("n") / q).cast("int") + 1
     once = F.col("m") - F.size("ft")
     keys = F.slice("ft", F.lit(1), F.greatest(F.lit(0), length - once))
@@ -230,6 +232,8 @@ def labelled(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
         own = own.groupBy("sid", "n").agg(F.first("some").alias("some"), F.first("whole").alias("whole"))
     tokens = own.select("sid", "n", F.explode(F.array("some", "whole")).alias("all")).where("size(all) > 0")
     pre = written(prefixes(tokens, p, q), "all-prefixes")
+    slim = written(slim, "slim-sets")
+    emptied(made)
 
     def chosen(some: DataFrame) -> DataFrame:
         """Sets (sid, n, tokens, sketch) of the classes in `some` (sid), from their first documents' texts."""
