@@ -1,12 +1,12 @@
 """Language identification by a byte convolutional network, trained and applied in numpy.
 
 Bytes (A-Z lower-cased) are embedded; filters of several widths run over them, each filter's largest response in a window is kept, and a
-softmax over these gives the language. Training takes windows of a bounded sample: at most `PER_LANGUAGE` texts of each
-language, those with the least hash of doc_id. For prediction, embedding and filters are folded into tables by byte pair,
+softmax over these gives the language. Training takes windows of a bounded sample: `WINDOWS_PER_TEXT` windows, spread over
+the whole text, of at most `PER_LANGUAGE` texts of each language, those with the least hash of doc_id. For prediction, embedding and filters are folded into tables by byte pair,
 and every window of every whole text is read; a text's probabilities are its windows' means, weighted by letters.
 
 Defined cases: null text or text without a letter gives `und` with score 0; languages that are not learned are never
-predicted; with nothing to learn from every text gives `und`; an empty table gives an empty result; repeated rows are
+predicted; equal probabilities give the language first in order; with nothing to learn from every text gives `und`; an empty table gives an empty result; repeated rows are
 predicted one by one; other input columns are not read.
 """
 
@@ -147,9 +147,9 @@ def fit(learn: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
     rank = F.row_number().over(first)
     some = learn.select("doc_id", "lang").where("lang IS NOT NULL").withColumn("r", rank).where(F.col("r") <= per_language).select(F.col("doc_id").alias("d"), F.col("lang").alias("l"))
     texts = learn.join(F.broadcast(some), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l")))
-    # training reads a few windows of each sampled text: its start, and from the thirds of it
-    third = F.greatest(F.lit(1), F.floor(F.length("text") / WINDOWS_PER_TEXT)).cast("int")
-    cuts = F.array(*[F.col("text").substr(1 + i * third, F.lit(LENGTH)) for i in range(WINDOWS_PER_TEXT)])
+    # training reads a few windows of each sampled text: one from each equal part of it, at a place by hash
+    part = F.greatest(F.lit(1), F.floor(F.length("text") / WINDOWS_PER_TEXT)).cast("int")
+    cuts = F.array(*[F.col("text").substr(1 + i * part + F.pmod(F.xxhash64("doc_id", F.lit(i)), part).cast("int"), F.lit(LENGTH)) for i in range(WINDOWS_PER_TEXT)])
     rows = texts.where("text IS NOT NULL").select("doc_id", "lang", cuts.alias("cuts")).collect()
     rows.sort(key=lambda r: (r.lang, r.doc_id if r.doc_id is not None else -1, r.cuts))
     if not rows:

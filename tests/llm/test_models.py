@@ -232,3 +232,69 @@ def test_warc(spark, tmp_path):
     parsed = warc_fixity.parse_records(spark.read.format("binaryFile").load(str(tmp_path))).orderBy("offset").collect()
     assert len(parsed) == 1001 and {(r.url, r.payload) for r in parsed} == {(r[1], r[2]) for r in rows if r[0] is not None and r[0] < 1000}
     assert warc_fixity.audited(ours.where("false"), ours.where("false")).count() == 0
+
+
+def test_recall_on_the_given_vectors(spark):
+    """Of the true twenty nearest of each query, at least nine in ten are found; queries are the rows whose id divides by 20."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.v for r in rows])
+    found: dict[int, set] = {}
+    for r in ann_search.search(df, df.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[i]).sum(1)
+        s[ids == ids[i]] = -np.inf
+        true = set(ids[np.lexsort((ids, -s))[:20]].tolist())
+        hits, total = hits + len(true & found[int(ids[i])]), total + len(true)
+    assert total == 20 * len(found) and hits / total >= 0.9
+
+
+def test_shards_copied_only_for_their_queries(spark, monkeypatch):
+    """Small shards and blocks of queries: the same neighbours as one shard and one block give."""
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 5)))]
+    df = spark.createDataFrame(rows + rows[:3], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, ann_search.search(df, df.where("vec_id % 5 = 0"), lists=6).collect()))
+    monkeypatch.setattr(ann_search, "SHARD", 40)
+    monkeypatch.setattr(ann_search, "QUERY_BYTES", 400)
+    monkeypatch.setattr(ann_search, "QUERIES_AT_ONCE", 3)
+    monkeypatch.setattr(ann_search, "BROADCAST_SHARDS", 0)
+    assert sorted(map(tuple, ann_search.search(df, df.where("vec_id % 5 = 0"), lists=6).collect())) == whole
+
+
+def test_language_tables_are_the_convolution():
+    """Predictions by tables of byte pairs equal filters slid over the bytes one by one; ties go to the first language."""
+    net = language_id.Network(["a", "b", "c"], seed=1)
+    net.tables()
+    x, _ = language_id.windows_of([bytes(range(40, 200)), b"short", b""])
+    pooled = []
+    for row in x:
+        h = []
+        for w in language_id.WIDTHS:
+            responses = [net.p["e"][row[i : i + w]].reshape(-1) @ net.p[f"w{w}"] + net.p[f"b{w}"] for i in range(language_id.LENGTH - w + 1)]
+            h.append(np.maximum(np.max(responses, 0), 0))
+        pooled.append(np.concatenate(h))
+    assert np.allclose(net.probabilities(x), language_id.softmax(np.array(pooled) @ net.p["u"] + net.p["c"]), atol=1e-5)
+    net.p["u"][:], net.p["c"][:] = 0, 0
+    assert net.predict(["words", None])[0] == ["a", language_id.UNKNOWN]
+
+
+def test_quality_equations_are_ridge(spark):
+    """Weights from sums by partition equal ridge solved on all rows at once; repeated and very long texts get scores."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdef", k=rng.randint(1, 8))) for _ in range(rng.randint(5, 80))) for _ in range(150)]
+    rows = [(i, t, float(i % 3 == 0)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y double").repartition(7)
+    learn = quality_classifier.features(df).join(df.select("doc_id", "y"), "doc_id").select("x", "y").cache()
+    model = quality_classifier.fit(learn)
+    x = np.array([quality_classifier.statistics(t) for t in texts])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.where(x.std(0) > 1e-9, x.std(0), 1.0))
+    z, y = model.phi(x), np.array([r[2] for r in rows])
+    penalty = np.eye(z.shape[1]) * quality_classifier.RIDGE * len(y) / quality_classifier.DIMENSIONS
+    penalty[-1, -1] = 0
+    assert np.allclose(model.raw(x), z @ np.linalg.solve(z.T @ z + penalty, z.T @ y), atol=1e-6)
+    more = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(3, texts[3]), (900, " ".join(texts) * 60)], "doc_id long, text string")
+    got = quality_classifier.classify(more, spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id long, quality int")).collect()
+    assert len(got) == 152 and len({r.score for r in got if r.doc_id == 3}) == 1 and all(0 <= r.score <= 1 for r in got)
