@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import random
 import re
 import zlib
@@ -79,23 +80,26 @@ def test_bad_hosts_go(spark):
     assert host_rules.beta_prior(3, 0, 0, 0.0) == (0.5, 0.5)
 
 
-def test_targets(spark):
-    sizes = {"a": 10, "b": 500, "c": 300, None: 90, "d": 0}
-    total = sum(sizes.values())
-    order = sorted((k for k in sizes if k is not None)) + [None]
+def slow_targets(sizes):
+    order = sorted((k for k in sizes if k is not None)) + [None] * (None in sizes)
     weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(order)}
     target, open_ = {}, set(sizes)
-    left = total
+    left = sum(sizes.values())
     while open_:
         share = left / sum(weight[k] for k in open_)
         over = {k for k in open_ if share * weight[k] > 3 * sizes[k]}
         if not over:
-            target |= {k: share * weight[k] for k in open_}
-            break
+            return target | {k: share * weight[k] for k in open_}
         for k in over:
             target[k] = 3 * sizes[k]
             left -= target[k]
         open_ -= over
+    return target
+
+
+def test_targets(spark):
+    sizes = {"a": 10, "b": 500, "c": 300, None: 90, "d": 0}
+    target = slow_targets(sizes)
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(df).collect()}
     assert got.keys() == target.keys() and all(abs(got[k] - target[k]) < 1e-6 for k in target)
@@ -247,7 +251,8 @@ def test_sketch_bounds_difference():
         assert sum(int(v).bit_count() for v in x.view(np.uint64)) <= len(np.setxor1d(a, b))
 
 
-def slow_dropped(rows, least):
+def slow_dropped_lines(rows, least):
+    """(doc_id, line) of the lines that are dropped."""
     first, places = {}, []
     for doc_id, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0])):
         for i, line in enumerate((text or "").split("\n")):
@@ -264,7 +269,11 @@ def slow_dropped(rows, least):
         return a[k + 1 :] == b[k + (len(a) == len(b)) :]
 
     gone = {w for w in first for v in first if first[v] < first[w] and near(w, v)}
-    return collections.Counter(d for d, i, w in places if w in gone or first[w] != (d is not None, d, i))
+    return [(d, i) for d, i, w in places if w in gone or first[w] != (d is not None, d, i)]
+
+
+def slow_dropped(rows, least):
+    return collections.Counter(d for d, _ in slow_dropped_lines(rows, least))
 
 
 def test_line_dedup(spark, docs, none):
@@ -332,3 +341,71 @@ def test_words_agree(spark, docs):
 
     for r in docs.select("text", split(F.col("text")).alias("w"), n_words(F.col("text")).alias("n")).collect():
         assert r.w == words(r.text) and r.n == len(r.w)
+
+
+def slow_rules(rows):
+    """Rows (doc_id, text, source) that pass the base rules and whose host is not rejected."""
+    failed = {}
+    for doc_id, text, _ in rows:
+        w = words(text)
+        count = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {i + k for i in range(len(w) - 2) if count[w[i], w[i + 1], w[i + 2]] > 1 for k in range(3)}
+        failed[doc_id] = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+    n = collections.Counter(source for _, _, source in rows)
+    f = collections.Counter(source for doc_id, _, source in rows if failed[doc_id])
+    alpha, beta = host_rules.beta_prior(len(n), len(rows), sum(f.values()), sum(f[h] ** 2 / n[h] for h in n))
+    return [r for r in rows if not failed[r[0]] and (f[r[2]] + alpha) / (n[r[2]] + alpha + beta) <= 0.5]
+
+
+def slow_mix(rows):
+    """Texts of the mixture, with their doc_ids."""
+    sizes = collections.Counter()
+    for _, text, source in rows:
+        sizes[source] += len(words(text))
+    out = []
+    for source, target in slow_targets(sizes).items():
+        rounds, left = divmod(round(target), sizes[source])
+        own = sorted((int(hashlib.md5(f"mix|{d}".encode()).hexdigest()[:13], 16), d, t) for d, t, s in rows if s == source)
+        for _, d, t in own:
+            out += [(d, t)] * rounds
+            if part := min(left, len(words(t))):
+                out.append((d, t if part == len(words(t)) else "".join(re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", t)[:part])))
+            left -= part
+    return out
+
+
+def test_whole_pipeline(spark):
+    """Every stage of the pipeline against plain loops, each on what the loops before it kept."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    kept = [(i, f"{t}\n{t[::-1]}" if i % 9 else t, s) for i, t, _, s, *_ in made(150, seed=11)[:-2] if t]
+    schema = "doc_id long, text string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in kept], schema)
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = corpus_pipeline.written(stage(spark, docs, "whole"), f"t-{name}")
+        if number == 0:
+            kept = slow_rules(kept)
+        elif number == 1:
+            gone = set(slow_dropped_lines([r[:2] for r in kept], 8))
+            lines = {d: [x for i, x in enumerate(t.split("\n")) if (d, i) not in gone] for d, t, _ in kept}
+            kept = [(d, "\n".join(lines[d]), s) for d, _, s in kept if any(map(words, lines[d]))]
+        elif number == 2:
+            found = slow_components([r[:2] for r in kept], 5, 8, 10)
+            kept = [r for r in kept if found[r[0]][1] == r[0]]
+        elif number == 3:
+            mixture = slow_mix(kept)
+            assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter(mixture)
+        else:
+            encode = Tokenizer.from_file(packing.tokenizer_path()).encode
+            pieces = collections.Counter()
+            for d, t in mixture:
+                ids = [*encode(t, add_special_tokens=False).ids, 0]
+                pieces.update((d, at // 2048, zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())) for at in range(0, len(ids), 2048))
+            rows = out.collect()
+            assert collections.Counter((r.doc_id, r.piece, r.ids_crc32) for r in rows) == pieces
+            assert max(sum(r.length for r in rows if r.sequence_id == k) for k in {r.sequence_id for r in rows}) <= 2048
+        if number < 3:
+            assert sorted((r.doc_id, r.text, r.source) for r in out.collect()) == sorted(kept), name
+            assert len(kept) > 20
+        docs = out
