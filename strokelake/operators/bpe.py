@@ -1,14 +1,15 @@
 """Byte-pair merges over the moves of the grid walk, learned and applied as Spark jobs.
 
 Merges never cover a pen-down or pen-up token, so sequences are cut there into runs of moves. Runs are counted and kept
-once each with their number: counting pairs and rewriting both work on distinct runs, and a round of learning shuffles
-pair counts alone.
+once each with their number: counting pairs and rewriting both work on distinct runs. Pairs are counted once, and a round
+of learning shuffles the changes of counts in the runs that its rules touch.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,26 +55,55 @@ def merged(run, a: int, b: int, new: int):
     return F.aggregate(run, start, put, lambda s: s["out"])
 
 
+def next_rules(counts: dict[tuple[int, int], int], most: int, least: int, vocabulary: int) -> list[tuple[int, int]]:
+    """The next pairs to merge that are certain from these counts: the most frequent one, ties to the least a * vocabulary + b,
+    and those after it as long as no pair as frequent shares a token with one that is taken.
+
+    A merge changes only counts of pairs that share a token with it, and a new pair is no more frequent than such a pair was.
+    """
+    order = sorted(((-n, a * vocabulary + b, a, b) for (a, b), n in counts.items() if n >= least))
+    taken: list[tuple[int, int]] = []
+    used: set[int] = set()
+    for i, (n, _, a, b) in enumerate(order):
+        equal = takewhile(lambda p, n=n: p[0] == n, order[i:])
+        if len(taken) == most or any(x in used or y in used for _, _, x, y in equal):
+            break
+        taken.append((a, b))
+        used |= {a, b}
+    return taken
+
+
 def learn_merges(runs: DataFrame, n_merges: int, min_count: int = 20, folder: str | None = None) -> list[tuple[int, int, int]]:
-    """Up to n_merges rules (a, b, new): the most frequent pair each round, ties to the least a * vocabulary + b."""
+    """Up to n_merges rules (a, b, new): the most frequent pair each time, ties to the least a * vocabulary + b.
+
+    Pairs are counted once; a round then rewrites the runs that its rules touch and sends back by how much their pairs'
+    counts change. Counts are at most the square of the vocabulary, so the driver holds them.
+    """
     spark = runs.sparkSession
     vocabulary, rules = FIRST_MERGE + n_merges, []
-    current = runs.persist()
-    held = current
-    for k in range(n_merges):
-        best = pair_counts(current).orderBy(F.desc("n"), (F.col("a") * vocabulary + F.col("b")).asc()).limit(1).collect()
-        if not best or best[0].n < min_count:
+    current = held = runs.persist()
+    counts = {(r.a, r.b): r.n for r in pair_counts(current).collect()}
+    rounds = 0
+    while batch := next_rules(counts, n_merges - len(rules), min_count, vocabulary):
+        changed = current.select("freq", "run", F.col("run").alias("new"))
+        for a, b in batch:
+            changed = changed.select("freq", "run", merged(F.col("new"), a, b, FIRST_MERGE + len(rules)).alias("new"))
+            rules.append((a, b, FIRST_MERGE + len(rules)))
+        if len(rules) == n_merges:
             break
-        a, b, new = best[0].a, best[0].b, FIRST_MERGE + k
-        rules.append((a, b, new))
-        current = current.select(merged(F.col("run"), a, b, new).alias("run"), "freq")
-        if (k + 1) % CUT_EVERY == 0:
+        signed = lambda c, k: F.coalesce(pairs(F.col(c), lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.lit(k).alias("k"))), F.array().cast("array<struct<a:int,b:int,k:int>>"))
+        touched = changed.where(F.size("new") < F.size("run")).select("freq", F.explode(F.concat(signed("run", -1), signed("new", 1))).alias("p"))
+        for r in touched.groupBy("p.a", "p.b").agg(F.sum(F.col("freq") * F.col("p.k")).alias("n")).collect():
+            if left := counts.pop((r.a, r.b), 0) + r.n:
+                counts[r.a, r.b] = left
+        current = changed.select(F.col("new").alias("run"), "freq")
+        rounds += 1
+        if rounds % CUT_EVERY == 0:
             if folder or spark.conf.get("spark.checkpoint.dir", None):
                 path = f"{(folder or spark.conf.get('spark.checkpoint.dir')).rstrip('/')}/runs-{uuid.uuid4().hex}"
                 current.write.parquet(path)
                 current = spark.read.parquet(path)
             fresh = current.persist()
-            fresh.count()
             held.unpersist()
             held = current = fresh
     held.unpersist()

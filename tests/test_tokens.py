@@ -111,3 +111,38 @@ def test_example_cut(spark):
     rows = {r.id: r.e for r in df.select("id", sampling.make_example(F.col("tokens"), 8, bos=13, end=11, pad=10).alias("e")).collect()}
     assert rows[1].x == [13, 0, 1, 2, 11, 10, 10, 10] and rows[1].y == [0, 1, 2, 11, -1, -1, -1, -1]
     assert rows[2].x == [13, 0, 1, 2, 3, 4, 5, 11] and rows[2].y == [0, 1, 2, 3, 4, 5, -1, -1]
+
+
+def test_learned_rules_are_those_of_recounting(spark):
+    """Several rules a round, with counts changed by the runs they touch, give what one rule a round and counting anew gives."""
+    import random
+
+    from strokelake.operators import bpe
+
+    rng = random.Random(9)
+    runs = {}
+    for _ in range(300):
+        runs[tuple(rng.choices(range(8), weights=[9, 7, 5, 4, 3, 2, 2, 1], k=rng.randint(2, 14)))] = rng.randint(1, 5)
+    slow, rules = dict(runs), []
+    while len(rules) < 40:
+        counts = {}
+        for run, n in slow.items():
+            for p in zip(run, run[1:], strict=False):
+                counts[p] = counts.get(p, 0) + n
+        best = min(counts, key=lambda p: (-counts[p], p[0] * 50 + p[1]))
+        if counts[best] < 5:
+            break
+        rules.append((*best, 10 + len(rules)))
+        again = {}
+        for run, n in slow.items():
+            out, i = [], 0
+            while i < len(run):
+                hit = run[i : i + 2] == best
+                out.append(rules[-1][2] if hit else run[i])
+                i += 1 + hit
+            again[tuple(out)] = again.get(tuple(out), 0) + n
+        slow = again
+    df = spark.createDataFrame([(list(r), n) for r, n in runs.items()], "run array<int>, freq long")
+    assert bpe.learn_merges(df, 40, 5) == rules
+    assert bpe.next_rules({(0, 1): 9, (2, 3): 8, (1, 4): 7, (5, 6): 6}, 10, 1, 50) == [(0, 1), (2, 3)]
+    assert bpe.next_rules({(0, 1): 9, (2, 3): 8, (1, 4): 8}, 10, 1, 50) == [(0, 1)]
