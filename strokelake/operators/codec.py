@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strokelake.functions import geometry as g
 
+# The format's columns.
 PACKED = ("x0", "y0", "stroke_len", "dx", "dy", "unit")
 
 

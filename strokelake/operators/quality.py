@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strokelake.functions.arrays import uniform
+from strokelake.operators.sampling import percentiles
 
 # Thresholds of the trace gate.
 RULES = {"coverage": 0.80, "coverage_read": 0.70, "read_error_strict": 0.15, "min_mark": 0.5, "precision": 0.90, "read_error": 0.34,
@@ -56,12 +57,17 @@ def best_candidate(rows: DataFrame, item: str = "item", score: Column | None = N
     return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def retry(first: DataFrame, second: DataFrame, least: int, item: str = "item") -> DataFrame:
-    """The first round, and of the second the items that did not pass, if fewer than `least` did."""
-    passed = first.where("passed").select(item).distinct()
-    few = passed.agg((F.count("*") < least).alias("few"))
-    again = second.join(passed, item, "left_anti").join(F.broadcast(few), F.col("few"), "left_semi")
-    return first.unionByName(again)
+def retry(first: DataFrame, second: DataFrame, least: int, item: str = "item", by: str | None = None) -> DataFrame:
+    """The first round, and of the second the items that did not pass, where fewer than `least` did: of all, or of each group."""
+    passed = first.where("passed").select(item, *([by] if by else [])).distinct()
+    again = second.join(passed.select(item), item, "left_anti")
+    if by:
+        enough = passed.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(by)
+        again = again.join(enough, by, "left_anti")
+    else:
+        few = passed.agg((F.count("*") < least).alias("few"))  # one row
+        again = again.join(F.broadcast(few), F.col("few"), "left_semi")
+    return first.unionByName(again.select(*first.columns))
 
 
 def eligible_label(label: Column, legibility: Column) -> Column:
@@ -70,7 +76,7 @@ def eligible_label(label: Column, legibility: Column) -> Column:
 
 def within_class(rows: DataFrame, by: str, measure: str, low: float, high: float) -> DataFrame:
     """Rows whose measure lies between two percentiles of their class."""
-    cut = rows.groupBy(by).agg(F.percentile(measure, F.array(F.lit(low), F.lit(high))).alias("_cut"))
+    cut = percentiles(rows, by, measure, [low, high]).withColumnRenamed("q", "_cut")
     return rows.join(cut, by).where(F.col(measure).between(F.col("_cut")[0], F.col("_cut")[1])).drop("_cut")
 
 

@@ -35,6 +35,24 @@ def first_by_hash(rows: DataFrame, key: str, by: str, limit: int, seed: str) ->
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
 
 
+def percentiles(rows: DataFrame, by: str | None, value: str, shares: list[float]) -> DataFrame:
+    """Rows (by, q): exact percentiles of each group (or of all rows, with a constant `by`), linear between neighbours.
+
+    Values are numbered in a range-sorted table and only those at the places asked for are read, so a group of any size is
+    spread over many tasks.
+    """
+    group = by or "_g"
+    clean = (rows if by else rows.withColumn("_g", F.lit(1))).select(group, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    placed = numbered(clean, [F.col(group), F.col("_v")], "_i")
+    sizes = placed.groupBy(F.col(group).alias("_b")).agg(F.min("_i").alias("_s"), F.count("*").alias("_n"))
+    at = [(F.lit(p) * (F.col("_n") - 1), i) for i, p in enumerate(shares)]
+    wanted = F.array(*[x for place, _ in at for x in (F.floor(place), F.ceil(place))])
+    some = placed.join(sizes, F.col(group).eqNullSafe(F.col("_b"))).withColumn("_k", F.col("_i") - F.col("_s")).where(F.array_contains(wanted, F.col("_k")))
+    here = lambda k: F.max(F.when(F.col("_k") == k, F.col("_v")))
+    between = lambda place: (lambda low, high, share: low + (high - low) * share)(here(F.floor(place)), here(F.ceil(place)), F.max(place - F.floor(place)))
+    return some.groupBy(group).agg(F.array(*[between(place) for place, _ in at]).alias("q"))
+
+
 def dimension(rows: DataFrame, name: str) -> DataFrame:
     """Rows (id, name): sorted distinct names from 1; 0 means unknown."""
     names = rows.where(F.coalesce(F.col(name).cast("string"), F.lit("")) != "").select(name).distinct()
@@ -50,11 +68,12 @@ def weighted_draws(rows: DataFrame, draws: DataFrame | int, group: str, weight:
 
     `draws` are numbers, or rows (draw): a draw depends on its own number alone, so any shard can make its own.
     Groups cover [0, 1) by cumulated weight, and a draw's number falls into one of them. Groups are cut into cells of
-    the unit interval, so the interval join is an equi-join on cells.
+    the unit interval, so the interval join is an equi-join on cells. Members are numbered in each group; a draw picks
+    distinct numbers (the i-th of the last `limit` stands in for one that is there already), so it meets its own members alone.
     """
     cells = 1024
     groups = rows.groupBy(group).agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
-    order = Window.orderBy(group)
+    order = Window.orderBy(group)  # a row a group
     total = F.sum("w").over(Window.partitionBy())
     spans = groups.select(group, "n", ((F.sum("w").over(order) - F.col("w")) / total).alias("low"), (F.sum("w").over(order) / total).alias("high"))
     spans = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells).cast("int"), F.least(F.lit(cells - 1), F.floor(F.col("high") * cells).cast("int")))))
@@ -63,9 +82,20 @@ def weighted_draws(rows: DataFrame, draws: DataFrame | int, group: str, weight:
     draws = draws.withColumn("cell", F.floor(F.col("u") * cells).cast("int"))
     hit = draws.join(spans, "cell").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
     limit = F.floor(uniform(seed, F.col("draw"), 1) * F.least(F.lit(most), F.col("n"))).cast("int") + 1
-    members = hit.select("draw", group, limit.alias("limit")).join(rows.select(group, key), group)  # a group is one writer's words
-    place = F.row_number().over(Window.partitionBy("draw").orderBy(uniform(seed, F.concat_ws("/", F.col("draw").cast("string"), F.col(key).cast("string")), 2), key))
-    return members.withColumn("place", place).where(F.col("place") <= F.col("limit")).select("draw", group, key, "place")
+    hit = hit.select("draw", group, "n", limit.alias("limit"))
+
+    def pick(taken: Column, j: Column) -> Column:
+        last = F.col("n") - F.col("limit") + j
+        one = F.floor(uniform(seed, F.col("draw"), 2 + j) * (last + 1))
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, one), last).otherwise(one)))
+
+    picked = F.aggregate(F.sequence(F.lit(0), F.col("limit") - 1), F.array().cast("array<bigint>"), pick)
+    numbers = numbered(rows.select(group, key).withColumn("_u", uniform(f"{seed}-member", F.col(key))), [F.col(group), F.col("_u"), F.col(key)], "_i")
+    starts = numbers.groupBy(group).agg(F.min("_i").alias("_s"))
+    members = numbers.join(starts, group).select(group, key, (F.col("_i") - F.col("_s")).alias("_m"))
+    met = hit.select("draw", group, F.explode(picked).alias("_m")).join(members, [group, "_m"])
+    place = F.row_number().over(Window.partitionBy("draw").orderBy(uniform(seed, F.concat_ws("/", F.col("draw").cast("string"), F.col(key).cast("string")), F.lit("order")), key))
+    return met.select("draw", group, key, place.alias("place"))
 
 
 def weighted_sample(rows: DataFrame, n: int, key: str, weight: Column, seed: str = "sample") -> DataFrame:
@@ -131,9 +161,11 @@ def token_budget_batches(rows: DataFrame, pool: str, key: str, length: str, budg
 
 
 def length_report(rows: DataFrame, length: str, block: int, by: str | None = None) -> DataFrame:
-    """Count, median, 99th percentile and the share that is cut, of all rows or by group."""
-    grouped = rows.groupBy(by) if by else rows.groupBy()
-    return grouped.agg(F.count("*").alias("n"), F.median(length).alias("median"), F.percentile(length, 0.99).alias("p99"), F.avg((F.col(length) > block - 2).cast("double")).alias("cut"))
+    """Rows (by, n, median, p99, cut): count, median, 99th percentile and the share that is cut, by group or (by 1) of all rows."""
+    rows, by = (rows, by) if by else (rows.withColumn("all", F.lit(1)), "all")
+    q = percentiles(rows, by, length, [0.5, 0.99]).withColumnRenamed(by, "_b")
+    counts = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg((F.col(length) > block - 2).cast("double")).alias("cut"))
+    return counts.join(q, F.col(by).eqNullSafe(F.col("_b")), "left").select(by, "n", F.col("q")[0].alias("median"), F.col("q")[1].alias("p99"), "cut")
 
 
 def drawn_examples(words: DataFrame, draws: DataFrame | int, group: str, weight: str, key: str, tokens: str, size: str, most: int, block: int, limit: int, marks: dict[str, int], seed: str = "draw") -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strokelake.operators.sampling import percentiles
 
 
 def bigram_scores(tokens: DataFrame, vocabulary: int) -> DataFrame:
@@ -140,7 +141,7 @@ def extremes(rows: DataFrame, measure: str, key: str, k: int) -> DataFrame:
 def gap_threshold(gaps: DataFrame, gap_column: str, rounds: int, low: float = 0.25, high: float = 0.90) -> float:
     """Two means on log gaps, from two percentiles, in a fixed number of rounds; the middle of the two, back from the log."""
     logs = gaps.where(F.col(gap_column) > 0).select(F.ln(gap_column).alias("g")).persist()
-    a, b = logs.select(F.percentile("g", F.array(F.lit(low), F.lit(high)))).first()[0]
+    a, b = percentiles(logs, None, "g", [low, high]).first()["q"]
     for _ in range(rounds):
         cut = (a + b) / 2
         m = logs.agg(F.avg(F.when(F.col("g") <= cut, F.col("g"))).alias("a"), F.avg(F.when(F.col("g") > cut, F.col("g"))).alias("b")).first()

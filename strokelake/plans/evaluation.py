@@ -15,7 +15,8 @@ from strokelake.operators import vectors as v
 from strokelake.plans.adapters import PTS, STK, exploded, ink_events, ink_points, ink_strokes
 from strokelake.plans.quality import CRC, crc
 from strokelake.plans.registry import query, table
-from strokelake.plans.sampling import u
+from strokelake.plans.sampling import picks, u
+from strokelake.plans.scoring import SCORED, scored
 from strokelake.plans.tokens import GRID, WALK, tokens
 from strokelake.plans.vectors import MEANS, VEC, base, label_means
 from strokelake.sources.scratch import scratch, written
@@ -215,9 +216,9 @@ def v04_picked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DRAWN = f"""{SIZED}, wt AS (SELECT *, (split_part(id, '/', 3)::INT % 2 + 1) AS weight FROM sz), gw AS (SELECT writer, sum(weight) AS w, count(*) AS n FROM wt GROUP BY writer),
 sn AS (SELECT writer, n, (sum(w) OVER (ORDER BY writer) - w) / (sum(w) OVER ())::DOUBLE AS low, sum(w) OVER (ORDER BY writer) / (sum(w) OVER ())::DOUBLE AS high FROM gw),
-dr AS (SELECT o_orderkey AS draw, {u('draw', 'o_orderkey')} AS x FROM orders), ht AS (SELECT draw, writer, (floor({u('draw', 'draw', 1)} * least(4, n)) + 1)::INT AS lim FROM dr JOIN sn ON x >= low AND x < high),
-mb AS (SELECT draw, id, t, b, lim, row_number() OVER (PARTITION BY draw ORDER BY {u('draw', "draw || '/' || id", 2)}, id) AS place FROM ht JOIN wt ON ht.writer = wt.writer),
-cs AS (SELECT *, sum(t) OVER o + 2 * (place - 1) AS st, sum(b) OVER o + place - 1 AS sb FROM mb WHERE place <= lim WINDOW o AS (PARTITION BY draw ORDER BY place)),
+dr AS (SELECT o_orderkey AS draw, {u('draw', 'o_orderkey')} AS x FROM orders), ht AS (SELECT draw, writer AS grp, n, (floor({u('draw', 'draw', 1)} * least(4, n)) + 1)::INT AS lim FROM dr JOIN sn ON x >= low AND x < high),
+mm AS (SELECT writer AS grp, id AS key FROM wt), {picks(4, 'ht', 'mm')}, mb AS (SELECT draw, id, t, b, place FROM chosen JOIN wt ON key = id),
+cs AS (SELECT *, sum(t) OVER o + 2 * (place - 1) AS st, sum(b) OVER o + place - 1 AS sb FROM mb WINDOW o AS (PARTITION BY draw ORDER BY place)),
 kp AS (SELECT draw, id, place FROM cs QUALIFY max((place > 1 AND (st > 126 OR sb > 40))::INT) OVER (PARTITION BY draw ORDER BY place) = 0),
 tl AS (SELECT id, list(token ORDER BY pos) AS l FROM tok GROUP BY id),
 jn AS (SELECT draw, flatten(list(CASE WHEN place > 1 THEN list_concat([12, 12], l) ELSE l END ORDER BY place)) AS l FROM kp JOIN tl ON kp.id = tl.id GROUP BY draw), hd AS (SELECT draw, l[:126] AS h, len(l) AS n FROM jn)"""
@@ -309,3 +310,17 @@ def u05_told(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = base(spark, sf_dir).join(label_means(spark, sf_dir), "label").withColumn("w", F.when(F.col("vec_id") % 3 != 0, F.col("mean")))
     return rows.select("vec_id", F.round(total(plugins.told_vector(F.col("w"), 64)), 6).alias("vector"), plugins.told_bytes(F.col("label").cast("string"), 8).alias("bytes"))
+
+
+@query(f"""WITH tab AS (SELECT {CRC} AS t), {SCORED}, wd AS (SELECT DISTINCT id, source FROM sc), f AS (SELECT id, source, {crc('id')} % 5 = 0 AS h FROM wd, tab),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, h ORDER BY {u('eval', 'id')}, id) AS r FROM f), p AS (SELECT id, CASE WHEN h THEN 'held' ELSE 'seen' END AS part FROM r WHERE r <= CASE WHEN h THEN 30 ELSE 20 END),
+v AS (SELECT part, sc.source, sum(nats) / sum((token < 8)::INT) AS score FROM sc JOIN p ON sc.id = p.id GROUP BY ALL)
+SELECT round(avg(a.score - b.score), 6) AS gap FROM v a JOIN v b ON a.source = b.source AND a.part = 'held' AND b.part = 'seen'""")
+def g02_part_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word scores of held-out words less those of seen ones, over shared sources."""
+    rows = written(scored(spark, sf_dir))
+    words = rows.select("id", "source").distinct()
+    parts = s.evaluation_parts(words, "id", "source", quality.held_out(F.col("id"), 5), 30, 20)
+    moves = (F.col("token") < 8).cast("int")
+    of = lambda part: scoring.losses(rows.join(parts.where(F.col("part") == part).select("id"), "id", "left_semi"), moves)
+    return scoring.gap(of("held"), of("seen"), "source", "word_score").select(F.round("gap", 6).alias("gap"))

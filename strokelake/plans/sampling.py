@@ -17,6 +17,17 @@ def u(seed: str, key: str, k: int | str = 0) -> str:
     return f"(('0x' || substr(md5('{seed}|' || ({key})::VARCHAR || '|' || ({k})::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
+def picks(most: int, source: str, members: str) -> str:
+    """SQL for (draw, grp, key, place) of draws (draw, grp, n, lim) and members (grp, key)."""
+    steps = ["s0 AS (SELECT *, []::BIGINT[] AS s FROM " + source + ")"]
+    for j in range(most):
+        steps.append(f"""s{j + 1} AS (SELECT * EXCLUDE (t) REPLACE (CASE WHEN {j} < lim THEN list_append(s, CASE WHEN list_contains(s, t) THEN n - lim + {j} ELSE t END) ELSE s END AS s)
+  FROM (SELECT *, floor({u('draw', 'draw', 2 + j)} * (n - lim + {j + 1}))::BIGINT AS t FROM s{j}))""")
+    return f"""{', '.join(steps)}, mem AS (SELECT grp, key, row_number() OVER (PARTITION BY grp ORDER BY {u('draw-member', 'key')}, key) - 1 AS i FROM {members}),
+picked AS (SELECT draw, grp, unnest(s) AS i FROM s{most}),
+chosen AS (SELECT draw, picked.grp, key, row_number() OVER (PARTITION BY draw ORDER BY {u('draw', "draw || '/' || key", "'order'")}, key) AS place FROM picked JOIN mem ON picked.grp = mem.grp AND picked.i = mem.i)"""
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
 
@@ -42,9 +53,9 @@ def f03_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH g AS (SELECT label, sum(vec_id % 3 + 1) AS w, count(*) AS n FROM embeddings GROUP BY label),
 sp AS (SELECT label, n, (sum(w) OVER (ORDER BY label) - w) / (sum(w) OVER ())::DOUBLE AS low, sum(w) OVER (ORDER BY label) / (sum(w) OVER ())::DOUBLE AS high FROM g),
 d AS (SELECT draw, {u('draw', 'draw')} AS x FROM range(200) t(draw)),
-h AS (SELECT draw, label, (floor({u('draw', 'draw', 1)} * least(5, n)) + 1)::INT AS lim FROM d JOIN sp ON x >= low AND x < high),
-m AS (SELECT draw, h.label, vec_id, lim, row_number() OVER (PARTITION BY draw ORDER BY {u('draw', "draw || '/' || vec_id", 2)}, vec_id) AS place FROM h JOIN embeddings e ON h.label = e.label)
-SELECT draw, label, vec_id, place::INT AS place FROM m WHERE place <= lim""")
+h AS (SELECT draw, label AS grp, n, (floor({u('draw', 'draw', 1)} * least(5, n)) + 1)::INT AS lim FROM d JOIN sp ON x >= low AND x < high),
+mm AS (SELECT label AS grp, vec_id AS key FROM embeddings), {picks(5, 'h', 'mm')}
+SELECT draw, grp AS label, key AS vec_id, place::INT AS place FROM chosen""")
 def f04_weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 3 + 1).alias("w"))
     return s.weighted_draws(rows, 200, "label", "w", "vec_id", most=5)

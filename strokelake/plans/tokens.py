@@ -184,6 +184,20 @@ def c12_detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textops.detokenize(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
 
 
+@query("""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]') AS l FROM documents),
+t AS (SELECT doc_id, i, ascii(lower(l[i])) - 97 AS c FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+m AS (SELECT *, sum((c = 4)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS w FROM t), n AS (SELECT doc_id, w, i, CASE WHEN c % 2 = 0 THEN c ELSE c + 225 END AS n, row_number() OVER (PARTITION BY doc_id, w ORDER BY i) - 1 AS j FROM m WHERE c <> 4 AND w > 0),
+p AS (SELECT doc_id, w, j // 2 AS k, max(n) FILTER (j % 2 = 0) AS x, max(n) FILTER (j % 2 = 1) - 225 AS y FROM n GROUP BY ALL HAVING count(*) = 2),
+q AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY w) - 1 AS stroke, row_number() OVER (PARTITION BY doc_id, w ORDER BY k) - 1 AS pos FROM p WHERE x BETWEEN 0 AND 224 AND y BETWEEN 0 AND 224)
+SELECT doc_id, stroke::INT AS stroke, pos::INT AS pos, x::INT AS x, y::INT AS y FROM q""")
+def c12_detokenize_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters of whole texts as ink tokens, each e as the start marker: ragged pairs and pairs out of bounds occur."""
+    letters = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]"), F.lit(0))
+    coded = F.transform(letters, lambda c: F.ascii(F.lower(c)) - 97)
+    text = F.array_join(F.transform(coded, lambda c: F.concat(F.lit("<ink_token_"), F.when(c == 4, 450).when(c % 2 == 0, c).otherwise(c + 225).cast("string"), F.lit(">"))), "")
+    return textops.detokenize(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+
+
 @query(f"WITH {WALK} SELECT id, pos AS point, token FROM tok")
 def b19_token_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each base token keeps the place of the token that drew it; with no merges that is its own."""
