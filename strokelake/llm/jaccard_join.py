@@ -25,7 +25,7 @@ link; rows that share a doc_id are compared like any others; an empty table give
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -88,6 +88,23 @@ def spaces(tokens: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray |
     return some & ~U(3), tokens & ~U(3) | U(1) if few else None
 
 
+def told_apart(classes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function on rows (sid, sid2, ..) that gives classes which share the first 64 bits of their id new ones.
+
+    Among n classes about n * n / 2**65 pairs do: none in most tables, some hundred in the largest.
+    """
+    shared = classes.groupBy("sid").agg(F.count("*").alias("k")).where("k > 1").select("sid")
+    again = written(classes.join(shared, "sid", "left_semi").select(F.col("sid").alias("_s"), F.col("sid2").alias("_s2"), F.xxhash64("sid", "sid2").alias("_new")), "clashes")
+    if again.isEmpty():
+        return lambda rows: rows
+
+    def renamed(rows: DataFrame) -> DataFrame:
+        met = rows.join(small_or_plain(again, BROADCAST_DOCS), (F.col("sid") == F.col("_s")) & (F.col("sid2") == F.col("_s2")), "left")
+        return met.withColumn("sid", F.coalesce("_new", "sid")).drop("_s", "_s2", "_new")
+
+    return renamed
+
+
 def set_id(tokens: np.ndarray) -> tuple[int, int]:
     a, b = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), "<i8").tolist()
     return a, b
@@ -117,16 +134,16 @@ def parity_sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (sid, n, tokens, sketch) of documents."""
+    """Rows (sid, sid2, n, tokens, sketch) of documents."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(text.as_py(), width) for text in batch.column(0)]
-            sid = [set_id(s)[0] for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                                              pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64()))], names=["sid", "n", "tokens", "sketch"])
+            ids = [set_id(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in ids], pa.int64()), pa.array([j for _, j in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                                              pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64()))], names=["sid", "sid2", "n", "tokens", "sketch"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(describe, "sid bigint, n int, tokens array<bigint>, sketch array<bigint>")
+    return docs.select(F.col("text").cast("string")).mapInArrow(describe, "sid bigint, sid2 bigint, n int, tokens array<bigint>, sketch array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,9 +238,11 @@ def linked(pre: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
 def labelled(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
     """Rows (doc_id, n, sid, sid2, component_id), one per input row."""
-    made = written(shingled(docs, width, p, q), "sets")
-    slim = made.select("doc_id", "n", "sid", "sid2")
-    classes = written(slim.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid", "sid2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
+    raw = written(shingled(docs, width, p, q), "sets")
+    classes = written(raw.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid", "sid2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
+    apart = told_apart(classes)
+    classes, made = apart(classes), apart(raw.withColumn("sid1", F.col("sid")))
+    slim = made.select("doc_id", "n", "sid", "sid1", "sid2")
     # of equal sets, those of other documents than the first go; a first document may still be there in several rows
     copies = slim.where("n > 0").join(classes.where("copies > 1").select("sid", "sid2", "first"), ["sid", "sid2"]).where("doc_id <> first").select(F.col("doc_id").alias("d"), F.col("sid").alias("s")).distinct()
     copies = small_or_plain(written(copies, "copies"), BROADCAST_DOCS)
@@ -233,13 +252,13 @@ def labelled(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
     tokens = own.select("sid", "n", F.explode(F.array("some", "whole")).alias("all")).where("size(all) > 0")
     pre = written(prefixes(tokens, p, q), "all-prefixes")
     slim = written(slim, "slim-sets")
-    emptied(made)
+    emptied(raw)
 
     def chosen(some: DataFrame) -> DataFrame:
         """Sets (sid, n, tokens, sketch) of the classes in `some` (sid), from their first documents' texts."""
         wanted = written(classes.join(some, "sid", "left_semi").select(F.col("first").alias("wanted"), F.col("sid").alias("wanted_sid")), "wanted")
         texts = docs.select("doc_id", "text").join(small_or_plain(wanted.select("wanted").distinct(), BROADCAST_DOCS), F.col("doc_id") == F.col("wanted"), "left_semi")
-        sets = sets_of(texts, width).join(small_or_plain(wanted.select("wanted_sid"), BROADCAST_DOCS), F.col("sid") == F.col("wanted_sid"), "left_semi")
+        sets = apart(sets_of(texts, width)).drop("sid2").join(small_or_plain(wanted.select("wanted_sid"), BROADCAST_DOCS), F.col("sid") == F.col("wanted_sid"), "left_semi")
         sets = written(sets, "wanted-sets")
         if sets.count() > wanted.count():  # rows that share a doc_id
             sets = written(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "wanted-sets")
@@ -264,7 +283,7 @@ def labelled(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
     named = written(named, "class-components")
     out = slim.join(named, (F.col("sid") == F.col("s")) & (F.col("sid2") == F.col("s2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id")))
-    return out.select("doc_id", "n", "sid", "sid2", component.alias("component_id"))
+    return out.select("doc_id", "n", F.col("sid1").alias("sid"), "sid2", component.alias("component_id"))
 
 
 def repeats_doc_ids(rows: DataFrame) -> bool:

@@ -229,6 +229,16 @@ def test_one_of_rows_that_share_a_doc_id(spark):
     assert collections.Counter(map(tuple, kept)) == collections.Counter([(1, long), (2, "another text of its own"), (3, None), (3, None), (None, long)])
 
 
+def test_sets_that_share_half_an_id(spark, monkeypatch):
+    """Classes whose ids have the same first 64 bits are told apart by the others."""
+    for name in ("shingled", "sets_of"):
+        real = getattr(jaccard_join, name)
+        monkeypatch.setattr(jaccard_join, name, lambda *a, real=real: real(*a).withColumn("sid", F.col("sid") % 3))
+    rows = [(r[0], r[1]) for r in made() if r[0] is not None][:60]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()} == slow_components(rows, 3, 9, 10)
+
+
 def test_shared_passage_makes_no_pairs(spark):
     """Texts that share most of their words but do not link stay apart; those that link among them are found."""
     rng = random.Random(5)
