@@ -20,7 +20,7 @@ BROADCAST_BYTES = 64 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, or (where it is unset and Spark is local, as in tests) one of our own."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
-        if not spark.conf.get("spark.master", "").startswith("local["):
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
