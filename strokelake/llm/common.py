@@ -57,7 +57,8 @@ def emptied(table: DataFrame) -> None:
     plain = lambda p: p.split(":", 1)[-1].replace("///", "/", 1) if ":" in p.split("/", 1)[0] else p
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
         if plain(folder).startswith(plain(base) + "/"):
-            table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(folder)
+            none = table.sparkSession.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema])
+            none.coalesce(1).write.mode("overwrite").parquet(folder)
 
 
 def words(text: Column) -> Column:
