@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strokelake.llm import ann_search, host_rules, html_extraction, jaccard_join, language_id, line_dedup, mixing, packing, quality_classifier, warc_fixity
+from strokelake.llm import ann_search, host_rules, html_extraction, jaccard_join, language_id, line_dedup, mixing, packing, quality_classifier, sentence_pieces, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.coalesce(F.length("kept_text"), F.lit(0)).cast("long").alias("kept_chars"), F.md5(F.coalesce(F.col("kept_text"), F.lit("")).cast("binary")).alias("kept_md5"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentence_pieces.encode(_table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_html_extraction, op2_language_id, op3_ann_search, op4_best_fit_packing, op5_jaccard_join, op6_quality_classifier, op7_warc_fixity, op8_host_rules,
-           op9_mixing, op10_line_dedup, pipeline)
+           op9_mixing, op10_line_dedup, op13_sentencepiece, pipeline)
     return {f.__name__: f for f in own}
 
 
