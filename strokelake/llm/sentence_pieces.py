@@ -100,16 +100,27 @@ PACKED = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
 def packed(columns: dict[str, pa.Array]) -> bytes:
-    """Arrow columns as one compressed value, so that a shuffle moves few and small rows."""
-    batch = pa.RecordBatch.from_pydict(columns)
+    """Arrow columns of any lengths as one compressed value, so that a shuffle moves few and small rows."""
+    batch = pa.RecordBatch.from_pydict({k: pa.LargeListArray.from_arrays(pa.array([0, len(v)], pa.int64()), v) for k, v in columns.items()})
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, batch.schema, options=PACKED) as writer:
         writer.write_batch(batch)
     return out.getvalue().to_pybytes()
 
 
-def unpacked(value: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(value).read_next_batch()
+def unpacked(value: bytes) -> dict[str, pa.Array]:
+    batch = pa.ipc.open_stream(value).read_next_batch()
+    return {k: batch.column(k).flatten() for k in batch.schema.names}
+
+
+def bytewise(name: str, numbers: np.ndarray) -> dict[str, pa.Array]:
+    """32-bit numbers as four columns of bytes: small numbers leave the higher ones all zero."""
+    flat = numbers.astype("<u4").view("u1").reshape(-1, 4)
+    return {f"{name}{i}": pa.array(np.ascontiguousarray(flat[:, i])) for i in range(4)}
+
+
+def from_bytes(name: str, columns: dict[str, pa.Array]) -> np.ndarray:
+    return np.stack([columns[f"{name}{i}"].to_numpy() for i in range(4)], axis=1).reshape(-1).view("<u4")
 
 
 def cut(batches: Iterator[pa.RecordBatch], split: bool, block_chars: int) -> Iterator[tuple[bytes, pa.Array, pa.Array, np.ndarray, np.ndarray]]:
@@ -152,8 +163,8 @@ def chunk_lists(docs: DataFrame, split: bool, block_chars: int, shards: int) ->
             order = np.argsort(shard, kind="stable")
             ends = np.searchsorted(shard[order], np.arange(shards + 1))
             for at in np.unique(shard).tolist():
-                own = pa.array(order[ends[at] : ends[at + 1]].astype("u4"))
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([at], pa.int32()), "block": [block], "value": [packed({"n": own, "chunk": texts.take(own)})]})
+                own = order[ends[at] : ends[at + 1]]  # ascending
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([at], pa.int32()), "block": [block], "value": [packed(bytewise("step", np.diff(own, prepend=0)) | {"chunk": texts.take(pa.array(own))})]})
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(listed, "shard int, block binary, value binary")
 
@@ -166,8 +177,7 @@ def places(docs: DataFrame, split: bool, block_chars: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(sizes)])
             for at in range(0, len(ids), ROWS_OUT):
                 head = packed({"doc_id": ids.slice(at, ROWS_OUT), "size": pa.array(sizes[at : at + ROWS_OUT], pa.int64())})
-                own = flat[ends[at] : ends[min(at + ROWS_OUT, len(ids))]].view("u1").reshape(-1, 4)
-                value = packed({f"b{i}": pa.array(np.ascontiguousarray(own[:, i])) for i in range(4)})
+                value = packed(bytewise("n", flat[ends[at] : ends[min(at + ROWS_OUT, len(ids))]]))
                 yield pa.RecordBatch.from_pydict({"block": [block], "head": [head], "value": [value]})
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(placed, "block binary, head binary, value binary")
@@ -184,15 +194,17 @@ def segmented(lists: DataFrame, path: str, split: bool) -> DataFrame:
         for batch in batches:
             for block, value in zip(batch.column(0), batch.column(1), strict=True):
                 own = unpacked(value.as_py())
-                asked = own.column("chunk").to_pylist()
+                asked = own["chunk"].to_pylist()
                 if len(table) > TABLE_CHUNKS:
                     table.clear()
                 new = [c for c in asked if c not in table]
                 for at in range(0, len(new), 4096):
                     part = new[at : at + 4096]
                     table.update(zip(part, (i or mark for i in sp.encode(part, num_threads=1)), strict=True))
-                ids = [table[c] for c in asked]
-                yield pa.RecordBatch.from_pydict({"b": [block.as_py()], "answer": [packed({"n": own.column("n"), "ids": pa.array(ids, pa.list_(pa.int32()))})]}, schema=schema)
+                ids = pa.array([table[c] for c in asked], pa.list_(pa.int32()))
+                steps = {k: v for k, v in own.items() if k != "chunk"}
+                answer = packed(steps | bytewise("size", pc.list_value_length(ids).to_numpy()) | bytewise("id", ids.flatten().to_numpy()))
+                yield pa.RecordBatch.from_pydict({"b": [block.as_py()], "answer": [answer]}, schema=schema)
 
     schema = pa.schema([("b", pa.binary()), ("answer", pa.binary())])
     return lists.select("block", "value").mapInArrow(segment, "b binary, answer binary")
@@ -202,26 +214,27 @@ def restored(left: pa.Table, right: pa.Table, path: str, split: bool) -> Iterato
     """A block's documents (doc_id, ids, decoded): its chunks' ids and texts at the documents' numbers."""
     sp = model(path)
     answers = [unpacked(v.as_py()) for v in right.column("answer")]
-    n = np.concatenate([a.column("n").to_numpy() for a in answers] or [np.empty(0, "u4")])
-    lists = pa.concat_arrays([a.column("ids") for a in answers] or [pa.array([], pa.list_(pa.int32()))])
+    none = [np.empty(0, "i8")]
+    n = np.concatenate([np.cumsum(from_bytes("step", a)) for a in answers] or none)
+    sizes = np.concatenate([from_bytes("size", a) for a in answers] or none).astype("i8")
+    flat = np.concatenate([from_bytes("id", a) for a in answers] or none).astype("i4")
     order = np.argsort(n)
-    offsets = lists.offsets.to_numpy()
-    starts, sizes, flat = offsets[:-1][order], np.diff(offsets)[order], lists.values.to_numpy()
+    starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
     whole = flat.tolist()
     said = sp.decode([whole[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]) if len(n) else []
     said = [" " + s for s in said] if split else said
     for head, value in zip(left.column("head"), left.column("value"), strict=True):
         head, value = unpacked(head.as_py()), unpacked(value.as_py())
-        at = np.stack([value.column(i).to_numpy() for i in range(4)], axis=1).reshape(-1).view("<u4")
+        at = from_bytes("n", value)
         if len(at) and at.max() >= len(n):
             raise ValueError("the documents came in another order when read again: write them first")
         count = sizes[at]
         before = np.cumsum(count) - count
         ids = flat[np.repeat(starts[at] - before, count) + np.arange(count.sum())]
-        ends = np.concatenate([[0], np.cumsum(head.column("size").to_numpy())])
+        ends = np.concatenate([[0], np.cumsum(head["size"].to_numpy())])
         total = np.concatenate([[0], np.cumsum(count)])[ends]
         texts = ["".join(map(said.__getitem__, at[a:b].tolist()))[split:] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        yield pa.RecordBatch.from_pydict({"doc_id": head.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids, pa.int32())), "decoded": pa.array(texts, pa.string())})
+        yield pa.RecordBatch.from_pydict({"doc_id": head["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids, pa.int32())), "decoded": pa.array(texts, pa.string())})
 
 
 def encode(docs: DataFrame, path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
