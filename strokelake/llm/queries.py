@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strokelake.llm import ann_search, host_rules, html_extraction, jaccard_join, language_id, line_dedup, mixing, packing, quality_classifier, sentence_pieces, warc_fixity
+from strokelake.llm import ann_search, conversation_repair, host_rules, html_extraction, jaccard_join, language_id, line_dedup, mixing, packing, quality_classifier, sentence_pieces, warc_fixity
+
+from strokelake.llm.common import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +66,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.coalesce(F.length("kept_text"), F.lit(0)).cast("long").alias("kept_chars"), F.md5(F.coalesce(F.col("kept_text"), F.lit("")).cast("binary")).alias("kept_md5"))
 
 
+def damaged(convs: DataFrame) -> DataFrame:
+    """The rows (conv_id, turn, role, text), damaged by a hash of conversation and turn: dropped, emptied, without `.!?`, repeated, or with role user."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = convs.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), (F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20).alias("k"))
+    text = F.when(F.col("k") == 1, F.lit("")).when(F.col("k") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("k") == 4, F.lit("user")).otherwise(F.col("role"))
+    times = F.explode(F.sequence(F.lit(1), F.when(F.col("k") == 3, 2).otherwise(1)))
+    return rows.where("k <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("time")).drop("time")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = damaged(convs)
+    found = written(conversation_repair.repair(rows), "repaired")
+    hashes = conversation_repair.digests(conversation_repair.edits(rows, found)).withColumnRenamed("conv_id", "h")
+    ids = convs.select(F.col("conv_id").alias("id")).distinct()
+    out = ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").join(hashes, F.col("id").eqNullSafe(F.col("h")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentence_pieces.encode(_table(spark, sf_dir, "documents"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -78,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_html_extraction, op2_language_id, op3_ann_search, op4_best_fit_packing, op5_jaccard_join, op6_quality_classifier, op7_warc_fixity, op8_host_rules,
-           op9_mixing, op10_line_dedup, op13_sentencepiece, pipeline)
+           op9_mixing, op10_line_dedup, op11_conversation_repair, op13_sentencepiece, pipeline)
     return {f.__name__: f for f in own}
 
 
