@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strokelake.llm import ann_search, conversation_repair, host_rules, html_extraction, jaccard_join, language_id, line_dedup, mixing, packing, quality_classifier, sentence_pieces, warc_fixity
+from strokelake.llm import ann_search, conversation_repair, host_rules, html_extraction, jaccard_join, language_id, line_dedup, mixing, packing, prefix_trie, quality_classifier, sentence_pieces, warc_fixity
 
 from strokelake.llm.common import written
 
@@ -87,6 +87,23 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations (conv_id) and their turns, the first h of them those of conversation c - c % 5 (h by a hash of c), from numbered turns."""
+    h = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 9
+    ids = written(turns.select("conv_id").distinct(), "conv-ids")
+    wanted = ids.select(F.col("conv_id").alias("c"), (F.col("conv_id") - F.col("conv_id") % 5).alias("base"), h("conv_id").alias("h"))
+    heads = turns.where("depth <= 8").join(wanted, (F.col("conv_id") == F.col("base")) & (F.col("depth") <= F.col("h"))).select(F.col("c").alias("conv_id"), "depth", "x1", "x2", "bytes")
+    heads = written(heads, "heads")
+    taken = heads.groupBy(F.col("conv_id").alias("c")).agg(F.max("depth").alias("m"))
+    rest = turns.where(F.col("depth") > h("conv_id")).join(taken, F.col("conv_id") == F.col("c"), "left")
+    return ids, heads.union(rest.select("conv_id", F.col("depth") - h("conv_id") + F.coalesce("m", F.lit(0)), "x1", "x2", "bytes"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(prefix_trie.turns(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), "turns")
+    return prefix_trie.trie(*rebuilt(turns))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentence_pieces.encode(_table(spark, sf_dir, "documents"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -101,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_html_extraction, op2_language_id, op3_ann_search, op4_best_fit_packing, op5_jaccard_join, op6_quality_classifier, op7_warc_fixity, op8_host_rules,
-           op9_mixing, op10_line_dedup, op11_conversation_repair, op13_sentencepiece, pipeline)
+           op9_mixing, op10_line_dedup, op11_conversation_repair, op12_prefix_trie, op13_sentencepiece, pipeline)
     return {f.__name__: f for f in own}
 
 
