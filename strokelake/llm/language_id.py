@@ -143,14 +143,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(learn: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
     """From rows (doc_id, text, lang). The sample that comes to the driver has at most `per_language` cuts of texts a language."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rank = F.row_number().over(first)
-    some = learn.select("doc_id", "lang").where("lang IS NOT NULL").withColumn("r", rank).where(F.col("r") <= per_language).select(F.col("doc_id").alias("d"), F.col("lang").alias("l"))
-    texts = learn.join(F.broadcast(some), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l")))
     # training reads a few windows of each sampled text: one from each equal part of it, at a place by hash
     part = F.greatest(F.lit(1), F.floor(F.length("text") / WINDOWS_PER_TEXT)).cast("int")
     cuts = F.array(*[F.col("text").substr(1 + i * part + F.pmod(F.xxhash64("doc_id", F.lit(i)), part).cast("int"), F.lit(LENGTH)) for i in range(WINDOWS_PER_TEXT)])
-    rows = texts.where("text IS NOT NULL").select("doc_id", "lang", cuts.alias("cuts")).collect()
+    # rows are ranked with their cuts, so rows that share a doc_id are rows of their own, and each task hands on `per_language` a language
+    some = learn.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", cuts.alias("cuts"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "cuts")
+    rows = some.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).drop("r").collect()
     rows.sort(key=lambda r: (r.lang, r.doc_id if r.doc_id is not None else -1, r.cuts))
     if not rows:
         return None
