@@ -63,6 +63,9 @@ UNMARKED = {"article", "body", "html", "main"}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes2>[^>]*)>", re.DOTALL)
+# Once a quote is never closed, quotes do not count for the rest of the page; so no tag is looked at to the page's end twice.
+UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>)(?P<tag>)(?P<attributes>)(?!)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes2>[^>]*)>", re.DOTALL)
+CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")  # a slash of its own, not the end of an unquoted value
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/\"']|$)", re.IGNORECASE)
 
 # Prior weights of features, and how strongly the fitted ones are drawn to them.
@@ -139,20 +142,28 @@ class Page:
                 above.holds |= own.holds
                 above.head |= own.head
 
+        last, pattern, unclosed = page.rfind(">") + 1, TOKEN, set()  # after the last >, only a comment can begin
         while at < end:
-            found = TOKEN.search(page, at)
+            found = pattern.search(page, at, last) if at < last else None
             start = found.start() if found else end
+            if not found or found[0].startswith("<!--") and not found[0].endswith("-->"):
+                if (comment := page.find("<!--", at)) >= 0:
+                    start, found = comment, None
             if start > at and not silent:
                 self.add(entities.unescape(page[at:start]), None, block, stack[-1][0])
             if not found:
                 break
             at = found.end()
+            if found["tag2"]:
+                pattern = UNQUOTED
             tag = (found["tag"] or found["tag2"] or "").lower()
             if not tag:
                 continue
             closing, attributes = found["end"] or found["end2"], found["attributes"] or found["attributes2"] or ""
-            if not closing and tag in RAW and not attributes.endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+            if not closing and tag in RAW and not CLOSED.search(attributes):
+                close = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at, last)
+                if not close:
+                    unclosed.add(tag)
                 at = close.end() if close else (end if tag in ("script", "style") else at)
                 block += tag in BLOCK
                 continue
@@ -176,7 +187,7 @@ class Page:
                 own = Element(tag, above, role, weak and not above.content)
                 self.labelled |= tag in ("article", "main") and role is None
                 self.elements.append(own)
-                if tag not in VOID and not attributes.rstrip().endswith("/"):
+                if tag not in VOID and not CLOSED.search(attributes):
                     place = len(stack)
                     p = place if tag == "p" else -1 if tag in P_FENCE else p
                     items = {} if tag in ITEM_FENCE else items | {tag: place} if tag in ITEMS else items
@@ -329,6 +340,7 @@ def fit(pages: DataFrame, limit: int = FIT_PAGES) -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64())],
                                          names=["features", "inside", "n"])
 
+    pages = pages.select("page_id", F.col("html").cast("string").alias("html"))
     chosen = pages.where("html IS NOT NULL").select(F.col("page_id").alias("chosen")).orderBy(F.xxhash64("chosen"), "chosen").limit(limit).distinct()
     sample = pages.join(F.broadcast(chosen), F.col("page_id").eqNullSafe(F.col("chosen")), "left_semi").select("html")
     counted = sample.mapInArrow(count, "features string, inside boolean, n bigint").groupBy("features", "inside").agg(F.sum("n").alias("n"))
