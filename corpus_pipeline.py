@@ -4,14 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 stage's docs. All but the last return the columns of documents, in their order; columns that are not used, also ones whose
 names clash with an operator's own, come through as they are. An empty table gives an empty result in every stage.
 
-The tables that a stage's operators write on the way are emptied when the next stage over the same sf_dir begins, since its
-docs are the stage's written result by then; tables that docs still reads stay.
+The tables that a stage's operators write on the way are emptied by `run` once the stage's result is written; a stage called by
+itself keeps them, so its DataFrame can be read again whatever runs beside it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,28 +18,8 @@ from strokelake.llm import host_rules, jaccard_join, line_dedup, mixing, packing
 from strokelake.llm.common import emptied, noted, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_made: dict[str, list[DataFrame]] = {}
 
 
-def tidy(stage: Stage) -> Stage:
-    """The stage, which first empties what the stage before it wrote on the way. The first stage has none before it."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        before = _made.pop(sf_dir, [])
-        read = set(docs.inputFiles())
-        for table in before if run_stage is not STAGES[0][1] else []:
-            if read.isdisjoint(table.inputFiles()):
-                emptied(table)
-        with noted() as tables:
-            out = stage(spark, docs, sf_dir)
-        _made[sf_dir] = tables
-        return out
-
-    return run_stage
-
-
-@tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text and host pass the rules.
 
@@ -50,7 +29,6 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return host_rules.keep_good(docs)
 
 
-@tidy
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat an earlier line or are within the edit bound of one; documents that lose every line go.
 
@@ -60,7 +38,6 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return line_dedup.deduplicated(docs)
 
 
-@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links by five-word shingles at a similarity of 0.8 or more: the least doc_id.
 
@@ -69,7 +46,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard_join.one_per_group(docs, width=5, p=8, q=10)
 
 
-@tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources brought to their target weights: documents repeated, left out, or cut at their source's budget.
 
@@ -78,7 +54,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
-@tidy
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and place. Null and empty texts give the end id alone; repeated rows are packed one by one."""
     return packing.pack_documents(docs)
@@ -99,5 +74,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with noted() as tables:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = set(docs.inputFiles())
+        for table in tables:
+            if kept.isdisjoint(table.inputFiles()):
+                emptied(table)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -27,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-_noted: list[list[DataFrame]] = []
+_noted = threading.local()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,20 +36,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for tables in _noted:
+    for tables in getattr(_noted, "lists", []):
         tables.append(spark.read.schema(df.schema).parquet(path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def noted() -> Iterator[list[DataFrame]]:
-    """A list that gathers the tables written inside."""
+    """A list that gathers the tables that this thread writes inside."""
     tables: list[DataFrame] = []
-    _noted.append(tables)
+    before = getattr(_noted, "lists", [])
+    _noted.lists = [*before, tables]
     try:
         yield tables
     finally:
-        _noted.remove(tables)
+        _noted.lists = before
 
 
 def emptied(table: DataFrame) -> None:

@@ -300,8 +300,8 @@ def one_per_group(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> D
     a component stay once. Rows without words or without a doc_id all stay."""
     rows = labelled(docs, width, p, q)
     if not repeats_doc_ids(docs):
-        gone = written(rows.where("component_id < doc_id").select(F.col("doc_id").alias("gone")), "near-copies")
-        return docs.join(small_or_plain(gone, BROADCAST_DOCS), F.col("doc_id") == F.col("gone"), "left_anti")
+        gone = written(rows.where("component_id < doc_id").select("doc_id"), "near-copies")
+        return docs.join(small_or_plain(gone, BROADCAST_DOCS), "doc_id", "left_anti").select(*docs.columns)
     named = written(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "sid", "sid2", "component_id").distinct(), "set-components")
     first = Window.partitionBy("component_id").orderBy("sid", "sid2")
     stays = named.where("component_id = doc_id").withColumn("r", F.row_number().over(first)).where("r = 1").select(F.col("doc_id").alias("d"), F.col("sid").alias("s"), F.col("sid2").alias("s2"))
