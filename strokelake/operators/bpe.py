@@ -2,24 +2,27 @@
 
 Merges never cover a pen-down or pen-up token, so sequences are cut there into runs of moves. Runs are counted and kept
 once each with their number: counting pairs and rewriting both work on distinct runs. Pairs are counted once, and a round
-of learning shuffles the changes of counts in the runs that its rules touch.
+of learning shuffles the changes of counts in the runs that its rules touch. Runs are strings, a character for each token.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Iterator
 from itertools import takewhile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strokelake.functions.arrays import indices, let, pairs
+from strokelake.functions.arrays import indices, let
 from strokelake.functions.walk import DOWN, FIRST_MERGE, UP
 from strokelake.sources.scratch import written
 
-CUT_EVERY = 4  # rounds between writes of the rewritten runs
+CUT_EVERY = 8  # rounds between writes of the rewritten runs
+AHEAD = 64  # pairs whose runs are kept apart
+MOST_LISTED = 2_000  # pairs in one pattern
+FIRST_CHARACTER = 0x4E00
 
 
 def move_runs(tokens: DataFrame, column: str = "tokens") -> DataFrame:
@@ -31,28 +34,30 @@ def move_runs(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     return runs.groupBy("run").agg(F.count("*").alias("freq"))
 
 
-def pair_counts(runs: DataFrame) -> DataFrame:
-    """Rows (a, b, n): neighbours in all runs, overlapping ones counted."""
-    each = runs.where(F.size("run") > 1).select("freq", F.explode(pairs(F.col("run"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-    return each.groupBy("p.a", "p.b").agg(F.sum("freq").alias("n"))
+def coded(run: Column) -> Column:
+    """A run of base moves as a string, a character for each token, so that a rule is one replacement of two characters by one."""
+    return F.array_join(run.cast("array<string>"), "")
+
+
+def character(token: int) -> str:
+    return str(token) if token < FIRST_MERGE else chr(FIRST_CHARACTER + token - FIRST_MERGE)
 
 
-def merged(run, a: int, b: int, new: int):
-    """One rule over an array of tokens, left to right, without overlap."""
-    if a != b:  # matches cannot overlap
-        def at(x, i):
-            return F.when((x == a) & (F.coalesce(F.get(run, i + 1), F.lit(-1)) == b), F.lit(new)).when((x == b) & (F.coalesce(F.get(run, i - 1), F.lit(-1)) == a), F.lit(None)).otherwise(x)
+def decoded(text: Column) -> Column:
+    """The tokens of a coded run."""
+    at = lambda c: F.ascii(c)  # noqa: E731  the code point of the first character
+    return F.transform(F.split(text, ""), lambda c: F.when(at(c) < FIRST_CHARACTER, at(c) - ord("0")).otherwise(at(c) - FIRST_CHARACTER + FIRST_MERGE).cast("int"))
 
-        return F.filter(F.transform(run, at), lambda x: x.isNotNull())
-    # a run of the same token pairs up from its start: odd places of it go, even ones with a follower merge
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
-    def put(s, x):
-        closes = (x == a) & (s["n"] % 2 == 1)
-        out = F.when(closes, F.concat(F.slice(s["out"], F.lit(1), F.size(s["out"]) - 1), F.array(F.lit(new)))).otherwise(F.concat(s["out"], F.array(x)))
-        return F.struct(F.when(x == a, s["n"] + 1).otherwise(0).alias("n"), out.alias("out"))
+def neighbours(text: str) -> Column:
+    """All pairs of neighbouring characters of a coded run, overlapping ones as well."""
+    return let(F.split(F.col(text), ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.concat(F.get(c, i), F.get(c, i + 1))))
 
-    return F.aggregate(run, start, put, lambda s: s["out"])
+
+def pair_counts(runs: DataFrame) -> DataFrame:
+    """Rows (pair, n): neighbours in all coded runs (run, freq)."""
+    each = runs.where(F.length("run") > 1).select("freq", F.explode(neighbours("run")).alias("pair"))
+    return each.groupBy("pair").agg(F.sum("freq").alias("n"))
 
 
 def next_rules(counts: dict[tuple[int, int], int], most: int, least: int, vocabulary: int) -> list[tuple[int, int]]:
@@ -73,54 +78,65 @@ def next_rules(counts: dict[tuple[int, int], int], most: int, least: int, vocabu
     return taken
 
 
-def learn_merges(runs: DataFrame, n_merges: int, min_count: int = 20, folder: str | None = None) -> list[tuple[int, int, int]]:
+def learn_merges(runs: DataFrame, n_merges: int, min_count: int = 20) -> list[tuple[int, int, int]]:
     """Up to n_merges rules (a, b, new): the most frequent pair each time, ties to the least a * vocabulary + b.
 
-    Pairs are counted once; a round then rewrites the runs that its rules touch and sends back by how much their pairs'
-    counts change. Counts are at most the square of the vocabulary, so the driver holds them.
+    Pairs are counted once; a round then sends back by how much its rules change the counts of pairs in the runs that they
+    touch. Counts are at most the square of the vocabulary, so the driver holds them.
+
+    A round does not read all runs. The runs that hold one of the `AHEAD` most frequent pairs are written apart; until a rule
+    needs another pair, all rules are among these pairs and those that merging has made, which lie in the same runs. Then the
+    parts are joined again, without the runs that no rule can touch any more (no pair of `min_count`), and cut anew.
     """
-    spark = runs.sparkSession
     vocabulary, rules = FIRST_MERGE + n_merges, []
-    current = held = runs.persist()
-    counts = {(r.a, r.b): r.n for r in pair_counts(current).collect()}
-    rounds = 0
+    rest = written(runs.select(coded(F.col("run")).alias("run"), "freq"))
+    token = {character(t): t for t in range(vocabulary)}
+    key = lambda pair: (token[pair[0]], token[pair[1]])
+    counts = {key(r.pair): r.n for r in pair_counts(rest).collect()}
+    active: DataFrame | None = None
+    ours: set[tuple[int, int]] = set()
+    now, rounds = F.col("run"), 0
     while batch := next_rules(counts, n_merges - len(rules), min_count, vocabulary):
-        changed = current.select("freq", "run", F.col("run").alias("new"))
+        if batch[0] not in ours:
+            if active is not None:
+                rest = rest.unionByName(active.select(now.alias("run"), "freq"))
+            live = sorted((-n, a * vocabulary + b, a, b) for (a, b), n in counts.items() if n >= min_count)
+            ours = {(a, b) for _, _, a, b in live[:AHEAD]}
+            holds = lambda pairs: F.col("run").rlike("|".join(re.escape(character(a)) + re.escape(character(b)) for a, b in pairs))
+            whole = written(rest.where(holds([(a, b) for *_, a, b in live]) if len(live) <= MOST_LISTED else F.length("run") > 1))
+            active, rest, now, rounds = written(whole.where(holds(ours))), whole.where(~holds(ours)), F.col("run"), 0
+        batch = list(takewhile(ours.__contains__, batch))
+        before = now
         for a, b in batch:
-            changed = changed.select("freq", "run", merged(F.col("new"), a, b, FIRST_MERGE + len(rules)).alias("new"))
-            rules.append((a, b, FIRST_MERGE + len(rules)))
+            new = FIRST_MERGE + len(rules)
+            now = F.replace(now, F.lit(character(a) + character(b)), F.lit(character(new)))
+            rules.append((a, b, new))
         if len(rules) == n_merges:
             break
-        signed = lambda c, k: F.coalesce(pairs(F.col(c), lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.lit(k).alias("k"))), F.array().cast("array<struct<a:int,b:int,k:int>>"))
-        touched = changed.where(F.size("new") < F.size("run")).select("freq", F.explode(F.concat(signed("run", -1), signed("new", 1))).alias("p"))
-        for r in touched.groupBy("p.a", "p.b").agg(F.sum(F.col("freq") * F.col("p.k")).alias("n")).collect():
-            if left := counts.pop((r.a, r.b), 0) + r.n:
-                counts[r.a, r.b] = left
-        current = changed.select(F.col("new").alias("run"), "freq")
+        changed = active.select("freq", before.alias("run"), now.alias("new")).where("run <> new")
+        none = F.array().cast("array<string>")
+        signed = lambda c, k: F.transform(F.when(F.length(c) > 1, neighbours(c)).otherwise(none), lambda p: F.struct(p.alias("pair"), F.lit(k).alias("k")))
+        for r in changed.select("freq", F.explode(F.concat(signed("run", -1), signed("new", 1))).alias("p")).groupBy("p.pair").agg(F.sum(F.col("freq") * F.col("p.k")).alias("n")).collect():
+            pair = key(r.pair)
+            if max(pair) >= FIRST_MERGE + len(rules) - len(batch):
+                ours.add(pair)  # made by this round, so it lies in the active runs alone
+            if left := counts.pop(pair, 0) + r.n:
+                counts[pair] = left
         rounds += 1
         if rounds % CUT_EVERY == 0:
-            if folder or spark.conf.get("spark.checkpoint.dir", None):
-                path = f"{(folder or spark.conf.get('spark.checkpoint.dir')).rstrip('/')}/runs-{uuid.uuid4().hex}"
-                current.write.parquet(path)
-                current = spark.read.parquet(path)
-            fresh = current.persist()
-            held.unpersist()
-            held = current = fresh
-    held.unpersist()
+            active, now = written(active.select(now.alias("run"), "freq").where(F.length("run") > 1)), F.col("run")
     return rules
 
 
 def apply_in_order(tokens: DataFrame, rules: list[tuple[int, int, int]], column: str = "tokens") -> DataFrame:
-    """Replaces the token column by its merged form, one rule after the other over distinct runs, as expressions.
+    """Replaces the token column by its merged form, one rule after the other over distinct runs.
 
-    Each run of moves is merged once and joined back; the rewritten runs are written every `CUT_EVERY` rules.
+    Each run of moves is merged once, by one fold over the table of rules, and joined back.
     """
-    runs = written(move_runs(tokens, column).select("run"))
-    done = runs.select(F.col("run").alias("_run"), "run")
-    for k, (a, b, new) in enumerate(rules):
-        done = done.select("_run", merged(F.col("run"), a, b, new).alias("run"))
-        if (k + 1) % CUT_EVERY == 0:
-            done = written(done)
+    none = F.array().cast("array<struct<pair:string,new:string>>")
+    table = F.array(*[F.struct(F.lit(character(a) + character(b)).alias("pair"), F.lit(character(new)).alias("new")) for a, b, new in rules]) if rules else none
+    whole = F.aggregate(table, coded(F.col("run")), lambda text, r: F.replace(text, r["pair"], r["new"]))
+    done = written(move_runs(tokens, column).select(F.col("run").alias("_run"), decoded(whole).alias("run")))
     t = F.col(column)
     places = let(t, lambda x: F.concat(F.array(F.lit(-1)), F.filter(indices(x), lambda i: F.get(x, i).isin(DOWN, UP)), F.array(F.size(x))))
     none = F.array().cast("array<int>")

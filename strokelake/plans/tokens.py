@@ -96,6 +96,12 @@ def c05_learn_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.vocabulary(spark, rules)
 
 
+@query()
+def c05_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary of 256 merges; tests hold that each rule is the most frequent pair left."""
+    return bpe.vocabulary(spark, bpe.learn_merges(bpe.move_runs(tokens(spark, sf_dir)), 256, MIN_COUNT))
+
+
 @query(_merge_rounds(12, MIN_COUNT, merged=True))
 def c06_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lowest-ranked pair first gives the same tokens as the rules in learned order."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -113,12 +114,15 @@ def test_example_cut(spark):
     assert rows[2].x == [13, 0, 1, 2, 3, 4, 5, 11] and rows[2].y == [0, 1, 2, 3, 4, 5, -1, -1]
 
 
-def test_learned_rules_are_those_of_recounting(spark):
+@pytest.mark.parametrize("ahead,listed", [(64, 2000), (3, 5), (1, 2000)])
+def test_learned_rules_are_those_of_recounting(spark, monkeypatch, ahead, listed):
     """Several rules a round, with counts changed by the runs they touch, give what one rule a round and counting anew gives."""
     import random
 
     from strokelake.operators import bpe
 
+    monkeypatch.setattr(bpe, "AHEAD", ahead)
+    monkeypatch.setattr(bpe, "MOST_LISTED", listed)
     rng = random.Random(9)
     runs = {}
     for _ in range(300):
@@ -146,3 +150,21 @@ def test_learned_rules_are_those_of_recounting(spark):
     assert bpe.learn_merges(df, 40, 5) == rules
     assert bpe.next_rules({(0, 1): 9, (2, 3): 8, (1, 4): 7, (5, 6): 6}, 10, 1, 50) == [(0, 1), (2, 3)]
     assert bpe.next_rules({(0, 1): 9, (2, 3): 8, (1, 4): 8}, 10, 1, 50) == [(0, 1)]
+
+
+def test_many_rules_by_one_table(spark):
+    """The vocabulary query's rules against counting anew, and rules applied by one fold against ranks."""
+    from strokelake import plans
+
+    words = plans.tokens.tokens(spark, "/root/testdata/sf0.001")
+    rules = [(r.a, r.b, r.new) for r in plans.QUERIES["c05_vocabulary"](spark, "/root/testdata/sf0.001").orderBy("rank").collect()]
+    runs = [(list(r.run), r.freq) for r in bpe.move_runs(words).collect()]
+    for a, b, new in rules:
+        counts: dict[tuple[int, int], int] = {}
+        for run, n in runs:
+            for p in zip(run, run[1:], strict=False):
+                counts[p] = counts.get(p, 0) + n
+        assert (a, b) == min(counts, key=lambda p: (-counts[p], p[0] * 266 + p[1]))
+        runs = [(slow_merges(run, [(a, b, new)]), n) for run, n in runs]
+    rows = lambda df: sorted((r.id, list(r.tokens)) for r in df.select("id", "tokens").collect())
+    assert len(rules) > 20 and rows(bpe.apply_in_order(words, rules)) == rows(bpe.apply_merges(words, rules))
