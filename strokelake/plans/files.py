@@ -15,6 +15,8 @@ from strokelake.sources import ink
 from strokelake.sources.scratch import scratch
 from strokelake.streaming import streams
 
+SINCE = 946_684_800  # the first event time; a watermark begins at 0 and holds rows of that moment late
+
 
 @query(f"WITH {STK}, {QUANTIZED} SELECT id, stroke, pos, round(x * {UNIT}::DOUBLE, 6) AS x, round(y * {UNIT}::DOUBLE, 6) AS y FROM quant")
 def a02_stroke_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,19 +91,23 @@ def k03_running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k01_batch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream of lengths, folded into token-budget batches with carried rows; written and read again.
 
-    Rows that still wait when the stream ends have batch -1, as in f10.
+    Files come in order of doc_id, two a trigger. Rows that still wait are written by the stream as batch -1, as in f10: an
+    end mark moves the watermark past every shard's last row.
     """
-    slim = scratch(spark)
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 8).alias("shard"), F.col("doc_id").alias("key"), F.least("n_chars", F.lit(768)).cast("int").alias("length"))
-    docs.repartition(4, "key").write.parquet(slim)
-    stream = spark.readStream.schema("shard bigint, key bigint, length int").option("maxFilesPerTrigger", 2).parquet(slim)
-    out = scratch(spark)
-    running = streams.batch_stream(stream, 4096, 64, 768, pool=16).writeStream.format("parquet").option("checkpointLocation", scratch(spark)).option("path", out).trigger(availableNow=True).start()
+    slim, out = scratch(spark), scratch(spark)
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 8).alias("shard"), F.col("doc_id").alias("key"), F.least("n_chars", F.lit(768)).cast("int").alias("length"),
+                                                    F.timestamp_seconds(F.col("doc_id") + SINCE).alias("ts"))
+    top = docs.agg(F.max("key").alias("top"))  # one row
+    quarter = F.floor(4 * F.col("key") / (F.col("top") + 1))
+    for i in range(4):
+        docs.crossJoin(F.broadcast(top)).where(quarter == i).drop("top").coalesce(1).write.mode("append").parquet(slim)
+    end = top.select(F.lit(-1).cast("bigint").alias("shard"), F.lit(-1).cast("bigint").alias("key"), F.lit(1).alias("length"), F.timestamp_seconds(F.coalesce("top", F.lit(0)) + SINCE + 86_400).alias("ts"))
+    end.write.mode("append").parquet(slim)
+    stream = spark.readStream.schema("shard bigint, key bigint, length int, ts timestamp").option("maxFilesPerTrigger", 2).parquet(slim)
+    batches = streams.batch_stream(stream, 4096, 64, 768, pool=16)
+    running = batches.writeStream.format("parquet").option("checkpointLocation", scratch(spark)).option("path", out).trigger(availableNow=True).start()
     running.awaitTermination()
-    made = spark.read.schema("shard bigint, batch bigint, key bigint, width int").parquet(out)
-    left = spark.read.schema("shard bigint, key bigint, length int").parquet(slim).join(made.select("shard", "key"), ["shard", "key"], "left_anti")
-    width = F.least(F.lit(768), F.ceil(F.col("length") / 64) * 64).cast("int").alias("width")
-    return made.union(left.select("shard", F.lit(-1).cast("bigint").alias("batch"), "key", width))
+    return spark.read.schema(streams.BATCHES).parquet(out).where("shard >= 0").select("shard", "batch", "key", "width")
 
 
 @query(f"WITH {STK} SELECT id, count(DISTINCT stroke) AS n_paths, (count(*) - count(DISTINCT stroke) + sum((one)::INT))::BIGINT AS n_lines FROM (SELECT *, count(*) OVER (PARTITION BY id, stroke) = 1 AS one FROM stk) GROUP BY id")
