@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strokelake.functions.arrays import uniform
@@ -26,6 +27,19 @@ def one_word(text: Column, limit: int) -> Column:
     return (F.octet_length(text) <= limit) & (F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) == 1)
 
 
+def words_kept(rows: DataFrame, text: str, limit: int, name: str = "words") -> tuple[DataFrame, Observation]:
+    """The rows whose text is one word within the limit, and an observation that counts those and the dropped ones by reason.
+
+    The counts are there once the rows have been written or collected; they cost no pass of their own.
+    """
+    long = F.octet_length(text) > limit
+    one = one_word(F.col(text), limit)
+    reason = F.when(F.col(text).isNull(), "no text").when(long, "too long").when(~one, "not one word").otherwise("kept")
+    counts = Observation(f"{name}-{uuid.uuid4().hex}")
+    seen = rows.observe(counts, *[F.count(F.when(reason == r, 1)).alias(r) for r in ("kept", "too long", "not one word", "no text")])
+    return seen.where(one), counts
+
+
 def held_out_writers(rows: DataFrame, k: int, source: str = "source", writer: str = "writer") -> DataFrame:
     """Rows (source, writer) held out by hash, of sources with at least k writers."""
     writers = rows.select(source, writer).distinct()

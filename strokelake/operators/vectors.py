@@ -159,14 +159,21 @@ def ridge_r2(rows: DataFrame, features: str, target: str, fold: Column, folds: i
 
 
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row (n, mark): an order-free mark of a table's content for freshness checks."""
-    line = F.crc32(F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary"))
-    return rows.agg(F.count("*").alias("n"), F.bit_xor(line).alias("mark"))
+    """One row (n, mark): an order-free mark of a table's content for freshness checks; see `multiset_mark`."""
+    return rows.agg(F.count("*").alias("n"), multiset_mark(*columns).alias("mark"))
+
+
+def multiset_mark(*columns: str) -> Column:
+    """An aggregate: 32 hex digits, the sums of the rows' MD5 words, each modulo 2 ** 32. Rows count as often as they occur,
+    so a row that is there twice does not cancel, and parts of a table can be marked in any order."""
+    line = F.md5(F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary"))
+    word = lambda i: F.conv(F.substring(line, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")  # noqa: E731  sums pass 2 ** 63 at 2 ** 31 rows
+    return F.concat(*[F.lpad(F.lower(F.hex((F.coalesce(F.sum(word(i)), F.lit(0)) % (1 << 32)).cast("bigint"))), 8, "0") for i in range(4)])
 
 
 def column_marks(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows (column, mark): an order-free mark of each column's texts with their keys, in one pass."""
-    marks = [F.bit_xor(F.crc32(F.concat_ws("\n", F.col(key).cast("string"), F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("binary"))).alias(c) for c in columns]
+    marks = [multiset_mark(key, c).alias(c) for c in columns]
     return rows.agg(*marks).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("mark")) for c in columns])))
 
 

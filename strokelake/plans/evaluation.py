@@ -18,7 +18,7 @@ from strokelake.plans.registry import query, table
 from strokelake.plans.sampling import picks, u
 from strokelake.plans.scoring import SCORED, scored
 from strokelake.plans.tokens import GRID, WALK, tokens
-from strokelake.plans.vectors import MEANS, VEC, base, label_means
+from strokelake.plans.vectors import MEANS, VEC, base, label_means, mark
 from strokelake.sources.scratch import scratch, written
 
 VOCABULARY = 10
@@ -155,8 +155,8 @@ def v09_masked_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", mean.alias("m")).select("id", F.round(F.col("m")[0], 6).alias("x"), F.round(F.col("m")[1], 6).alias("y"))
 
 
-@query(f"""WITH tab AS (SELECT {CRC} AS t), now AS (SELECT bit_xor({crc("o_orderkey::VARCHAR || chr(10) || o_orderstatus")}) AS a, bit_xor({crc("o_orderkey::VARCHAR || chr(10) || o_orderpriority")}) AS b,
-  bit_xor({crc("o_orderkey::VARCHAR || chr(10) || lower(o_orderpriority)")}) AS c FROM orders, tab) SELECT 'o_orderstatus' AS "column" FROM now UNION ALL SELECT 'o_orderpriority' FROM now WHERE b = c""")
+@query(f"""WITH now AS (SELECT {mark("o_orderkey::VARCHAR || chr(10) || o_orderpriority")} AS b, {mark("o_orderkey::VARCHAR || chr(10) || lower(o_orderpriority)")} AS c FROM orders)
+SELECT 'o_orderstatus' AS "column" FROM now UNION ALL SELECT 'o_orderpriority' FROM now WHERE b = c""")
 def a08_fresh_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks recorded before one column's texts changed: it is dropped as stale."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
@@ -283,13 +283,12 @@ def b12_bend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(ink.select("id", augment.bent(F.col("strokes"), how).alias("strokes")))
 
 
-@query(f"WITH {PTS} SELECT id, label, CASE WHEN writer % 2 = 0 THEN 'walk' ELSE 'bytes' END AS name, (CASE WHEN writer % 2 = 0 THEN NULL ELSE list_concat(list_transform(range(least(length(label), 15)), lambda i: ascii(label[i + 1]) + 1), [257], list_transform(range(15 - least(length(label), 15)), lambda i: 0)) END) AS tokens FROM words WHERE writer % 2 = 1")
+@query(f"WITH {PTS} SELECT id, label, list_concat(list_transform(range(least(length(label), 15)), lambda i: ascii(label[i + 1]) + 1), [257], list_transform(range(15 - least(length(label), 15)), lambda i: 0)) AS tokens FROM words")
 def u01_tokenizer_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels through the tokenizer that is named, here bytes for every second writer."""
+    """All writers' labels through the tokenizer that is named, here bytes."""
     from strokelake.operators import plugins
 
-    rows = ink_events(spark, sf_dir).where("writer % 2 = 1").withColumn("name", F.lit("bytes"))
-    return plugins.tokenized(rows, "bytes", F.col("label"), 16).select("id", "label", "name", "tokens")
+    return plugins.tokenized(ink_events(spark, sf_dir), "bytes", F.col("label"), 16).select("id", "label", "tokens")
 
 
 @query("""WITH d AS (SELECT doc_id, lang FROM documents) SELECT doc_id, length(lang)::DOUBLE AS first, ascii(lang)::DOUBLE AS second FROM d""")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from strokelake.functions.arrays import dot, norm
 from strokelake.operators import vectors as v
-from strokelake.plans.quality import CRC, crc
 from strokelake.plans.registry import query, table
 
 VEC = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
@@ -129,6 +128,11 @@ def v07_neighbour_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(a.select((F.col("vec_id") - 7).alias("vec_id"), F.col("v").alias("w")), "vec_id").select("vec_id", F.round(dot(F.col("v"), F.col("w")), 6).alias("c"))
 
 
-@query(f"WITH tab AS (SELECT {CRC} AS t) SELECT count(*) AS n, bit_xor({crc('o_orderkey::VARCHAR || chr(10) || o_orderstatus')}) AS mark FROM orders, tab")
+def mark(line: str) -> str:
+    """SQL of a multiset mark."""
+    return " || ".join(f"printf('%08x', (coalesce(sum(('0x' || substr(md5({line}), {1 + 8 * i}, 8))::BIGINT), 0) % 4294967296)::BIGINT)" for i in range(4))
+
+
+@query(f"SELECT count(*) AS n, {mark('o_orderkey::VARCHAR || chr(10) || o_orderstatus')} AS mark FROM orders")
 def a08_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.fingerprint(table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus"])
