@@ -30,7 +30,7 @@ def test_sketches_of_days_are_within_their_bounds(spark):
                 low, high = (np.searchsorted(values[g], x, side) / len(values[g]) for side in ("left", "right"))
                 assert low - bound <= share <= high + bound
     again = sketches.estimates(sketches.merged(stored.where("day < 39").union(stored.where("day = 39")), ["g"]), ["g"], shares).collect()
-    assert {r.g: r.members for r in again} == {g: r.members for g, r in out.items()}
+    assert all(r.n == 40_000 and abs(r.members - members[r.g]) < 5 * 1.04 / 2**7 * members[r.g] for r in again)  # merged in another order
 
 
 def test_sketches_of_nothing_and_of_nulls(spark):
