@@ -4,13 +4,16 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 stage's docs. All but the last return the columns of documents, in their order; columns that are not used, also ones whose
 names clash with an operator's own, come through as they are. An empty table gives an empty result in every stage.
 
-The tables that a stage's operators write on the way are emptied by `run` once the stage's result is written; a stage called by
-itself keeps them, so its DataFrame can be read again whatever runs beside it.
+A stage names its result in the metadata of doc_id, which Parquet keeps. When a stage is given the written result of another, the
+tables that the other's operators wrote on the way are emptied, those of that one call and no others: so a stage's DataFrame can
+be read again until a stage begins over what was written from it, whatever else runs beside it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +21,36 @@ from strokelake.llm import host_rules, jaccard_join, line_dedup, mixing, packing
 from strokelake.llm.common import emptied, noted, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+RUN = "made_by"
+_made: dict[str, list[DataFrame]] = {}
 
 
+def given_back(docs: DataFrame) -> list[DataFrame]:
+    """Empties what the stage that made docs wrote on the way, but for tables that docs still reads, which are returned."""
+    tables = _made.pop(docs.schema["doc_id"].metadata.get(RUN, ""), [])
+    read = set(docs.inputFiles()) if tables else set()
+    kept = [t for t in tables if not read.isdisjoint(t.inputFiles())]
+    for table in tables:
+        if table not in kept:
+            emptied(table)
+    return kept
+
+
+def tidy(stage: Stage) -> Stage:
+    """The stage, which begins by giving back what its docs no longer need."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        kept, made = given_back(docs), uuid.uuid4().hex
+        with noted() as tables:
+            out = stage(spark, docs, sf_dir)
+        _made[made] = kept + tables
+        return out.withMetadata("doc_id", {RUN: made})
+
+    return run_stage
+
+
+@tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text and host pass the rules.
 
@@ -29,6 +60,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return host_rules.keep_good(docs)
 
 
+@tidy
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat an earlier line or are within the edit bound of one; documents that lose every line go.
 
@@ -38,6 +70,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return line_dedup.deduplicated(docs)
 
 
+@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links by five-word shingles at a similarity of 0.8 or more: the least doc_id.
 
@@ -46,6 +79,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard_join.one_per_group(docs, width=5, p=8, q=10)
 
 
+@tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources brought to their target weights: documents repeated, left out, or cut at their source's budget.
 
@@ -54,6 +88,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+@tidy
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and place. Null and empty texts give the end id alone; repeated rows are packed one by one."""
     return packing.pack_documents(docs)
@@ -74,10 +109,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        with noted() as tables:
-            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        kept = set(docs.inputFiles())
-        for table in tables:
-            if kept.isdisjoint(table.inputFiles()):
-                emptied(table)
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    given_back(docs)
     return docs

@@ -68,3 +68,14 @@ def test_stages_beside_each_other(spark):
     corpus_pipeline.mix_sources(spark, docs, str(SF)).count()
     corpus_pipeline.run(spark, str(SF)).count()
     assert first.count() == n
+
+
+def test_a_written_result_gives_back_its_own_tables_alone(spark):
+    docs = spark.read.parquet(str(SF / "documents.parquet"))
+    first, other = (corpus_pipeline.line_dedup_stage(spark, docs, str(SF)) for _ in range(2))
+    n = first.count()
+    left = corpus_pipeline.written(first, "stage")
+    corpus_pipeline.mix_sources(spark, left, str(SF)).count()
+    assert left.count() == other.count() == n  # the other call's tables are there
+    lazy = corpus_pipeline.mix_sources(spark, other, str(SF))  # reads the other's tables itself
+    assert lazy.count() == corpus_pipeline.mix_sources(spark, left, str(SF)).count()
