@@ -44,11 +44,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits the pages' records against a replica in which every 97th page has its letters e turned into 3."""
+    """Audits the pages' records against a replica in which every 97th page has its letters e turned into 3, and in every run of
+    89 pages two records have changed places."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     damaged = pages.withColumn("html", F.when(F.col("page_id") % 97 == 13, F.translate("html", "e", "3")).otherwise(F.col("html")))
-    out = warc_fixity.audited(warc_fixity.records(pages), warc_fixity.records(damaged))
-    return out.select("page_id", "file_id", "place", "offset", "length", "hash", "intact")
+    step = F.when(F.col("page_id") % 89 == 7, 1).when(F.col("page_id") % 89 == 8, -1).otherwise(0)
+    theirs = warc_fixity.records(damaged).withColumn("page_id", F.col("page_id") + step)
+    out = warc_fixity.audited(warc_fixity.records(pages), theirs)
+    return out.select("page_id", "file_id", "volume", "place", "offset", "length", "hash", "intact", "moved")
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,9 +167,13 @@ r AS (SELECT page_id, page_id // 1000 AS file_id, html, concat('WARC/1.1', chr(1
   substr(m, 1, 8), '-', substr(m, 9, 4), '-', substr(m, 13, 4), '-', substr(m, 17, 4), '-', substr(m, 21, 12), '>', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10),
   'WARC-Date: 1970-01-01T00:00:00Z', chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', strlen(html), chr(13), chr(10), chr(13), chr(10), html,
   chr(13), chr(10), chr(13), chr(10)) AS record FROM p),
-h AS (SELECT page_id, file_id, sha256(record) AS hash, strlen(record)::BIGINT AS length, NOT (page_id % 97 = 13 AND contains(html, 'e')) AS intact FROM r)
-SELECT page_id, file_id, row_number() OVER w - 1 AS place, coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", length, hash, intact
-FROM h WINDOW w AS (PARTITION BY file_id ORDER BY page_id, hash)
+h AS (SELECT page_id, file_id, sha256(record) AS hash, strlen(record)::BIGINT AS length, NOT (page_id % 97 = 13 AND contains(html, 'e')) AS intact FROM r),
+n AS (SELECT file_id, count(DISTINCT (page_id, hash)) AS n FROM h GROUP BY file_id),
+v AS (SELECT h.*, CASE WHEN n > 4000 THEN ('0x' || substr(hash, 9, 8))::BIGINT % ceil(n / 1000)::BIGINT ELSE 0 END::INT AS volume FROM h JOIN n USING (file_id)),
+k AS (SELECT DISTINCT file_id, volume, page_id + CASE page_id % 89 WHEN 7 THEN 1 ELSE -1 END AS page_id FROM v WHERE intact AND page_id % 89 IN (7, 8))
+SELECT v.page_id, v.file_id, v.volume, row_number() OVER w - 1 AS place, coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", length, hash, intact,
+  intact AND v.page_id % 89 IN (7, 8) AND k.page_id IS NOT NULL AS moved
+FROM v LEFT JOIN k ON v.file_id = k.file_id AND v.volume = k.volume AND v.page_id = k.page_id WINDOW w AS (PARTITION BY v.file_id, v.volume ORDER BY v.page_id, hash)
 """
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -220,11 +222,12 @@ def test_warc(spark, tmp_path):
         assert [o for _, o, _ in ranges] == [sum(n for _, _, n in ranges[:i]) for i in range(len(ranges))]
     missing = warc_fixity.audited(ours, warc_fixity.records(pages.where("NOT page_id <=> 2000")))
     assert [r.page_id for r in missing.where("NOT intact").collect()] == [2000]
-    mine, odd = warc_fixity.compared(warc_fixity.records(pages.where("NOT page_id <=> 1500")), ours)
+    both, odd, moved = warc_fixity.compared(warc_fixity.records(pages.where("NOT page_id <=> 1500")), ours)
     gone = odd.collect()
-    assert [(r.side, r.file_id) for r in gone] == [("theirs", 1)]
+    assert [(r.side, r.file_id, r.matched) for r in gone] == [("theirs", 1, 0)] and moved.count() == 0
     at = {r.place: r for r in warc_fixity.leaves(ours).where("file_id = 1").collect()}[gone[0].place]
-    assert (at.page_id, at.offset, at.length) == (1500, gone[0].offset, gone[0].length)
+    there = both.where("side = 'theirs' AND page_id = 1500").first()
+    assert at.page_id == 1500 and (at.place, at.offset, at.length) == (there.place, there.offset, there.length)
     twice = warc_fixity.records(pages.where("page_id = 3").union(pages.where("page_id = 3")).union(pages.where("page_id = 4")))
     assert [r.page_id for r in warc_fixity.audited(twice, warc_fixity.records(pages.where("page_id IN (3, 4)"))).where("NOT intact").collect()] == [3]
     raw = b"".join(bytes(r.record) for r in ours.where("file_id = 0").orderBy("page_id").collect())
@@ -234,6 +237,64 @@ def test_warc(spark, tmp_path):
     assert warc_fixity.audited(ours.where("false"), ours.where("false")).count() == 0
 
 
+def test_warc_order_and_hot_pages(spark):
+    """Lost, added, changed, repeated and moved records, against lists; a page_id that holds most rows is cut into volumes."""
+    shape = "file_id long, page_id long, record binary"
+    rng = np.random.default_rng(5)
+    ours = [(0, i, b"r%d" % i) for i in range(700)] + [(1, i, b"s%d" % (i // 3)) for i in range(300)] + [(2, 5, b"same")] * 900 + [(2, 6, b"t%d" % i) for i in range(900)]
+    theirs = [list(r) for r in ours]
+    theirs[3][1], theirs[4][1] = 4, 3  # neighbours
+    theirs[40][1], theirs[600][1] = 600, 40  # far apart
+    for i in range(100, 164):  # a run behind another run
+        theirs[i][1], theirs[i + 100][1] = i + 100, i
+    for i in rng.choice(len(theirs), 40, replace=False):
+        theirs[i][2] = theirs[i][2] + b"!"
+    theirs = [tuple(r) for k, r in enumerate(theirs) if k % 191 != 17] + [(0, 350, b"new"), (3, 1, b"other")]
+    make = lambda rows: spark.createDataFrame(rows, shape)
+    got = warc_fixity.audited(make(ours), make(theirs), most=400, per_file=200).collect()
+    volume = {r.hash: r.volume for r in got}
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    assert {v for h, v in volume.items() if h in {digest(b"t%d" % i) for i in range(900)}} == set(range(5))  # 901 records, 200 a volume
+
+    def laid(rows):
+        files: dict = {}
+        for f, p, b in rows:
+            h = digest(b)
+            parts = {0: 4, 2: 5}.get(f, 0)
+            files.setdefault((f, int(h[8:16], 16) % parts if parts else 0), []).append((p, h))
+        runs = {}
+        for key, members in files.items():
+            counts = Counter(members)
+            runs[key] = [(p, h, counts[p, h]) for p, h in sorted(counts)]
+        return runs
+
+    mine, other, want = laid(ours), laid(theirs), []
+    for key, runs in mine.items():
+        seen, there = Counter(), {}
+        for at, (_, h, n) in enumerate(other.get(key, [])):
+            seen[h] += 1
+            there[h, seen[h]] = (at, n)
+        seen, pairs = Counter(), []
+        for at, (_, h, n) in enumerate(runs):
+            seen[h] += 1
+            if (h, seen[h]) in there:
+                pairs.append((at, *there[h, seen[h]], n))
+        before = 0
+        ahead = {at: sum(min(n, m) for _, t2, m, n in pairs if t2 < t) for at, t, _, _ in pairs}
+        state = {}
+        for at, _, m, n in pairs:
+            state[at] = (min(n, m), ahead[at] != before)
+            before += min(n, m)
+        for at, (p, h, n) in enumerate(runs):
+            k, away = state.get(at, (0, False))
+            want += [(*key, p, h, i < k, away and i < k) for i in range(n)]
+    assert sorted((r.file_id, r.volume, r.page_id, r.hash, r.intact, r.moved) for r in got) == sorted(want)
+    assert sum(w[5] for w in want) > 130 and sum(not w[4] for w in want) > 40
+    for key in mine:
+        ranges = sorted((r.place, r.offset, r.length) for r in got if (r.file_id, r.volume) == key)
+        assert [(p, o) for p, o, _ in ranges] == [(i, sum(n for _, _, n in ranges[:i])) for i in range(len(ranges))]
+
+
 def test_recall_on_the_given_vectors(spark):
     """Of the true twenty nearest of each query, at least nine in ten are found; queries are the rows whose id divides by 20."""
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
