@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strokelake.functions import geometry as g
@@ -10,10 +10,10 @@ from strokelake.functions.arrays import indices, let, total
 from strokelake.operators.sampling import numbered
 
 
-def densify(ink: DataFrame, step: float) -> DataFrame:
-    """Rows (id, pos, x, y, pen): pen-down segments cut into equal parts no longer than `step`; pen-up ones stay."""
+def filled(points: Column, step: float | Column) -> Column:
+    """Pen-down segments cut into equal parts no longer than `step`; pen-up ones stay."""
 
-    def filled(p):
+    def whole(p: Column) -> Column:
         def parts(q, i):
             nxt = F.get(p, i + 1)
             n = F.when(nxt.isNull() | (q["pen"] != 1), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.hypot(nxt["x"] - q["x"], nxt["y"] - q["y"]) / step).cast("int")))
@@ -22,7 +22,12 @@ def densify(ink: DataFrame, step: float) -> DataFrame:
 
         return F.flatten(F.transform(p, parts))
 
-    return ink.select("id", F.posexplode(let(F.col("points"), filled)).alias("pos", "p")).select("id", "pos", "p.*")
+    return let(points, whole)
+
+
+def densify(ink: DataFrame, step: float) -> DataFrame:
+    """Rows (id, pos, x, y, pen) of filled points."""
+    return ink.select("id", F.posexplode(filled(F.col("points"), step)).alias("pos", "p")).select("id", "pos", "p.*")
 
 
 def sheet(ink: DataFrame, columns: int, gap: float) -> DataFrame:
@@ -91,14 +96,19 @@ def layout(words: DataFrame, width: float, pitch: float, gap: float) -> DataFram
     return line.select(F.inline(F.aggregate("w", start, put, lambda a: a["out"])))
 
 
-def baseline(ink: DataFrame, height: float, share: float = 0.95) -> DataFrame:
-    """Rows (id, baseline): the lowest window of `height` that holds at least `share` of the fullest window's points."""
+def lowest_full_window(strokes: Column, height: float | Column, share: float = 0.95) -> Column:
+    """Foot of the lowest window of `height` that holds at least `share` of the fullest window's points."""
 
     def of(y):
         counts = F.transform(y, lambda b: F.struct(b.alias("b"), F.size(F.filter(y, lambda v: (v > b - height) & (v <= b))).alias("n")))
-        return let(counts, lambda c: F.array_max(F.transform(F.filter(c, lambda q: q["n"] >= share * F.array_max(F.transform(c, lambda r: r["n"]))), lambda q: q["b"])))
+        return let(counts, lambda c: let(share * F.array_max(F.transform(c, lambda r: r["n"])), lambda least: F.array_max(F.transform(F.filter(c, lambda q: q["n"] >= least), lambda q: q["b"]))))
+
+    return let(F.transform(F.flatten(strokes), lambda p: p["y"]), of)
 
-    return ink.select("id", let(F.transform(F.flatten("strokes"), lambda p: p["y"]), of).alias("baseline"))
+
+def baseline(ink: DataFrame, height: float, share: float = 0.95) -> DataFrame:
+    """Rows (id, baseline)."""
+    return ink.select("id", lowest_full_window(F.col("strokes"), height, share).alias("baseline"))
 
 
 def ink_by_writer(ink: DataFrame) -> DataFrame:

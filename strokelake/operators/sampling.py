@@ -19,6 +19,18 @@ def split(rows: DataFrame, key: str, source: str, most_test: int = 1000, share:
     return rows.join(test, F.col(key) == F.col("_k"), "left").withColumn("part", F.coalesce("_p", F.lit("train"))).drop("_k", "_p")
 
 
+def split_by_tables(rows: DataFrame, tests: DataFrame, key: str, source: str, most_train: int | None = None, seed: str = "split") -> DataFrame:
+    """Adds `part` where test tables are given: every row of `tests` is test and no row of its key trains; of the others at most
+    `most_train` a source train, in hash order, and the rest are left out. A test row needs no twin among the rows.
+
+    Null keys are no test keys. Each task hands on `most_train` rows a source, however large the source.
+    """
+    train = rows.join(tests.select(F.col(key).alias("_k")).where("_k IS NOT NULL").distinct(), F.col(key) == F.col("_k"), "left_anti")
+    if most_train is not None:
+        train = first_by_hash(train, key, source, most_train, seed)
+    return train.withColumn("part", F.lit("train")).unionByName(tests.select(*rows.columns, F.lit("test").alias("part")))
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
     """Adds `name`, the place of each row in the order, from 0. Rows are range-sorted and written once; a range starts where
     the counts before it end, so no task sorts all rows, and a key of many rows is no group."""
@@ -104,6 +116,14 @@ def weighted_sample(rows: DataFrame, n: int, key: str, weight: Column, seed: str
     return rows.withColumn("_k", order).orderBy(F.desc("_k"), key).limit(n).drop("_k")
 
 
+def weighted_sample_by(rows: DataFrame, n: int, by: str, key: str, weight: Column, seed: str = "sample") -> DataFrame:
+    """At most n rows of each group without replacement, by weight: the largest ln(u) / w, n a group from each task. Rows with no
+    weight over zero are never drawn."""
+    order = F.ln(F.greatest(uniform(seed, F.col(key)), F.lit(1e-12))) / weight
+    w = Window.partitionBy(by).orderBy(F.desc("_k"), key)
+    return rows.where(weight > 0).withColumn("_k", order).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_k", "_r")
+
+
 def join_words(words: DataFrame, seq: str, place: str, tokens: str, size: str, block: int, limit: int) -> DataFrame:
     """Words of a sequence up to the first that would overflow: two more tokens between words, one more byte between texts.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strokelake.operators.sampling import percentiles
+from strokelake.sources.scratch import written
 
 
 def bigram_scores(tokens: DataFrame, vocabulary: int) -> DataFrame:
@@ -122,13 +123,22 @@ def heat(cells: DataFrame, kernel: dict[tuple[int, int], float]) -> DataFrame:
     return counts.select("x", "y", "n", F.inline(spread)).groupBy((F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y")).agg(F.sum(F.col("n") * F.col("w")).alias("mass"))
 
 
-def half_mass_level(heat_map: DataFrame) -> DataFrame:
-    """One row (level): the mass at which the fullest cells hold half of all. Equal masses are counted together first,
-    so the running sum is over distinct values."""
+def half_mass_level(heat_map: DataFrame, share: float = 0.5) -> DataFrame:
+    """One row (level): the mass at which the fullest cells hold `share` of all, null without cells.
+
+    Distinct masses are dealt into ranges and written; the sums of the ranges tell which one holds the level, and only
+    that range is summed in order.
+    """
     by = heat_map.groupBy("mass").agg(F.sum("mass").alias("m"))
-    order = Window.orderBy(F.desc("mass"))
-    total = F.sum("m").over(Window.partitionBy())
-    return by.withColumns({"_c": F.sum("m").over(order), "_t": total}).where(F.col("_c") >= F.col("_t") / 2).agg(F.max("mass").alias("level"))
+    ranged = written(by.repartitionByRange(F.desc("mass")).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy("_part").agg(F.sum("m").alias("_m"))  # a row for each range
+    so_far = F.sum("_m").over(Window.orderBy("_part"))
+    placed = sums.select("_part", "_m", so_far.alias("_to"), (F.sum("_m").over(Window.partitionBy()) * share).alias("_want")).where("_to >= _want")
+    cut = placed.orderBy("_part").limit(1).select("_part", (F.col("_want") - F.col("_to") + F.col("_m")).alias("_left"))
+    inside = F.sum("m").over(Window.partitionBy("_part").orderBy(F.desc("mass")))
+    ran = ranged.join(F.broadcast(cut), "_part").withColumn("_c", inside)  # one row is broadcast
+    # rounding can put the level past its range's last sum: then it is the least mass there
+    return ran.agg(F.coalesce(F.max(F.when(F.col("_c") >= F.col("_left"), F.col("mass"))), F.min("mass")).alias("level"))
 
 
 def extremes(rows: DataFrame, measure: str, key: str, k: int) -> DataFrame:

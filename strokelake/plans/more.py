@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strokelake.functions.arrays import uniform
-from strokelake.operators import augment, resample, spline
+from strokelake.operators import augment, resample, spline, standard
 from strokelake.operators import sampling as s
 from strokelake.plans.adapters import PTS, STK, exploded, ink_events, ink_points, ink_strokes
 from strokelake.plans.registry import query, table
 from strokelake.plans.sampling import u
+from strokelake.sources.scratch import written
 
 PATH = f"""{STK}, dd AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS d FROM stk WINDOW w AS (PARTITION BY id, stroke ORDER BY pos)),
 pn AS (SELECT id, stroke, x, y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY id, stroke) AS n, lag(x) OVER w AS xm, lag(y) OVER w AS ym, lead(x) OVER w AS xa, lead(y) OVER w AS ya,
@@ -63,6 +64,51 @@ def e06_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(augment.standardised(ink_strokes(spark, sf_dir).select("id", "writer", "strokes"), frames))
 
 
+def resampled(name: str, scales: str) -> str:
+    """SQL for the points (id, stroke, j, x, y) of the paths at the scales k of rows (id, k), resampled, still unscaled."""
+    return f"""{name}l AS (SELECT id, stroke, l, k, CASE WHEN l > 0 THEN greatest(1, round_even(l * k / {standard.SPACING}, 0)) ELSE 0 END::INT AS n FROM ln JOIN {scales} USING (id)),
+{name}s AS (SELECT id, stroke, j, least(l, l * j / greatest(n, 1)) AS s FROM (SELECT *, unnest(range(n + 1)) AS j FROM {name}l)),
+{name} AS (SELECT t.id, t.stroke, t.j, x + coalesce((nx - x) * (s - lo) / d, 0) AS x, y + coalesce((ny - y) * (s - lo) / d, 0) AS y FROM {name}s t ASOF JOIN dn ON t.id = dn.id AND t.stroke = dn.stroke AND t.s >= dn.lo)"""
+
+
+@query(f"""WITH {PATH}, st AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM path WINDOW w AS (PARTITION BY id, stroke ORDER BY k)),
+sd AS (SELECT *, sqrt(power(nx - x, 2) + power(ny - y, 2)) AS d FROM st), ln AS (SELECT id, stroke, coalesce(sum(d), 0) AS l FROM sd GROUP BY ALL),
+dn AS (SELECT id, stroke, x, y, nx, ny, d, coalesce(sum(d) OVER (PARTITION BY id, stroke ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM sd),
+wd AS (SELECT id, writer % 5 AS frame, CASE WHEN writer % 5 = 0 THEN upper(label[1:2]) ELSE label[1:2] END AS text FROM words),
+sh AS (SELECT id, quantile_cont(y, 0.98) - quantile_cont(y, 0.02) AS h, quantile_cont(y, 0.95) - quantile_cont(y, 0.05) AS ih, arg_min(x, seq) AS x0 FROM stk GROUP BY id),
+ws AS (SELECT *, regexp_full_match(text, '[{standard.SHORT}]{{2,}}') AS short FROM wd JOIN sh USING (id)),
+f1 AS (SELECT frame, CASE WHEN count(*) FILTER (short) >= 5 THEN 'words' ELSE 'ink' END AS how, CASE WHEN count(*) FILTER (short) >= 5 THEN 0.123 / median(h) FILTER (short) ELSE 0.22 / greatest(median(ih), 1e-9) END AS k FROM ws GROUP BY frame),
+tr AS (SELECT id, k FROM ws JOIN f1 USING (frame) WHERE short AND how = 'words'), {resampled('ta', 'tr')},
+tm AS (SELECT frame, median(h) AS got FROM (SELECT id, k * (quantile_cont(y, 0.98) - quantile_cont(y, 0.02)) AS h FROM ta JOIN tr USING (id) GROUP BY id, k) JOIN wd USING (id) GROUP BY frame),
+f2 AS (SELECT frame, how, k * coalesce(0.123 / got, 1) AS k FROM f1 LEFT JOIN tm USING (frame)),
+fk AS (SELECT id, x0, how, k, 0.123 / k * CASE WHEN text = upper(text) THEN 2 ELSE 1 END AS tall FROM ws JOIN f2 USING (frame)),
+ct AS (SELECT a.id, a.y AS b, count(*) AS n FROM stk a JOIN fk USING (id) JOIN stk p ON a.id = p.id AND p.y > a.y - tall AND p.y <= a.y GROUP BY a.id, a.stroke, a.pos, a.y),
+bl AS (SELECT id, max(b) AS y0 FROM ct JOIN (SELECT id, max(n) AS m FROM ct GROUP BY id) USING (id) WHERE n >= 0.95 * m GROUP BY id), {resampled('fa', 'fk')}
+SELECT fa.id, any_value(how) AS how, round(any_value(k), 6) AS scale, count(*) AS n, round(avg(round((x - x0) * k, 5)), 4) AS x, round(avg(round((y - y0) * k, 5)), 4) AS y
+FROM fa JOIN fk USING (id) JOIN bl USING (id) GROUP BY fa.id""")
+def e06_corrected_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five sheets of writers, one of them in capitals, brought to one x-height with a correcting pass: each word's points and their middle."""
+    sheet = F.col("writer") % 5
+    text = F.substring("label", 1, 2)
+    ink = ink_strokes(spark, sf_dir).select(sheet.alias("frame"), "id", F.when(sheet == 0, F.upper(text)).otherwise(text).alias("text"), "strokes")
+    ink = written(ink)
+    scales = written(standard.frame_scales(ink))
+    each = standard.standardised(ink, scales).groupBy("frame", "id").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("x"), F.round(F.avg("y"), 4).alias("y"))
+    return each.join(scales, "frame").select("id", "how", F.round("scale", 6).alias("scale"), "n", "x", "y")
+
+
+@query(f"""WITH t AS (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'), r AS (SELECT o_orderkey AS key, o_orderstatus AS source, o_totalprice AS w FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM t)),
+tr AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY source ORDER BY {u('split', 'key')}, key) <= 3000)
+SELECT source, key FROM tr WHERE w > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY ln(greatest({u('sample', 'key')}, 1e-12)) / w DESC, key) <= 400""")
+def f05_sources_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """400 rows a source by weight, out of at most 3,000 that train beside a fixed test table."""
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("source"), F.col("o_totalprice").cast("double").alias("w"))
+    tests = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("source"), F.col("o_totalprice").cast("double").alias("w"))
+    parts = s.split_by_tables(rows, tests, "key", "source", 3000)
+    return s.weighted_sample_by(parts.where("part = 'train'"), 400, "source", "key", F.col("w")).select("source", "key")
+
+
 @query("""WITH r AS (SELECT label, vec_id, round(embedding[1]::DOUBLE, 5) AS q, round(embedding[2]::DOUBLE, 5) AS a FROM embeddings),
 d AS (SELECT label, vec_id, q, lead(q) OVER w AS q2, a - lead(a) OVER w AS a FROM r WINDOW w AS (PARTITION BY label ORDER BY q DESC, vec_id)) SELECT label, vec_id, round(a, 6) AS a FROM d WHERE q > q2""")
 def e18_pair_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
