@@ -128,14 +128,26 @@ def learn_merges(runs: DataFrame, n_merges: int, min_count: int = 20) -> list[tu
     return rules
 
 
+def _rule_table(rules: list[tuple[int, int, int]]) -> Column:
+    none = F.array().cast("array<struct<pair:string,new:string>>")
+    return F.array(*[F.struct(F.lit(character(a) + character(b)).alias("pair"), F.lit(character(new)).alias("new")) for a, b, new in rules]) if rules else none
+
+
+def merged(tokens: Column, rules: list[tuple[int, int, int]]) -> Column:
+    """Merged tokens of a word as an expression: no shuffle and no Python, but a run is merged anew in each word.
+
+    Rules never hold a pen token, so a whole word is rewritten at once, its pens in place.
+    """
+    whole = F.aggregate(_rule_table(rules), coded(tokens), lambda text, r: F.replace(text, r["pair"], r["new"]))
+    return F.when(F.size(tokens) > 0, decoded(whole)).when(tokens.isNotNull(), F.array().cast("array<int>"))
+
+
 def apply_in_order(tokens: DataFrame, rules: list[tuple[int, int, int]], column: str = "tokens") -> DataFrame:
     """Replaces the token column by its merged form, one rule after the other over distinct runs.
 
     Each run of moves is merged once, by one fold over the table of rules, and joined back.
     """
-    none = F.array().cast("array<struct<pair:string,new:string>>")
-    table = F.array(*[F.struct(F.lit(character(a) + character(b)).alias("pair"), F.lit(character(new)).alias("new")) for a, b, new in rules]) if rules else none
-    whole = F.aggregate(table, coded(F.col("run")), lambda text, r: F.replace(text, r["pair"], r["new"]))
+    whole = F.aggregate(_rule_table(rules), coded(F.col("run")), lambda text, r: F.replace(text, r["pair"], r["new"]))
     done = written(move_runs(tokens, column).select(F.col("run").alias("_run"), decoded(whole).alias("run")))
     t = F.col(column)
     places = let(t, lambda x: F.concat(F.array(F.lit(-1)), F.filter(indices(x), lambda i: F.get(x, i).isin(DOWN, UP)), F.array(F.size(x))))

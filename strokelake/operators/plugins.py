@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 
 from strokelake.functions import walk
 from strokelake.functions.arrays import let
+from strokelake.operators import bpe, polar
+
+
+def merged_walk(points: Column, grid: float, rules: list[tuple[int, int, int]]) -> Column:
+    """The walk under rules learned here or read from a vocabulary file."""
+    return let(walk.encode(points, grid), lambda t: bpe.merged(t, rules))
+
 
 # Column functions by name; add to it to plug in another.
-TOKENIZERS: dict[str, Callable[..., Column]] = {"walk": walk.encode, "bytes": walk.byte_tokens, "hints": walk.hint_digits}
+TOKENIZERS: dict[str, Callable[..., Column]] = {"walk": walk.encode, "merged": merged_walk, "polar": polar.tokens, "bytes": walk.byte_tokens, "hints": walk.hint_digits}
 
 
 def tokenized(rows: DataFrame, name: str, *args, into: str = "tokens") -> DataFrame:

@@ -38,13 +38,28 @@ def nearest(value: Column, bins: list[float]) -> Column:
     return F.size(F.filter(middles, lambda m: m <= value))
 
 
+def steps(points: Column, k: int) -> Column:
+    """Structs (angle, radius) of the displacements from the kept point before (the origin first)."""
+
+    def token(d: Column) -> Column:
+        radius = N_ANGLES + nearest(F.hypot(d["dx"], d["dy"]), RADII) + len(RADII) * (d["pen"] != 1).cast("int")
+        return F.struct(nearest(F.atan2(d["dy"], d["dx"]), ANGLES).alias("angle"), radius.alias("radius"))
+
+    def moved(p: Column) -> Column:
+        before = lambda i, c: F.coalesce(F.get(p, i - 1)[c], F.lit(0.0))
+        return F.transform(p, lambda q, i: let(F.struct((q["x"] - before(i, "x")).alias("dx"), (q["y"] - before(i, "y")).alias("dy"), q["pen"].alias("pen")), token))
+
+    return let(thin(points, k), moved)
+
+
+def tokens(points: Column, k: int) -> Column:
+    """One array of angle and radius in turn."""
+    return F.flatten(F.transform(steps(points, k), lambda d: F.array(d["angle"], d["radius"])))
+
+
 def encode(ink: DataFrame, k: int) -> DataFrame:
-    """Rows (id, pos, angle, radius): the displacement from the kept point before (the origin first)."""
-    rows = ink.select("id", thin(F.col("points"), k).alias("p"))
-    deltas = F.transform("p", lambda q, i: F.struct((q["x"] - F.coalesce(F.get("p", i - 1)["x"], F.lit(0.0))).alias("dx"), (q["y"] - F.coalesce(F.get("p", i - 1)["y"], F.lit(0.0))).alias("dy"), q["pen"].alias("pen")))
-    flat = rows.select("id", F.posexplode(deltas).alias("pos", "d"))
-    angle, radius = F.atan2("d.dy", "d.dx"), F.hypot("d.dx", "d.dy")
-    return flat.select("id", "pos", nearest(angle, ANGLES).alias("angle"), (N_ANGLES + nearest(radius, RADII) + len(RADII) * (F.col("d.pen") != 1).cast("int")).alias("radius"))
+    """Rows (id, pos, angle, radius)."""
+    return ink.select("id", F.posexplode(steps(F.col("points"), k)).alias("pos", "d")).select("id", "pos", "d.*")
 
 
 def decode(tokens: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strokelake.functions import walk
+from strokelake.functions import lateral, walk
 from strokelake.operators import bpe, decode, polar, textops
 from strokelake.plans.adapters import PTS, ink_events
 from strokelake.plans.registry import query, table
@@ -168,11 +168,14 @@ def c13_split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIDDLES = {name: [(a + b) / 2 for a, b in zip(bins, bins[1:], strict=False)] for name, bins in (("angle", polar.ANGLES), ("radius", polar.RADII))}
 
 
-@query(f"""WITH {PTS}, o AS (SELECT id, seq, x, y, pen, lag(pen) OVER w AS bp, lead(pen) OVER w AS np FROM pts WINDOW w AS (PARTITION BY id ORDER BY seq)),
+POLAR = f"""WITH {PTS}, o AS (SELECT id, seq, x, y, pen, lag(pen) OVER w AS bp, lead(pen) OVER w AS np FROM pts WINDOW w AS (PARTITION BY id ORDER BY seq)),
 st AS (SELECT *, max(CASE WHEN bp IS NULL OR bp <> 1 THEN seq END) OVER (PARTITION BY id ORDER BY seq) AS start FROM o), k AS (SELECT * FROM st WHERE pen <> 1 OR (seq - start) % 2 = 0 OR np IS NULL OR np <> 1),
 d AS (SELECT id, row_number() OVER w - 1 AS pos, x - coalesce(lag(x) OVER w, 0) AS dx, y - coalesce(lag(y) OVER w, 0) AS dy, pen FROM k WINDOW w AS (PARTITION BY id ORDER BY seq))
 SELECT id, pos::INT AS pos, len(list_filter({MIDDLES['angle']}::DOUBLE[], lambda m: m <= atan2(dy, dx)))::INT AS angle,
-(220 + len(list_filter({MIDDLES['radius']}::DOUBLE[], lambda m: m <= sqrt(dx * dx + dy * dy))) + 151 * (pen <> 1)::INT)::INT AS radius FROM d""")
+(220 + len(list_filter({MIDDLES['radius']}::DOUBLE[], lambda m: m <= sqrt(dx * dx + dy * dy))) + 151 * (pen <> 1)::INT)::INT AS radius FROM d"""
+
+
+@query(POLAR)
 def c09_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Angle and radius tokens; tests hold the round trip's error."""
     return polar.encode(ink_events(spark, sf_dir), k=2)
@@ -230,3 +233,30 @@ def a13_glyph_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     names.orderBy("p_name").coalesce(1).write.text(path)
     return bpe.vocabulary(spark, ink.read_arrow_merges(spark, path, glyphs, 50))
+
+
+@query(f"WITH {WALK}, {STEPS} SELECT id, pos, x::BIGINT AS x, y::BIGINT AS y, coalesce(down, 0)::INT AS down FROM pen")
+def u01_lateral_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pen positions by a lateral join with a table function."""
+    return tokens(spark, sf_dir).select("id", "tokens").lateralJoin(lateral.PenPath(F.col("tokens").outer())).select("id", "pos", "x", "y", "down")
+
+
+@query(f"""WITH m AS ({_merge_rounds(N_MERGES, MIN_COUNT, merged=True)}), p AS ({POLAR}), {PTS},
+b AS (SELECT id, list_concat(list_transform(range(least(length(label), 15)), lambda i: ascii(label[i + 1]) + 1), [257], list_transform(range(15 - least(length(label), 15)), lambda i: 0)) AS tokens FROM words),
+t AS (SELECT id, 'merged' AS tokenizer, len(tokens) AS n, list_sum(list_transform(tokens, lambda t, i: t * i)) AS mark FROM m
+  UNION ALL SELECT id, 'polar', 2 * count(*), sum(angle * (2 * pos + 1) + radius * (2 * pos + 2)) FROM p GROUP BY id
+  UNION ALL SELECT id, 'bytes', len(tokens), list_sum(list_transform(tokens, lambda t, i: t * i)) FROM b)
+SELECT writer, tokenizer, count(*) AS n_words, sum(n)::BIGINT AS n_tokens, sum(mark)::BIGINT AS mark FROM t JOIN words USING (id) GROUP BY writer, tokenizer""")
+def u01_three_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each writer's words under three tokenizers by name: how many tokens, and a mark of which, in which order."""
+    from strokelake.operators import plugins
+
+    words = ink_events(spark, sf_dir)
+    rules = bpe.learn_merges(bpe.move_runs(tokens(spark, sf_dir)), N_MERGES, MIN_COUNT)
+    args = {"merged": (F.col("points"), GRID, rules), "polar": (F.col("points"), 2), "bytes": (F.col("label"), 16)}
+    for name, given in args.items():
+        words = plugins.tokenized(words, name, *given, into=name)
+    each = words.select("writer", F.explode(F.array(*[F.struct(F.lit(name).alias("tokenizer"), F.col(name).alias("tokens")) for name in args])).alias("t")).select("writer", "t.*")
+    mark = F.aggregate(F.transform("tokens", lambda t, i: t.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    each = each.where(F.size("tokens") > 0)
+    return each.groupBy("writer", "tokenizer").agg(F.count("*").alias("n_words"), F.sum(F.size("tokens")).alias("n_tokens"), F.sum(mark).alias("mark"))
