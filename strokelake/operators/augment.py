@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strokelake.functions import geometry as g
 from strokelake.functions.arrays import let, uniform
 from strokelake.operators.quality import INK_HEIGHT, X_HEIGHT
+from strokelake.operators.sampling import places
 
 
 def altered_order(sizes: list[int], draws: list[float], swap: float, least: int) -> list[int]:
@@ -143,9 +144,9 @@ def ridge_of_pairs(differences: DataFrame, features: list[str], alpha: float) ->
 
 def rank_correlation(rows: DataFrame, by: str, a: Column, b: Column, key: str) -> DataFrame:
     """Rows (by, n, correlation): correlation of the ranks of two measures in each group, ties in order of key."""
-    w = Window.partitionBy(by)
-    ranked = rows.select(by, F.row_number().over(w.orderBy(a, key)).alias("_a"), F.row_number().over(w.orderBy(b, key)).alias("_b"))
-    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("correlation"))
+    one = places(rows.select(by, a.alias("_u"), b.alias("_v"), key), by, [F.col("_u"), F.col(key)], "_a", "_n")
+    both = places(one.select(by, "_v", key, "_a"), by, [F.col("_v"), F.col(key)], "_b", "_n")
+    return both.groupBy(by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("correlation"))
 
 
 def style_trials(words: DataFrame, source: str, writer: str, key: str, n: int, k: int, seed: str = "trial", fits: tuple[str, str, int, int] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strokelake.functions.arrays import uniform
-from strokelake.operators.sampling import percentiles
+from strokelake.operators.sampling import percentiles, places
 
 # Thresholds of the trace gate.
 RULES = {"coverage": 0.80, "coverage_read": 0.70, "read_error_strict": 0.15, "min_mark": 0.5, "precision": 0.90, "read_error": 0.34,
@@ -95,17 +95,16 @@ def within_class(rows: DataFrame, by: str, measure: str, low: float, high: float
 
 
 def balanced_best(rows: DataFrame, by: str, quality: Column, key: str, factor: int = 2) -> DataFrame:
-    """Best rows by class, no class more than `factor` times the smallest."""
-    least = rows.groupBy(by).agg(F.count("*").alias("n")).agg((factor * F.min("n")).alias("_limit"))
-    w = Window.partitionBy(by).orderBy(quality.desc(), key)
-    return rows.withColumn("_rank", F.row_number().over(w)).join(F.broadcast(least), F.col("_rank") <= F.col("_limit")).drop("_limit").withColumnRenamed("_rank", "rank")
+    """Best rows by class, no class more than `factor` times the smallest; `rank` from 1."""
+    least = rows.groupBy(by).agg(F.count("*").alias("n")).agg((factor * F.min("n")).alias("_limit"))  # one row
+    ranked = places(rows.withColumn("_q", quality), by, [F.col("_q").desc(), F.col(key)])
+    return ranked.join(F.broadcast(least), F.col("_at") < F.col("_limit")).select(*rows.columns, (F.col("_at") + 1).cast("int").alias("rank"))
 
 
 def top_share(rows: DataFrame, by: str, quality: Column, key: str, share: float) -> DataFrame:
     """The best share of each class."""
-    w = Window.partitionBy(by).orderBy(quality.desc(), key)
-    n = F.count("*").over(Window.partitionBy(by))
-    return rows.withColumns({"_r": F.row_number().over(w), "_n": n}).where(F.col("_r") <= F.ceil(share * F.col("_n"))).drop("_r", "_n")
+    ranked = places(rows.withColumn("_q", quality), by, [F.col("_q").desc(), F.col(key)])
+    return ranked.where(F.col("_at") < F.ceil(share * F.col("_n"))).select(*rows.columns)
 
 
 def capped(rows: DataFrame, by: str, order: list[Column], limit: int) -> DataFrame:

@@ -41,6 +41,14 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> Data
     return ranged.join(F.broadcast(starts), "_part").select(*rows.columns, (F.col("_start") + F.col("_at")).cast("long").alias(name))
 
 
+def places(rows: DataFrame, by: str, order: list[Column], place: str = "_at", size: str = "_n") -> DataFrame:
+    """Adds each row's place in its group, from 0, and the group's size. Groups are cut from one numbered order, so a group of
+    any size is spread over many tasks; rows are computed once, and written before they are dealt."""
+    spread = numbered(written(rows), [F.col(by), *order], "_i")
+    sizes = spread.groupBy(F.col(by).alias("_b")).agg(F.min("_i").alias("_s"), F.count("*").alias(size))
+    return spread.join(sizes, F.col(by).eqNullSafe(F.col("_b"))).select(*rows.columns, (F.col("_i") - F.col("_s")).alias(place), size)
+
+
 def first_by_hash(rows: DataFrame, key: str, by: str, limit: int, seed: str) -> DataFrame:
     """At most `limit` rows of each group, in hash order."""
     w = Window.partitionBy(by).orderBy(uniform(seed, F.col(key)), key)
@@ -261,6 +269,21 @@ def greedy_within(items: Column, budget: int, most: int) -> Column:
     return F.aggregate(items, start, put, lambda a: a["keys"])
 
 
+def primers(words: DataFrame, writer: str, key: str, size: str, budget: int, most: int, seed: str = "primer", long: int = 5) -> DataFrame:
+    """Rows (writer, primers): a writer's words, those of `long` and more first, then by hash, each taken that still fits.
+
+    What is used only grows, so a word that does not fit bars later ones of its size: of each size the first `most` words
+    decide, and a writer's list holds `most` a size up to the budget, however many words there are.
+    """
+    item = F.struct((-F.least(F.col(size), F.lit(long))).alias("a"), uniform(seed, F.col(key)).alias("u"), F.col(key).alias("key"), F.col(size).alias("size"))
+    order = Window.partitionBy(writer, size).orderBy("w")
+    fit = words.select(writer, F.col(size), item.alias("w")).where(F.col(size) <= budget)
+    fit = fit.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).groupBy(writer).agg(F.sort_array(F.collect_list("w")).alias("w"))
+    writers = words.groupBy(F.col(writer).alias("_w")).agg(F.count("*").alias("_n"))
+    met = writers.join(fit, F.col("_w").eqNullSafe(F.col(writer)), "left")
+    return met.select(F.col("_w").alias(writer), F.coalesce(greedy_within(F.col("w"), budget, most), F.array().cast("array<string>")).alias("primers"))
+
+
 def all_prompts(examples: DataFrame, prompts: DataFrame, most: int = 20_000) -> DataFrame:
     """Each example under every prompt of a list. A list is counted and broadcast; longer ones are an error."""
     if prompts.count() > most:

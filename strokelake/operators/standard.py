@@ -85,7 +85,8 @@ def frame_scales(ink: DataFrame, letters: str | None = None, spacing: float = SP
     trial = ink.where(_short(1)).join(known, F.col("frame").eqNullSafe(F.col("_f"))).where((F.col("_how") == "letters") | _short(2))
     scaled = trial.select("frame", "id", g.map_points(F.col("strokes"), lambda p: F.struct((p["x"] * F.col("_scale")).alias("x"), (p["y"] * F.col("_scale")).alias("y"))).alias("strokes"))
     spans = _drawn(scaled, spacing).groupBy("id").agg(F.percentile("y", F.lit(0.98)).alias("high"), F.percentile("y", F.lit(0.02)).alias("low"))
-    got = percentiles(spans.select("id.frame", (F.col("high") - F.col("low")).alias("h")), "frame", "h", [0.5]).select(F.col("frame").alias("_f"), F.col("q")[0].alias("_got"))
+    spans = written(spans.select("id.frame", (F.col("high") - F.col("low")).alias("h")))
+    got = percentiles(spans, "frame", "h", [0.5]).select(F.col("frame").alias("_f"), F.col("q")[0].alias("_got"))
     better = first.join(got, F.col("frame").eqNullSafe(F.col("_f")), "left")
     better = better.select("frame", "how", (F.col("scale") * F.when(F.col("_got") > 0, X_HEIGHT / F.col("_got")).otherwise(1.0)).alias("scale"))
 

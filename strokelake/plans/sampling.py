@@ -114,10 +114,7 @@ f AS (SELECT writer, 0 AS r, 0 AS used, []::VARCHAR[] AS keys FROM w GROUP BY wr
   SELECT w.writer, w.r, CASE WHEN used + size <= 30 AND len(keys) < 3 THEN used + size ELSE used END, CASE WHEN used + size <= 30 AND len(keys) < 3 THEN list_append(keys, w.id) ELSE keys END FROM f JOIN w ON f.writer = w.writer AND w.r = f.r + 1)
 SELECT writer, keys AS primers FROM f QUALIFY row_number() OVER (PARTITION BY writer ORDER BY r DESC) = 1""")
 def f12_primers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.length("label")
-    item = F.struct((-F.least(n, F.lit(5))).alias("a"), uniform("primer", F.col("id")).alias("u"), F.col("id").alias("key"), n.alias("size"))
-    rows = ink_events(spark, sf_dir).groupBy("writer").agg(F.sort_array(F.collect_list(item)).alias("w"))
-    return rows.select("writer", s.greedy_within(F.col("w"), 30, 3).alias("primers"))
+    return s.primers(ink_events(spark, sf_dir).withColumn("size", F.length("label")), "writer", "id", "size", 30, 3)
 
 
 @query(f"""WITH {PTS}, r AS (SELECT writer, id, row_number() OVER (PARTITION BY writer ORDER BY {u('context', 'id')}, id) AS r FROM words),

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strokelake import plans
-from strokelake.operators import sampling, scoring, standard
+from strokelake.operators import augment, quality, sampling, scoring, standard
 from strokelake.plans.adapters import ink_strokes
 
 SF = "/root/testdata/sf0.001"
@@ -183,3 +183,35 @@ def test_altered_ink_against_a_loop(spark):
         want += [(r.id, s, k, round(p.x, 6), round(p.y, 6)) for s, stroke in enumerate(strokes) for k, p in enumerate(stroke)]
     got = [tuple(r[c] for c in ("id", "stroke", "pos", "x", "y")) for r in plans.QUERIES["b11_alter"](spark, SF).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_hot_groups_are_ranked_in_many_tasks(spark):
+    rng = np.random.default_rng(1)
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else "b", i, float(v), float(w)) for i, (v, w) in enumerate(zip(rng.integers(0, 40, 600), rng.normal(size=600), strict=True))]
+    df = spark.createDataFrame(rows, "by string, key int, v double, w double")
+    groups = {g: [r for r in rows if r[0] == g] for g in (None, "hot", "b")}
+    best = {g: sorted(rs, key=lambda r: (-r[2], r[1])) for g, rs in groups.items()}
+    got = quality.top_share(df, "by", F.col("v"), "key", 0.3).collect()
+    assert sorted(r.key for r in got) == sorted(r[1] for rs in best.values() for r in rs[: math.ceil(0.3 * len(rs) - 1e-9)])
+    limit = 2 * min(map(len, groups.values()))
+    got = {(r.by, r["rank"]): r.key for r in quality.balanced_best(df, "by", F.col("v"), "key").collect()}
+    assert got == {(g, n + 1): r[1] for g, rs in best.items() for n, r in enumerate(rs[:limit])}
+    got = {r.by: (r.n, r.correlation) for r in augment.rank_correlation(df, "by", F.col("v"), F.col("w"), "key").collect()}
+    for g, rs in groups.items():
+        ranks = [np.argsort(sorted(range(len(rs)), key=lambda i, c=c: (rs[i][c], rs[i][1]))) for c in (2, 3)]
+        assert got[g][0] == len(rs) and math.isclose(got[g][1], np.corrcoef(*ranks)[0, 1], abs_tol=1e-9)
+
+
+def test_primers_of_a_hot_writer(spark):
+    import hashlib
+
+    draw = lambda key: int(hashlib.md5(f"primer|{key}|0".encode()).hexdigest()[:8], 16) / 2**32
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i % 4 else None, f"k{i}", int(n)) for i, n in enumerate(rng.integers(1, 40, 500))] + [("long", "z", 99)]
+    got = {r.writer: r.primers for r in sampling.primers(spark.createDataFrame(rows, "writer string, id string, size int"), "writer", "id", "size", 30, 3).collect()}
+    for writer in ("hot", None, "long"):
+        used, keys = 0, []
+        for _, _, key, n in sorted((-min(n, 5), draw(k), k, n) for w, k, n in rows if w == writer):
+            if used + n <= 30 and len(keys) < 3:
+                used, keys = used + n, [*keys, key]
+        assert got[writer] == keys, writer
