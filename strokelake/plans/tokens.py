@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strokelake.functions import lateral, walk
-from strokelake.operators import bpe, decode, polar, textops
+from strokelake.operators import bpe, decode, polar, sampling, textops
 from strokelake.plans.adapters import PTS, ink_events
 from strokelake.plans.registry import query, table
 from strokelake.sources import ink
@@ -229,7 +229,8 @@ SELECT k::INT AS rank, a.i::INT AS a, b.i::INT AS b, ((SELECT count(*) FROM g) +
 def a13_glyph_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of glyph pairs, here the words of part names, read as rules up to fifty."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()
-    glyphs = [r.w for r in names.select(F.explode(F.split("p_name", " ")).alias("w")).distinct().orderBy("w").collect()]  # the words that names are made of
+    words = names.select(F.explode(F.split("p_name", " ")).alias("name")).distinct()
+    glyphs = sampling.numbered(words, [F.col("name")])  # the words that names are made of
     path = scratch(spark)
     names.orderBy("p_name").coalesce(1).write.text(path)
     return bpe.vocabulary(spark, ink.read_arrow_merges(spark, path, glyphs, 50))

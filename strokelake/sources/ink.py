@@ -92,17 +92,26 @@ def read_vocabulary(spark: SparkSession, path: str, grid: float, n_merges: int)
     return [tuple(r) for r in found["merges"]]
 
 
-def read_arrow_merges(spark: SparkSession, path: str, names: list[str], n: int) -> list[tuple[int, int, int]]:
-    """Rules from lines of two glyph strings: kept where both halves are known and the whole is new, up to n.
+LINES = 32_768  # of a vocabulary file
 
-    Which rule is kept depends on those before it, and a vocabulary has some thousand lines, so the driver folds them.
+
+def read_arrow_merges(spark: SparkSession, path: str, names: DataFrame | list[str], n: int) -> list[tuple[int, int, int]]:
+    """Rules from lines of two glyph strings: kept where both halves are known and the whole is new, up to n. Names are rows
+    (number, name) with distinct numbers from 0, or a list in order.
+
+    Which rule is kept depends on those before it, and a vocabulary has some thousand lines, so the driver folds them. Only
+    the names that these lines can ask for are brought there, two halves and a whole a line.
     """
-    lines = spark.read.text(path).withColumn("i", F.monotonically_increasing_id()).orderBy("i").limit(32_768).select("value").collect()
-    known = {name: i for i, name in enumerate(names)}
+    lines = [r.value.split() for r in spark.read.text(path).withColumn("i", F.monotonically_increasing_id()).orderBy("i").limit(LINES).select("value").collect()]
+    pairs = [tuple(p) for p in lines if len(p) == 2]
+    asked = spark.createDataFrame([(w,) for w in sorted({w for a, b in pairs for w in (a, b, a + b)})], "name string")
+    if isinstance(names, list):
+        names = spark.createDataFrame(list(enumerate(names)), "number bigint, name string")
+    known = {r.name: r.number for r in names.join(F.broadcast(asked), "name", "left_semi").collect()}  # at most 3 LINES rows either way
+    fresh = names.count()
     rules: list[tuple[int, int, int]] = []
-    for row in lines:
-        pair = row.value.split()
-        if len(rules) < n and len(pair) == 2 and pair[0] in known and pair[1] in known and pair[0] + pair[1] not in known:
-            rules.append((known[pair[0]], known[pair[1]], len(known)))
-            known[pair[0] + pair[1]] = len(known)
+    for a, b in pairs:
+        if len(rules) < n and a in known and b in known and a + b not in known:
+            known[a + b] = fresh + len(rules)
+            rules.append((known[a], known[b], known[a + b]))
     return rules

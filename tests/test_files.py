@@ -29,3 +29,11 @@ def test_repeated_ids(spark):
     pooled = ink.pool({"a": a, "b": b}, {"b": 2.0})
     assert pooled.count() == 3 and [r.id for r in ink.repeated_ids(pooled).collect()] == ["a/1"]
     assert ink.vector_fields(["k_1", "k_2", "name"]) == {"k": ["k_1", "k_2"], "name": ["name"]}
+
+
+def test_arrow_merges_ask_for_their_names_alone(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("a b\nab c\nx y\n\na\nc a\nab c\nd d\n")
+    names = spark.createDataFrame([(i, w) for i, w in enumerate(["a", "b", "c", "ca", "d", "unused"])], "number bigint, name string")
+    assert ink.read_arrow_merges(spark, str(tmp_path / "m.txt"), names, 9) == [(0, 1, 6), (6, 2, 7), (4, 4, 8)]
+    (tmp_path / "none.txt").write_text("\n")
+    assert ink.read_arrow_merges(spark, str(tmp_path / "none.txt"), names, 9) == []
