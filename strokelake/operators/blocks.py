@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+MOST_ROWS, MOST_BYTES = 20_000, 64 << 20  # of a table that is broadcast
 SAME = 1e-9  # matches this near are equal: sums of a product come in another order than one by one
 
 
@@ -50,3 +51,23 @@ def ranked(items: DataFrame, prompts: DataFrame, k: int = 5, block: int = BLOCK)
     whole = found.groupBy("item").agg((1 + F.sum("better")).alias("rank"), F.flatten(F.collect_list("best")).alias("b"))  # k prompts a block
     first = F.slice(F.array_sort(F.transform("b", lambda x: F.struct((-x["match"]).alias("match"), x["prompt"].alias("prompt")))), 1, k)
     return whole.select("item", "rank", F.transform(first, lambda x: x["prompt"]).alias("best"))
+
+
+def small(rows: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> bool:
+    """Whether rows and their bytes as text, both counted here, let a table be broadcast."""
+    if rows.count() > most_rows:
+        return False
+    return (rows.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()["b"] or 0) <= most_bytes
+
+
+def all_pairs(items: DataFrame, prompts: DataFrame, most_rows: int = MOST_ROWS, block: int = BLOCK) -> DataFrame:
+    """Each item under every prompt: a small prompt table is broadcast, a larger one is dealt with the items to a grid of cells,
+    each joined by its number. What is copied before the join is items times prompt blocks and prompts times item blocks."""
+    if small(prompts, most_rows):
+        return items.crossJoin(F.broadcast(prompts))
+    n, m = (max(1, -(-df.count() // block)) for df in (items, prompts))
+    dealt = lambda df, k: F.pmod(F.xxhash64(*df.columns), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = items.withColumn("_i", dealt(items, n)).withColumn("_p", every(m))
+    right = prompts.withColumn("_p", dealt(prompts, m)).withColumn("_i", every(n))
+    return left.join(right.hint("shuffle_hash"), ["_i", "_p"]).drop("_i", "_p")

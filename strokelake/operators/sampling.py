@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strokelake.functions.arrays import uniform
+from strokelake.operators import blocks
 from strokelake.sources.scratch import written
 
 
@@ -284,8 +285,6 @@ def primers(words: DataFrame, writer: str, key: str, size: str, budget: int, mos
     return met.select(F.col("_w").alias(writer), F.coalesce(greedy_within(F.col("w"), budget, most), F.array().cast("array<string>")).alias("primers"))
 
 
-def all_prompts(examples: DataFrame, prompts: DataFrame, most: int = 20_000) -> DataFrame:
-    """Each example under every prompt of a list. A list is counted and broadcast; longer ones are an error."""
-    if prompts.count() > most:
-        raise ValueError(f"over {most} prompts: block them, or search them by an index")
-    return examples.crossJoin(F.broadcast(prompts))
+def all_prompts(examples: DataFrame, prompts: DataFrame, most: int = blocks.MOST_ROWS) -> DataFrame:
+    """Each example under every prompt of a list; beyond `most` prompts in blocks."""
+    return blocks.all_pairs(examples, prompts, most)

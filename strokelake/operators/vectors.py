@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strokelake.functions.arrays import dot, let, norm, uniform
+from strokelake.operators import blocks
 
 FLOOR = 1e-12
 
@@ -109,14 +110,10 @@ def mixed(a: Column, b: Column) -> Column:
     return unit(F.zip_with(a, b, lambda x, y: (x + y) / 2))
 
 
-def matches(items: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Rows (item, prompt, match): cosines of every item with every prompt of a broadcast prompt table.
-
-    Prompts are a list of labels; their number is checked.
-    """
-    if prompts.count() > 20_000:
-        raise ValueError("prompts are a list of labels; block larger tables and search them by an index")
-    return items.crossJoin(F.broadcast(prompts)).select("item", "own", "prompt", dot(F.col("v"), F.col("w")).alias("match"))
+def matches(items: DataFrame, prompts: DataFrame, most: int = blocks.MOST_ROWS) -> DataFrame:
+    """Rows (item, own, prompt, match): cosines of every item with every prompt, beyond `most` prompts in blocks. Where only ranks
+    or the best are wanted, `blocks.ranked` makes no pairs."""
+    return blocks.all_pairs(items, prompts, most).select("item", "own", "prompt", dot(F.col("v"), F.col("w")).alias("match"))
 
 
 def prompt_ranks(scored: DataFrame) -> DataFrame:

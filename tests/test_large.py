@@ -155,3 +155,23 @@ def test_report_from_stored_sketches(spark):
         own = out[r.event_type]
         assert own.n == r.n and own.members == r.m
         assert any(abs(own.median - x) < 1e-6 for x in r.v[r.n // 2 - 1 : r.n // 2 + 1])
+
+
+def test_all_pairs_beyond_a_broadcast(spark):
+    from strokelake.operators import blocks
+    from strokelake.operators import sampling as s
+    from strokelake.operators import vectors as v
+
+    items = spark.createDataFrame([(i % 90, str(i % 7)) for i in range(100)], "item int, own string")  # ten rows repeat in item
+    prompts = spark.createDataFrame([(str(p),) for p in range(37)] + [(None,)], "prompt string")
+    want = sorted((i % 90, str(i % 7), str(p)) for i in range(100) for p in [*range(37), None])
+    for most, block in ((1000, 16), (5, 16), (5, 1000), (5, 1)):
+        got = blocks.all_pairs(items, prompts, most, block)
+        assert sorted((r.item, r.own, str(r.prompt)) for r in got.collect()) == want
+    assert sorted((r.item, r.own, str(r.prompt)) for r in s.all_prompts(items, prompts, most=5).collect()) == want
+    assert s.all_prompts(items.where("item < 0"), prompts, most=5).count() == s.all_prompts(items, prompts.where("false"), most=5).count() == 0
+    assert blocks.small(prompts) and not blocks.small(prompts, most_bytes=100) and not blocks.small(prompts, most_rows=37)
+    vectors = spark.createDataFrame([(i, str(i % 3), [float(i), 1.0]) for i in range(9)], "item int, own string, v array<double>")
+    means = spark.createDataFrame([(str(i), [1.0, float(i)]) for i in range(3)], "prompt string, w array<double>")
+    near, far = (sorted(map(tuple, v.matches(vectors, means, most).collect())) for most in (100, 1))
+    assert near == far and len(near) == 27
