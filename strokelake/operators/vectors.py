@@ -28,8 +28,9 @@ def round_bits(v: Column, bits: int) -> Column:
     return let(top, lambda t: F.transform(v, lambda x: F.rint(x / F.greatest(t, F.lit(FLOOR)) * steps) * t / steps))
 
 
-def unit(v: Column) -> Column:
-    return let(F.greatest(norm(v), F.lit(FLOOR)), lambda n: F.transform(v, lambda x: x / n))
+def unit(v: Column, empty: float = 0.0) -> Column:
+    """At length 1, missing components left out of the length; those of a zero vector are `empty`."""
+    return let(norm(F.filter(v, lambda x: x.isNotNull())), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).when(x.isNotNull(), empty)))
 
 
 def plus(a: Column, b: Column, k: float | Column = 1.0) -> Column:
@@ -105,9 +106,9 @@ def masked_mean(vectors: Column, mask: Column) -> Column:
     return let(kept, lambda k: F.when(F.size(k) > 0, F.transform(F.aggregate(F.slice(k, F.lit(2), F.size(k)), F.transform(F.get(k, F.lit(0)), lambda x: x.cast("double")), lambda a, b: plus(a, b)), lambda x: x / F.size(k))))
 
 
-def mixed(a: Column, b: Column) -> Column:
+def mixed(a: Column, b: Column, empty: float = 0.0) -> Column:
     """The unit mean of two vectors."""
-    return unit(F.zip_with(a, b, lambda x, y: (x + y) / 2))
+    return unit(F.zip_with(a, b, lambda x, y: (x + y) / 2), empty)
 
 
 def matches(items: DataFrame, prompts: DataFrame, most: int = blocks.MOST_ROWS) -> DataFrame:

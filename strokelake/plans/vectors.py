@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strokelake.functions.arrays import dot, norm
+from strokelake.functions.arrays import dot, norm, rounded
 from strokelake.operators import vectors as v
 from strokelake.plans.registry import query, table
 
@@ -13,6 +13,7 @@ VEC = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE
 LONG = f"{VEC}, x AS (SELECT vec_id, label, unnest(range(1, len(v) + 1)) AS d, unnest(v) AS c FROM e)"
 MEANS = f"{LONG}, m AS (SELECT label, d, avg(c) AS mc FROM x GROUP BY label, d), w AS (SELECT label AS prompt, list(mc ORDER BY d) AS w FROM m GROUP BY label)"
 WHOLE = "(list_sum({}))"
+NONE = float("nan")  # SQL divides a zero vector by zero
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def v01_round_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {VEC} SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6)) AS u FROM e")
 def v02_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base(spark, sf_dir).select("vec_id", F.transform(v.unit(F.col("v")), lambda x: F.round(x, 6)).alias("u"))
+    return base(spark, sf_dir).select("vec_id", F.transform(v.unit(F.col("v"), NONE), lambda x: rounded(x, 6)).alias("u"))
 
 
 @query(f"WITH {VEC} SELECT vec_id, text <> '' AND n_chars > 500 AS there FROM e JOIN documents ON doc_id = vec_id")
@@ -56,7 +57,7 @@ def v04_told(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT vec_id, list_transform(h, lambda x: round(x / sqrt(list_sum(list_transform(h, lambda y: y * y))), 6)) AS m FROM p""")
 def v04_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base(spark, sf_dir).join(label_means(spark, sf_dir), "label")
-    return rows.select("vec_id", F.transform(v.mixed(F.col("v"), F.col("mean")), lambda x: F.round(x, 6)).alias("m"))
+    return rows.select("vec_id", F.transform(v.mixed(F.col("v"), F.col("mean"), NONE), lambda x: rounded(x, 6)).alias("m"))
 
 
 @query(f"""WITH {MEANS}, d AS (SELECT x.d, avg(c - 0.5 * mc) AS s FROM x JOIN m ON x.label = m.label AND x.d = m.d GROUP BY x.d) SELECT round(sqrt(sum(s * s)), 6) AS length FROM d""")
@@ -96,7 +97,7 @@ def v07_cosine_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MEANS} SELECT prompt AS label, list_transform(w, lambda x: round(x, 6)) AS mean FROM w")
 def v09_mean_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_means(spark, sf_dir).select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
+    return label_means(spark, sf_dir).select("label", F.transform("mean", lambda x: rounded(x, 6)).alias("mean"))
 
 
 @query(f"""WITH {VEC}, p AS (SELECT a.vec_id, a.v AS a, b.v AS b, acos(least(1.0, greatest(-1.0, list_dot_product(a.v, b.v)))) AS t FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
