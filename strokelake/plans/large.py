@@ -48,7 +48,7 @@ def v08_blocked_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = base(spark, sf_dir)
     top = vectors.agg((F.max("vec_id") + 1).alias("m"))  # one row
     items = vectors.crossJoin(F.broadcast(top)).select(F.col("vec_id").alias("item"), ((F.col("vec_id") + 1) % F.col("m")).alias("own"), "v")
-    out = blocks.ranked(items, vectors.select(F.col("vec_id").alias("prompt"), F.col("v").alias("w")), k=1, block=1024)
+    out = blocks.ranked(items, vectors.select(F.col("vec_id").alias("prompt"), F.col("v").alias("w")), k=1)
     return out.select("item", "rank", F.col("best")[0].alias("best"))
 
 
