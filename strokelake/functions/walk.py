@@ -90,13 +90,28 @@ def split_words(tokens: Column, word: int, first_special: int) -> Column:
     """Arrays of tokens between WORD tokens, specials dropped, empty words dropped."""
 
     def cut(t: Column) -> Column:
-        marks = F.concat(F.array(F.lit(-1)), F.filter(indices(t), lambda i: F.get(t, i) == word), F.array(F.size(t)))
-        parts = F.zip_with(F.slice(marks, F.lit(1), F.size(marks) - 1), F.slice(marks, F.lit(2), F.size(marks) - 1), lambda a, b: F.slice(t, a + 2, b - a - 1))
-        return F.filter(F.transform(parts, lambda p: F.filter(p, lambda x: x < first_special)), lambda p: F.size(p) > 0)
+        marks = F.concat(F.array(F.lit(-1)), F.array_compact(F.transform(t, lambda x, i: F.when(x == word, i))), F.array(F.size(t)))
+        parts = let(marks, lambda m: F.zip_with(F.slice(m, F.lit(1), F.size(m) - 1), F.slice(m, F.lit(2), F.size(m) - 1), lambda a, b: F.filter(F.slice(t, a + 2, b - a - 1), lambda x: x < first_special)))
+        return F.filter(parts, lambda p: F.size(p) > 0)
 
     return let(tokens, cut)
 
 
+def letters(text: Column) -> Column:
+    """The letters a-z of a text in lower case, all else dropped."""
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]+", ""))
+
+
+def split_letters(text: Column, word: str) -> Column:
+    """The same on the letters of a text, each a token of its place in the alphabet and `word` the WORD token: strings of letters,
+    empty words dropped. `letter_tokens` makes tokens of one of them, best of one in a row."""
+    return F.filter(F.split(letters(text), word), lambda w: w != "")
+
+
+def letter_tokens(word: Column) -> Column:
+    return F.when(word != "", F.transform(F.split(word, ""), lambda c: F.ascii(c) - ord("a"))).otherwise(F.array().cast("array<int>"))
+
+
 def byte_tokens(text: Column, length: int, end: int = 257) -> Column:
     """Bytes plus one, cut to length - 1, the end token, zeros up to length."""
     hexed = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
