@@ -109,7 +109,7 @@ def split_letters(text: Column, word: str) -> Column:
 
 
 def letter_tokens(word: Column) -> Column:
-    return F.when(word != "", F.transform(F.split(word, ""), lambda c: F.ascii(c) - ord("a"))).otherwise(F.array().cast("array<int>"))
+    return let(word, lambda w: F.when(w != "", F.transform(F.split(w, ""), lambda c: F.ascii(c) - ord("a"))).otherwise(F.array().cast("array<int>")))
 
 
 def byte_tokens(text: Column, length: int, end: int = 257) -> Column:

@@ -24,18 +24,14 @@ def detokenize(texts: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def strokes(n: Column) -> Column:
         # places of the start markers, and one past the end
-        marks = F.filter(F.sequence(F.lit(0), F.size(n)), lambda i: F.coalesce(F.get(n, i) == START, F.lit(True)))
+        marks = F.concat(F.array_compact(F.transform(n, lambda x, i: F.when(x == START, i))), F.array(F.size(n)))
 
-        def cut(m: Column) -> Column:
-            parts = F.zip_with(F.slice(m, F.lit(1), F.size(m) - 1), F.slice(m, F.lit(2), F.size(m) - 1), lambda a, b: F.slice(n, a + 2, b - a - 1))
+        def pairs(a: Column, b: Column) -> Column:
+            m = F.floor((b - a - 1) / 2).cast("int")
+            whole = F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct(F.get(n, a + 1 + 2 * i).alias("x"), (F.get(n, a + 2 + 2 * i) - 225).alias("y"))))
+            return F.filter(whole, lambda q: (q["x"] >= 0) & (q["x"] <= SIDE) & (q["y"] >= 0) & (q["y"] <= SIDE))
 
-            def pairs(p: Column) -> Column:
-                whole = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(p) / 2).cast("int") - 1)), lambda i: F.struct(F.get(p, 2 * i).alias("x"), (F.get(p, 2 * i + 1) - 225).alias("y")))
-                return F.filter(whole, lambda q: (q["x"] >= 0) & (q["x"] <= SIDE) & (q["y"] >= 0) & (q["y"] <= SIDE))
-
-            return F.filter(F.transform(parts, pairs), lambda s: F.size(s) > 0)
-
-        return let(marks, cut)
+        return let(marks, lambda m: F.filter(F.zip_with(F.slice(m, F.lit(1), F.size(m) - 1), F.slice(m, F.lit(2), F.size(m) - 1), pairs), lambda s: F.size(s) > 0))
 
     rows = texts.select(key, F.posexplode(let(numbers, strokes)).alias("stroke", "s")).select(key, "stroke", F.posexplode("s").alias("pos", "p"))
     return rows.select(key, "stroke", "pos", "p.x", "p.y")
