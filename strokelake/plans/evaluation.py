@@ -230,11 +230,12 @@ def k02_draw_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of draw numbers, each micro-batch made into examples: words drawn, joined, padded. A draw depends on its
     number alone, so the batches' bounds change nothing."""
     words = written(sized_words(spark, sf_dir).withColumn("weight", F.split("id", "/")[2].cast("int") % 2 + 1))
+    tables = s.example_tables(words, "writer", "weight", "id", "tokens", "b")
     numbers, out = scratch(spark), scratch(spark)
     table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("draw")).repartition(4, "draw").write.parquet(numbers)
 
     def make(batch: DataFrame, _: int) -> None:
-        s.drawn_examples(words, batch, "writer", "weight", "id", "tokens", "b", most=4, block=128, limit=40, marks=walk.specials(0)).write.mode("append").parquet(out)
+        s.drawn_examples(words, batch, "writer", "weight", "id", "tokens", "b", most=4, block=128, limit=40, marks=walk.specials(0), tables=tables).write.mode("append").parquet(out)
 
     stream = spark.readStream.schema("draw bigint").option("maxFilesPerTrigger", 2).parquet(numbers)
     stream.writeStream.foreachBatch(make).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
