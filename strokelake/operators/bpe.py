@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from itertools import takewhile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ CUT_EVERY = 8  # rounds between writes of the rewritten runs
 AHEAD = 64  # pairs whose runs are kept apart
 MOST_LISTED = 2_000  # pairs in one pattern
 FIRST_CHARACTER = 0x4E00
+MOST_CELLS = 1 << 20  # of a table of all pairs in a task
 
 
 def move_runs(tokens: DataFrame, column: str = "tokens") -> DataFrame:
@@ -49,15 +51,30 @@ def decoded(text: Column) -> Column:
     return F.transform(F.split(text, ""), lambda c: F.when(at(c) < FIRST_CHARACTER, at(c) - ord("0")).otherwise(at(c) - FIRST_CHARACTER + FIRST_MERGE).cast("int"))
 
 
-def neighbours(text: str) -> Column:
-    """All pairs of neighbouring characters of a coded run, overlapping ones as well."""
-    return let(F.split(F.col(text), ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.concat(F.get(c, i), F.get(c, i + 1))))
+def pair_counts(runs: DataFrame, signs: dict[str, int] | None = None, vocabulary: int = FIRST_MERGE) -> DataFrame:
+    """Rows (a, b, n): neighbouring tokens, overlapping ones as well, in coded runs, `freq` times each. `signs` names columns of runs
+    and whether their pairs are added or taken off. A task counts in Arrow batches and hands on one row a pair."""
+    signs = signs or {"run": 1}
 
-
-def pair_counts(runs: DataFrame) -> DataFrame:
-    """Rows (pair, n): neighbours in all coded runs (run, freq)."""
-    each = runs.where(F.length("run") > 1).select("freq", F.explode(neighbours("run")).alias("pair"))
-    return each.groupBy("pair").agg(F.sum("freq").alias("n"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, int] = {}
+        for batch in batches:
+            freq = batch.column("freq").to_numpy()
+            for column, sign in signs.items():
+                texts = batch.column(column).to_pylist()
+                codes = np.frombuffer("\0".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+                times = np.repeat(freq, [len(t) + 1 for t in texts])[: len(codes)]
+                token = np.where(codes >= FIRST_CHARACTER, codes - FIRST_CHARACTER + FIRST_MERGE, codes - ord("0"))
+                inside = (codes[:-1] != 0) & (codes[1:] != 0)
+                pairs, at = np.unique((token[:-1] * vocabulary + token[1:])[inside], return_inverse=True) if vocabulary**2 > MOST_CELLS else (None, (token[:-1] * vocabulary + token[1:])[inside])
+                sums = np.bincount(at, times[:-1][inside])  # exact below 2 ** 53
+                for i in np.flatnonzero(sums):
+                    pair = int(i if pairs is None else pairs[i])
+                    found[pair] = found.get(pair, 0) + sign * int(sums[i])
+        pairs, sums = list(found), list(found.values())
+        yield pa.RecordBatch.from_arrays([pa.array([p // vocabulary for p in pairs], pa.int32()), pa.array([p % vocabulary for p in pairs], pa.int32()), pa.array(sums, pa.int64())], names=["a", "b", "n"])
+
+    return runs.select("freq", *signs).mapInArrow(count, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def next_rules(counts: dict[tuple[int, int], int], most: int, least: int, vocabulary: int) -> list[tuple[int, int]]:
@@ -90,9 +107,7 @@ def learn_merges(runs: DataFrame, n_merges: int, min_count: int = 20) -> list[tu
     """
     vocabulary, rules = FIRST_MERGE + n_merges, []
     rest = written(runs.select(coded(F.col("run")).alias("run"), "freq"))
-    token = {character(t): t for t in range(vocabulary)}
-    key = lambda pair: (token[pair[0]], token[pair[1]])
-    counts = {key(r.pair): r.n for r in pair_counts(rest).collect()}
+    counts = {(r.a, r.b): r.n for r in pair_counts(rest).collect()}
     active: DataFrame | None = None
     ours: set[tuple[int, int]] = set()
     now, rounds = F.col("run"), 0
@@ -114,10 +129,8 @@ def learn_merges(runs: DataFrame, n_merges: int, min_count: int = 20) -> list[tu
         if len(rules) == n_merges:
             break
         changed = active.select("freq", before.alias("run"), now.alias("new")).where("run <> new")
-        none = F.array().cast("array<string>")
-        signed = lambda c, k: F.transform(F.when(F.length(c) > 1, neighbours(c)).otherwise(none), lambda p: F.struct(p.alias("pair"), F.lit(k).alias("k")))
-        for r in changed.select("freq", F.explode(F.concat(signed("run", -1), signed("new", 1))).alias("p")).groupBy("p.pair").agg(F.sum(F.col("freq") * F.col("p.k")).alias("n")).collect():
-            pair = key(r.pair)
+        for r in pair_counts(changed, {"run": -1, "new": 1}, vocabulary).collect():
+            pair = (r.a, r.b)
             if max(pair) >= FIRST_MERGE + len(rules) - len(batch):
                 ours.add(pair)  # made by this round, so it lies in the active runs alone
             if left := counts.pop(pair, 0) + r.n:
