@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from strokelake.operators.sampling import percentiles
 from strokelake.sources.scratch import written
 
+BATCH = 1024  # rows whose bigrams are counted at a time
+
 
 def bigram_scores(tokens: DataFrame, vocabulary: int) -> DataFrame:
     """Rows (id, pos, token, nats): add-one smoothed bigram costs, counted on the same sequences. -1 stands before the first."""
@@ -34,19 +39,66 @@ def scored_by(examples: DataFrame, score: Callable[[list[list[int]]], list[list[
     return examples.mapInArrow(run, examples.withColumn("nats", F.lit(None).cast("array<double>")).schema)
 
 
-def primed_costs(trials: DataFrame, tokens: DataFrame, by: list[str], vocabulary: int) -> DataFrame:
+def primed_costs(trials: DataFrame, words: DataFrame, by: list[str], vocabulary: int, firsts: tuple[int, ...] | None = None) -> DataFrame:
     """Rows (by, nats, moves) of trials (by, target, context): what a target's tokens cost after those of its context words, by
-    add-one smoothed bigrams of the context alone, and its base moves. `tokens` are rows (id, pos, token).
+    add-one smoothed bigrams of the context alone, and its base moves. `words` are rows (id, tokens), tokens from 0 to below
+    `vocabulary`. With `firsts`, rows (by, k, nats, moves) for each k of them: the costs after the first k words of the context.
 
-    Words are counted as bigrams once, and only counts are joined with trials.
+    Words stay arrays: those of a trial meet in one row, whose bigrams a task counts in Arrow batches. No row is made for a token
+    or a bigram, so what a task sorts is what it was dealt and does not unfold there.
     """
-    w = Window.partitionBy("id").orderBy("pos")
-    pairs = tokens.withColumn("before", F.coalesce(F.lag("token").over(w), F.lit(-1))).groupBy("id", "before", "token").agg(F.count("*").alias("c"))
-    seen = trials.select(*by, F.explode("context").alias("id")).join(pairs, "id").groupBy(*by, "before", "token").agg(F.sum("c").alias("_k"))
-    own = trials.select(*by, F.col("target").alias("id")).join(pairs, "id")
-    met = own.join(seen, [*by, "before", "token"], "left").join(seen.groupBy(*by, "before").agg(F.sum("_k").alias("_n")), [*by, "before"], "left")
-    cost = -F.ln((F.coalesce("_k", F.lit(0)) + 1) / (F.coalesce("_n", F.lit(0)) + vocabulary))
-    return met.groupBy(*by).agg(F.sum(F.col("c") * cost).alias("nats"), F.sum(F.when(F.col("token") < 8, F.col("c")).otherwise(0)).alias("moves"))
+    small = "tinyint" if vocabulary <= 128 else "int"
+    known_words = words.where(F.col("tokens").isNotNull()).select("id", F.col("tokens").cast(f"array<{small}>").alias("_tokens"))
+    named = F.posexplode(F.flatten(F.array_compact(F.array(F.array("target"), "context"))))
+    # files of tokens are far smaller than tokens, so that by their size too many would be broadcast
+    asked = trials.select(*by, named.alias("_place", "id")).join(known_words.hint("merge"), "id").drop("id")
+    rows = asked.repartition(*by).groupBy(*by).agg(F.collect_list(F.struct("_place", "_tokens")).alias("_words"))  # dealt first, so that a task holds what it was dealt
+    counts = firsts or (None,)
+
+    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(start, BATCH)
+                known, moves, nats = bigram_costs(batch.column("_words"), vocabulary, counts)
+                keys = batch.select(by).filter(pa.array(known))
+                for k, each in zip(counts, nats, strict=True):
+                    k_column = [] if k is None else [pa.array(np.full(keys.num_rows, k), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*keys.columns, *k_column, pa.array(each[known]), pa.array(moves[known])], names=names)
+
+    kind = StructType([*trials.select(*by).schema, *([StructField("k", IntegerType())] if firsts else []), StructField("nats", DoubleType()), StructField("moves", LongType())])
+    names = kind.names
+    return rows.select(*by, "_words").mapInArrow(cost, kind)
+
+
+def bigram_costs(words: pa.ListArray, vocabulary: int, counts: tuple[int | None, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of rows with a list of (place, tokens), the target at place 0: which have tokens of their own, their base moves, and their
+    nats after the first k words for each k (None: all). -1 stands before the first token and after a null, which matches none."""
+    each = words.flatten()
+    place, lists = each.field("_place").to_numpy(), each.field("_tokens")
+    sizes = pc.list_value_length(lists).to_numpy()
+    row = np.repeat(np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy()), sizes)
+    place = np.repeat(place, sizes)
+    token = pc.fill_null(lists.flatten(), -2).to_numpy().astype(np.int64)
+    before = np.roll(token, 1)
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = -1
+    base = int(token.max(initial=0)) + 3
+    first = row * base + np.maximum(before, -1) + 2
+    pair = first * base + token + 2
+
+    def found(keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        values, times = np.unique(seen, return_counts=True)
+        at = np.minimum(np.searchsorted(values, keys), len(values) - 1)
+        return np.where(values[at] == keys, times[at], 0) if len(values) else np.zeros(len(keys), np.int64)
+
+    pairs, times = np.unique(pair[place == 0], return_counts=True)
+    own, last = pairs // base**2, pairs % base - 2
+    nats = []
+    for k in counts:
+        told = (place > 0) & (place <= (np.inf if k is None else k))
+        share = (np.where(last == -2, 0, found(pairs, pair[told])) + 1) / (found(pairs // base, first[told]) + vocabulary)
+        nats.append(np.bincount(own, times * -np.log(share), len(words)))
+    moves = np.bincount(own, np.where((last >= 0) & (last < 8), times, 0), len(words)).astype(np.int64)
+    return np.bincount(own, minlength=len(words)) > 0, moves, nats
 
 
 def losses(scored: DataFrame, moves: Column, source: str = "source") -> DataFrame:

@@ -80,10 +80,6 @@ def sized_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(rows)
 
 
-def token_rows(words: DataFrame) -> DataFrame:
-    return words.select("id", F.posexplode("tokens").alias("pos", "token"))
-
-
 @query(f"WITH {CONTEXTS} SELECT target, k, context FROM ctx")
 def f13_fitting_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.contexts(sized_words(spark, sf_dir), "writer", "id", (0, 1, 3), fits=("t", "b", 384, 60))
@@ -96,8 +92,8 @@ SELECT source, round(s0, 6) AS alone, round(s1, 6) AS after_1, round(s3, 6) AS a
 def g05_context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of words alone and after one and three others of their writer."""
     words = sized_words(spark, sf_dir)
-    trials = s.contexts(words, "writer", "id", (0, 1, 3), fits=("t", "b", 384, 60))
-    costs = scoring.primed_costs(trials, token_rows(words), ["target", "k"], VOCABULARY)
+    trials = s.contexts(words, "writer", "id", (3,), fits=("t", "b", 384, 60))
+    costs = scoring.primed_costs(trials, words, ["target"], VOCABULARY, firsts=(0, 1, 3))
     of = lambda k: F.sum(F.when(F.col("k") == k, F.col("nats"))) / F.sum(F.when(F.col("k") == k, F.col("moves")))
     by = costs.groupBy((F.split("target", "/")[1].cast("int") % 7).alias("source")).agg(of(0).alias("s0"), of(1).alias("s1"), of(3).alias("s3"))
     return by.select("source", F.round("s0", 6).alias("alone"), F.round("s1", 6).alias("after_1"), F.round("s3", 6).alias("after_3"), F.round(F.col("s0") - F.col("s3"), 6).alias("gain"))
@@ -127,7 +123,7 @@ def g04_style_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rank of the true writer among others whose words come before the target."""
     words = sized_words(spark, sf_dir)
     each = trials(words).select("source", "trial", "candidate", "target", F.col("primes").alias("context"))
-    costs = scoring.primed_costs(each, token_rows(words), ["source", "trial", "candidate"], VOCABULARY).withColumn("cost", F.round("nats", 9))
+    costs = scoring.primed_costs(each, words, ["source", "trial", "candidate"], VOCABULARY).withColumn("cost", F.round("nats", 9))
     ranked = scoring.ranks(costs.withColumn("t", F.struct("source", "trial")), "t", F.col("candidate") == F.col("trial"), "cost")
     rank = F.col("rank")
     return ranked.groupBy(F.col("t.source").alias("source")).agg(F.count("*").alias("n"), F.round(F.avg(rank), 6).alias("mean"), F.round(F.avg((rank == 1).cast("int")), 6).alias("first"))
